@@ -15,8 +15,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_neardedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgate.llm.simhash import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op9_simhash_neardedup": op9_simhash_neardedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
