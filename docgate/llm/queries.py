@@ -5,10 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docgate.llm.common import LOWER, UPPER, table
 
 
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file, the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docgate.llm.exact_dedup import decide
 
@@ -21,8 +29,23 @@ def op9_simhash_neardedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgate.llm.packing import pack
+
+    made = pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgate.llm.token_counts import count
+
+    return count(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pack_documents": op2_pack_documents,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_token_counts": op5_token_counts,
     "op9_simhash_neardedup": op9_simhash_neardedup,
 }
 
