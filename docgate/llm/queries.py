@@ -42,10 +42,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgate.llm.secrets import findings, report
+
+    return report(findings(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack_documents": op2_pack_documents,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_secret_ledger": op6_secret_ledger,
     "op9_simhash_neardedup": op9_simhash_neardedup,
 }
 
