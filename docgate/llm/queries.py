@@ -48,11 +48,18 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(findings(table(spark, sf_dir, "documents")))
 
 
+def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgate.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack_documents": op2_pack_documents,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_secret_ledger": op6_secret_ledger,
+    "op7_fair_mix": op7_fair_mix,
     "op9_simhash_neardedup": op9_simhash_neardedup,
 }
 
@@ -62,4 +69,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM t WINDOW g AS (PARTITION BY text_sha256)""",
+    "op7_fair_mix": r"""
+        WITH docs AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+        sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+        named AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS source_id, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM sizes),
+        weighted AS (SELECT *, [5, 2, 1][(source_id - 1) % 3 + 1] AS weight FROM named),
+        filled AS (SELECT *, (budget - 2 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                          / sum(weight) OVER (ORDER BY source_size / weight, source_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighted),
+        marked AS (SELECT *, level * weight >= 2 * source_size AS is_full FROM filled),
+        aims AS (SELECT source, source_id, source_size, budget,
+                        CASE WHEN is_full THEN (2 * source_size)::DOUBLE
+                             ELSE weight * first(level) OVER (ORDER BY is_full, source_size / weight, source_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS target FROM marked),
+        offers AS (SELECT d.doc_id, d.size, a.source_id, a.source_size, a.target, a.budget, t.turn, md5('mix|' || t.turn || '|' || d.doc_id) AS key
+                   FROM docs d JOIN aims a ON d.source IS NOT DISTINCT FROM a.source CROSS JOIN (SELECT unnest([0, 1]) AS turn) t),
+        timed AS (SELECT *, CASE WHEN target > 0 THEN sum(size) OVER (PARTITION BY source_id ORDER BY turn, key ROWS UNBOUNDED PRECEDING) / target ELSE 0 END AS finish FROM offers),
+        queue AS (SELECT *, sum(size) OVER (ORDER BY finish, key ROWS UNBOUNDED PRECEDING) <= budget AS taken FROM timed)
+        SELECT doc_id, size, source_size, target, sum(CASE WHEN taken THEN size ELSE 0 END)::BIGINT AS taken, count_if(taken)::BIGINT AS copies
+        FROM queue GROUP BY doc_id, size, source_size, target""",
 }
