@@ -54,9 +54,16 @@ def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgate.llm.warc import read, write
+
+    return read(write(table(spark, sf_dir, "pages"))).drop("payload")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack_documents": op2_pack_documents,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_warc_index": op4_warc_index,
     "op5_token_counts": op5_token_counts,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_fair_mix": op7_fair_mix,
@@ -69,6 +76,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM t WINDOW g AS (PARTITION BY text_sha256)""",
+    "op4_warc_index": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        d AS (SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, sha1(payload) AS h FROM p),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM d)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (((('0x' || substr(h, ((i // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+        FROM g""",
     "op7_fair_mix": r"""
         WITH docs AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
         sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
