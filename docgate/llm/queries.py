@@ -60,7 +60,14 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(write(table(spark, sf_dir, "pages"))).drop("payload")
 
 
+def op1_embedding_neardedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgate.llm.embeddings import dedup
+
+    return dedup(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_neardedup": op1_embedding_neardedup,
     "op2_pack_documents": op2_pack_documents,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc_index": op4_warc_index,
