@@ -66,6 +66,12 @@ def op1_embedding_neardedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgate.llm.substrings import remove
+
+    return remove(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardedup": op1_embedding_neardedup,
     "op2_pack_documents": op2_pack_documents,
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_fair_mix": op7_fair_mix,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash_neardedup": op9_simhash_neardedup,
 }
 
