@@ -94,3 +94,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     taken = placed.filter(~cut).select(*columns, whole.alias("taken")).unionByName(placed.filter(cut).withColumn("upto", upto).select(*columns, (F.col("upto") <= total).alias("taken")))
     out = taken.groupBy(*columns).agg(F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("taken"), F.count_if("taken").alias("copies"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of the mix with all their columns, each as often as the mix takes it. Rows equal in id and size take the larger number."""
+    found = mix(df, id_col, text_col, source_col, **how).filter("copies > 0")
+    found = written(found.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies")), "copies")
+    same = df[id_col].eqNullSafe(found["__id"]) & (n_words(df[text_col]) == found["__size"])
+    rows = df.join(found, same).withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return rows.select(*df.columns)

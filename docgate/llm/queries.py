@@ -72,6 +72,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgate.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardedup": op1_embedding_neardedup,
     "op2_pack_documents": op2_pack_documents,
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fair_mix": op7_fair_mix,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash_neardedup": op9_simhash_neardedup,
+    "op10_toxicity_crf": op10_toxicity_crf,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -222,3 +222,37 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(of.join(least, "root").select(F.col("fp").alias("node"), "component_id"), "classes")
     return docs.join(named, docs["fp"] == named["node"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = RADIUS) -> DataFrame:
+    """The row with the smallest id of each class, with all its columns.
+
+    Where ids repeat, a row is told by id and text; of rows alike in both, one stays. Classes of rows without any id
+    keep one row for each text.
+    """
+    found = written(classes(df, id_col, text_col, words, radius), "simhash-classes")
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    again = written(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again")), "repeated-ids")
+    kept = first.select(F.col("doc_id").alias("__id")).distinct()
+    rows = df.join(kept, df[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    if again.isEmpty():
+        return rows
+    once = rows.join(again, rows[id_col].eqNullSafe(again["__again"]), "left_anti")
+    repeated = rows.join(again, rows[id_col].eqNullSafe(again["__again"]), "left_semi").dropDuplicates([id_col, text_col])
+    own = written(fingerprints(repeated, id_col, text_col, words).distinct(), "repeated-fingerprints")
+    own = own.withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0")).join(first.select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__fp")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fingerprint") == F.col("__fp")), "left_semi")
+    marked = _with_fingerprint(repeated, text_col, words)
+    own = own.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__own"))
+    left = marked.join(own, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__own")), "left_semi")
+    return once.unionByName(left.dropDuplicates([id_col, "__fp"]).drop("__fp"))
+
+
+def _with_fingerprint(df: DataFrame, text_col: str, words: int) -> DataFrame:
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [int.from_bytes(fingerprint((t or "").encode(), words), "big", signed=True) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, "__fp"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__fp", T.LongType())]))
