@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docgate.functions.dialect import DUCK, SPARK, Dialect
 from docgate.functions.lexicon import CODES
-from docgate.operators import gate
+from docgate.operators import clean, gate, structure
 from docgate.plans import dirty
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
@@ -63,6 +63,64 @@ def candidate_select(d: Dialect) -> str:
         FROM ({first}) a FULL OUTER JOIN ({second}) b ON a.doc_id = b.doc_id"""
 
 
+@query
+def clean_text(d: Dialect) -> str:
+    return f"SELECT doc_id, cast(length(text) as bigint) AS chars, {d.sha256('text')} AS text_sha256 FROM ({clean.cleaned(d, dirty_source(d))}) c"
+
+
+@query
+def clean_rule_audit(d: Dialect) -> str:
+    return f"SELECT * FROM ({clean.audit(d, dirty_source(d))}) a"
+
+
+@query
+def clean_rule_counts(d: Dialect) -> str:
+    return f"SELECT rule_id, risk_level, cast(count(*) as bigint) AS documents, cast(sum(match_count) as bigint) AS matches FROM ({clean.audit(d, dirty_source(d))}) a GROUP BY rule_id, risk_level"
+
+
+@query
+def clean_html_tables(d: Dialect) -> str:
+    made = clean.steps(d, "html", clean.TABLE_STEPS)
+    return f"SELECT page_id, cast(length({made}) as bigint) AS chars, {d.sha256(made)} AS text_sha256 FROM pages"
+
+
+def _line_query(name: str, build) -> None:
+    def made(d: Dialect) -> str:
+        lines = build(d, dirty_source(d))
+        return f"SELECT doc_id, {d.sha256('text')} AS text_sha256, cast(length(text) as bigint) AS chars FROM ({structure.packed(d, lines)}) p"
+
+    SQL[name] = made
+
+
+for _name, _build in (
+    ("running_headers_removed", structure.without_running), ("book_titles_removed", structure.without_titles), ("dedupe_short_lines", structure.without_short_repeats),
+    ("heading_relevel", structure.relevelled), ("demote_headings", structure.demoted), ("toc_page_headings", structure.page_headings), ("trailing_cut", structure.trailing_cut),
+):
+    _line_query(_name, _build)
+
+
+@query
+def heading_level_cap(d: Dialect) -> str:
+    return structure.heading_levels(d, dirty_source(d))
+
+
+@query
+def heading_spacing(d: Dialect) -> str:
+    lines = structure.spaced(d, dirty_source(d))
+    return f"SELECT doc_id, {d.sha256('text')} AS text_sha256 FROM (SELECT doc_id, {d.join(d.gather('line', 'pos * 3 + sub'), chr(10))} AS text FROM ({lines}) s GROUP BY doc_id) p"
+
+
+@query
+def chunk_units(d: Dialect) -> str:
+    return f"SELECT doc_id, unit, cast(length(text) as bigint) AS chars, {d.sha256('text')} AS text_sha256 FROM ({structure.units(d, dirty_source(d))}) u"
+
+
+@query
+def strip_latex(d: Dialect) -> str:
+    made = clean.steps(d, "text", clean.LATEX_STEPS)
+    return f"SELECT doc_id, {d.sha256(made)} AS text_sha256 FROM {dirty_source(d)}"
+
+
 def _views(spark: SparkSession, sf_dir: str, sql: str) -> None:
     for name in TABLES:
         if name in sql:
