@@ -120,7 +120,7 @@ class SparkDialect(Dialect):
         return f"get_json_object({x}, '$.{key}')"
 
     def seconds(self, ts: str) -> str:
-        return f"unix_micros({ts})"
+        return f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})"
 
     def values(self, rows: list[tuple[str, ...]], columns: str) -> str:
         return f"(SELECT * FROM VALUES {', '.join('(' + ', '.join(r) + ')' for r in rows)} AS v({columns}))"

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docgate.functions.dialect import DUCK, SPARK, Dialect
 from docgate.functions.lexicon import CODES
-from docgate.operators import clean, gate, structure
-from docgate.plans import dirty
+from docgate.operators import clean, folds, gate, structure
+from docgate.plans import dirty, relational
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
 SQL: dict[str, Callable[[Dialect], str]] = {}
@@ -121,6 +121,26 @@ def strip_latex(d: Dialect) -> str:
     return f"SELECT doc_id, {d.sha256(made)} AS text_sha256 FROM {dirty_source(d)}"
 
 
+SQL.update({build.__name__: build for build in relational.RELATIONS})
+
+
+@query
+def local_gate(d: Dialect) -> str:
+    """The whole local run: clean every text, gate the result, and say what may be delivered under which hash."""
+    cleaned = f"(SELECT doc_id, text FROM ({clean.cleaned(d, dirty_source(d))}) c) cleaned"
+    return f"SELECT doc_id, accepted, {d.join('blocking', ',')} AS blocking, CASE WHEN accepted THEN {d.sha256('text')} END AS final_sha256 FROM ({gate.gated(d, cleaned)}) g"
+
+
+@query
+def collapse_guard(d: Dialect) -> str:
+    """Cleaning against what it was given: a result that lost its headings or gained a mega line isn't taken."""
+    cleaned = f"(SELECT doc_id, text FROM ({clean.cleaned(d, dirty_source(d))}) c) cleaned"
+    a, b = gate.measures(d, dirty_source(d)), gate.measures(d, cleaned)
+    return f"""SELECT a.doc_id, a.heading_count AS headings_before, b.heading_count AS headings_after, a.max_line_chars AS longest_before, b.max_line_chars AS longest_after,
+        (a.heading_count >= 5 AND b.heading_count * 2 < a.heading_count) OR (b.has_mega_line AND b.max_line_chars > a.max_line_chars) AS fall_back
+        FROM ({a}) a JOIN ({b}) b ON a.doc_id = b.doc_id"""
+
+
 def _views(spark: SparkSession, sf_dir: str, sql: str) -> None:
     for name in TABLES:
         if name in sql:
@@ -136,8 +156,32 @@ def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return call
 
 
+def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = dirty.view(SPARK)
+    _views(spark, sf_dir, sql)
+    return spark.sql(sql).select("doc_id", "text")
+
+
+def _fold(*names: str) -> Callable[[SparkSession, str], DataFrame]:
+    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return folds.apply(_dirty(spark, sf_dir), *names).selectExpr("doc_id", "sha2(text, 256) AS text_sha256", "cast(length(text) as bigint) AS chars")
+
+    return call
+
+
+def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.chunked(_dirty(spark, sf_dir)).selectExpr("doc_id", "chunk_index", "chunk_total", "length(text) AS chars")
+
+
+#: Without SQL to check them by: each line reads what the line before became.
+FOLDED = {
+    "clean_temperature": _fold("celsius"), "clean_bibliography": _fold("split_bibliography"), "clean_tables": _fold("normalize_tables"), "soft_join": _fold("soft_join"),
+    "merge_breaks": _fold("merge_breaks"), "split_overlong": _fold("split_overlong"), "clean_folds": _fold(*folds.FOLDS), "chunk_pack": chunk_pack,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run(name) for name in SQL}
+    return {name: run(name) for name in SQL} | FOLDED
 
 
 def oracle_sql() -> dict[str, str]:
