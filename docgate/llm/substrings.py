@@ -149,7 +149,8 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     copies = written(texts.groupBy("digest").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")).drop("digest"), "copies")
     found = _anchor_rows(texts, length, gram)
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("run").alias("least"), F.max("run").alias("most")).filter("times > 1")
-    again = again.select(F.col("anchor").alias("__anchor"), (F.col("least") == F.col("most")).alias("alike"))
+    # a table of its own, so that the join reads two plain exchanges, of which Spark can split a crowded partition
+    again = written(again.select(F.col("anchor").alias("__anchor"), (F.col("least") == F.col("most")).alias("alike")), "repeated-anchors")
     # of equal texts, the first stands for all
     joined = found.select("row", "anchor", "first", "count").join(again, F.col("anchor") == F.col("__anchor")).select("row", "first", "count", "alike")
     seeds = written(joined.join(copies.withColumnRenamed("row", "__row"), F.col("row") == F.col("__row")).drop("__row"), "seeds")
@@ -157,6 +158,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     fetched = open_runs.withColumnRenamed("row", "__row").join(texts.select("row", "data"), F.col("row") == F.col("__row"))
     windows = written(_windows(fetched, length), "windows")
     twice = windows.groupBy("one", "two").agg(F.sum("copies").alias("times")).filter("times > 1").select(F.col("one").alias("__one"), F.col("two").alias("__two"))
+    twice = written(twice, "repeated-windows")
     same = windows.filter("copies = 1").join(twice, (F.col("one") == F.col("__one")) & (F.col("two") == F.col("__two")))
     spans = same.select("row", F.col("start"), (F.col("start") + length).alias("stop")).unionByName(
         seeds.filter("alike and copies = 1").select("row", F.col("first").alias("start"), (F.col("first") + F.col("count") + (length - 1)).alias("stop"))
