@@ -48,7 +48,7 @@ FINE = [
     "# 书名\n\n## 图 3\n\n见图。",
     "# 书名\n\n## 例 3 王某\n\n文。",
     "# 书名\n\n## 住院号 1165\n\n文。",
-    "# 目录\n\n- 总论 12\n\n# 前言\n\n# 总论 12\n\n文。",
+    "# 目录\n\n- 甲证 3……12\n\n# 前言\n\n# 甲证 3\n\n文。",
     "# 卷一\n\n熟地 归身 炙草 人参 肉桂\n茯苓 白术 甘草 陈皮 半夏\n",
     "# 卷一\n\n（1）\n\n（1）\n\n（1）\n",
 ]
@@ -118,7 +118,7 @@ def test_sources(spark, tmp_path):
     found = files.discover(spark, str(tmp_path)).collect()
     assert [(r.name, r.kind) for r in found] == [("2 a.md", "markdown"), ("10 b.md", "markdown"), ("c.DOCX", "word"), ("x.pdf", "pdf")]
     assert sorted(r.text for r in files.texts(spark, str(tmp_path)).collect()) == ["ok �", "甲"]
-    gated = gate.gate(spark.createDataFrame([(1, "# 一\n\n文。"), (2, "#坏")], "doc_id long, text string"))
+    gated = gate.gate(spark.createDataFrame([(1, "# 卷一\n\n文。"), (2, "#坏")], "doc_id long, text string"))
     files.deliver(gated, f"{tmp_path}/out")
     back = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert back[1].status == "passed" and back[1].text and back[2].text is None and back[2].blocking == "invalid_heading_syntax"
