@@ -106,6 +106,10 @@ class SparkDialect(Dialect):
         # outer, since else a filter on the array's size is pushed below it and repeats whatever made the array
         return f"SELECT * FROM (SELECT {columns}, cast(pos as bigint) AS pos, item FROM {table} LATERAL VIEW OUTER posexplode({a}) e AS pos, item) WHERE pos IS NOT NULL"
 
+    def last(self, x: str) -> str:
+        """The last value that isn't null, for use over a window."""
+        return f"last_value({x}, true)"
+
     def fence(self, x: str) -> str:
         """x, computed once: filters on what depends on it stay above and aren't pushed into the expressions below."""
         return f"(CASE WHEN monotonically_increasing_id() >= 0 THEN {x} END)"
@@ -205,6 +209,9 @@ class DuckDialect(SparkDialect):
     def sha256(self, x: str) -> str:
         return f"sha256({x})"
 
+    def last(self, x: str) -> str:
+        return f"last_value({x} IGNORE NULLS)"
+
     def fence(self, x: str) -> str:
         return x
 

@@ -111,3 +111,47 @@ def units(d: Dialect, source: str) -> str:
     five = f"SELECT *, lag(gap) OVER w AS gap_before FROM ({four}) f WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"
     six = f"SELECT *, sum(CASE WHEN NOT gap AND coalesce(gap_before, true) THEN 1 ELSE 0 END) OVER w AS unit FROM ({five}) v WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"
     return f"SELECT doc_id, cast(unit as bigint) AS unit, {t.strip(d, d.join(d.gather('line', 'pos'), chr(10)))} AS text FROM ({six}) s WHERE NOT gap GROUP BY doc_id, unit"
+
+
+def without_echo(d: Dialect, source: str) -> str:
+    """Lines without a heading's echo: its characters one to a line right below it, blank lines between allowed before the first.
+
+    A glyph's number since the last other line tells which character of the heading it should be; the echo is there if
+    as many stand in place as the heading has."""
+    compact = d.sub("bare", f"{S}+")
+    one = f"SELECT *, {compact} AS compact, {d.like(compact, f'^[{CJK}A-Za-z0-9]$')} AS glyph FROM ({rows(d, source)}) r"
+    two = f"SELECT *, {d.last('CASE WHEN NOT glyph AND bare <> {} THEN pos END'.format(d.text('')))} OVER w AS head_pos, {d.last('CASE WHEN NOT glyph AND bare <> {} THEN bare END'.format(d.text('')))} OVER w AS head FROM ({one}) o WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    three = f"SELECT *, row_number() OVER (PARTITION BY doc_id, head_pos, glyph ORDER BY pos) AS k, {d.sub(t.heading_text(d, 'head'), f'{S}+')} AS title, {t.is_heading(d, 'head')} AS under_heading FROM ({two}) t"
+    four = f"SELECT *, glyph AND under_heading AND length(title) BETWEEN 2 AND 12 AND k <= length(title) AND pos - k = min(pos - k) OVER (PARTITION BY doc_id, head_pos, glyph) AND compact = substr(title, cast(k as int), 1) AS in_place FROM ({three}) h"
+    five = f"SELECT *, sum(CASE WHEN in_place THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, head_pos) AS places FROM ({four}) f"
+    return f"SELECT doc_id, pos, line FROM ({five}) v WHERE NOT coalesce(in_place AND places = length(title), false)"
+
+
+def without_prefix(d: Dialect, source: str, most: int = 80) -> str:
+    """Lines from the first heading on, where all that stands before it are short lines and no prose."""
+    state = f"SELECT *, min(CASE WHEN {t.is_heading(d, 'bare')} THEN pos END) OVER (PARTITION BY doc_id) AS first FROM ({rows(d, source)}) r"
+    prose = f"bare <> '' AND (length(bare) > 120 OR length(bare) >= 60 AND {d.like('bare', '[。！？]')})"
+    judged = f"SELECT *, max(CASE WHEN pos < first AND {prose} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS has_prose FROM ({state}) s"
+    return f"SELECT doc_id, pos, line FROM ({judged}) j WHERE NOT coalesce(pos < first AND first <= {most} AND has_prose = 0, false)"
+
+
+def declared_titles(d: Dialect, source: str) -> str:
+    """(doc_id, title): what the tables of contents list with a page, without it. A table ends at the next major heading."""
+    event = f"CASE WHEN {t.is_toc_heading(d, 'bare')} THEN 1 WHEN {t.is_heading(d, 'bare')} AND {t.is_major(d, t.heading_text(d, 'bare'))} THEN 0 END"
+    state = f"SELECT *, {d.last(event)} OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS in_toc FROM ({rows(d, source)}) r"
+    entry = t.squeeze(d, d.sub("bare", f"^[-*]{S}+"))
+    listed = f"SELECT doc_id, {entry} AS entry FROM ({state}) s WHERE in_toc = 1 AND {d.like('bare', f'^[-*]{S}+')}"
+    cut = f"SELECT doc_id, entry, {t.without_page(d, 'entry')} AS title FROM ({listed}) l"
+    return f"SELECT DISTINCT doc_id, {t.title_key(d, 'title')} AS title FROM ({cut}) c WHERE title <> entry"
+
+
+def without_page_suffix(d: Dialect, source: str) -> str:
+    """All lines; a heading that ends in a page number loses it, unless a table of contents declares the title with that number."""
+    forms = (rf"{S}*\^\(\d{{1,4}}\){S}*$", rf"{S}*[（(]\d{{1,4}}[）)]{S}*$", rf"[／/]{S}*\d{{1,4}}$", r"(?:\.{2,}|．{2,}|…{1,}|·{2,})\d{1,4}$", rf"{S}+\d{{1,4}}$")
+    heads = f"SELECT doc_id, pos, {d.group('bare', '^(#{1,6})')} AS marks, {t.heading_text(d, 'bare')} AS content, {t.title_key(d, t.heading_text(d, 'bare'))} AS title FROM ({rows(d, source)}) r WHERE {t.is_heading(d, 'bare')}"
+    open_heads = f"SELECT h.* FROM ({heads}) h LEFT JOIN ({declared_titles(d, source)}) x ON h.doc_id = x.doc_id AND h.title = x.title WHERE x.title IS NULL"
+    caret = d.like("content", forms[0])
+    shorter = "CASE " + " ".join(f"WHEN {d.like('content', p)} THEN {t.strip(d, d.sub('content', p))}" for p in forms) + " ELSE content END"
+    page = t.is_page_entry(d, t.squeeze(d, "content"))
+    changed = f"SELECT doc_id, pos, marks, {shorter} AS content FROM ({open_heads}) o WHERE {page} OR {caret}"
+    return f"SELECT r.doc_id, r.pos, CASE WHEN c.pos IS NULL OR c.content = '' THEN r.line ELSE concat(c.marks, ' ', c.content) END AS line FROM ({rows(d, source)}) r LEFT JOIN ({changed}) c ON r.doc_id = c.doc_id AND r.pos = c.pos"

@@ -95,6 +95,7 @@ def _line_query(name: str, build) -> None:
 for _name, _build in (
     ("running_headers_removed", structure.without_running), ("book_titles_removed", structure.without_titles), ("dedupe_short_lines", structure.without_short_repeats),
     ("heading_relevel", structure.relevelled), ("demote_headings", structure.demoted), ("toc_page_headings", structure.page_headings), ("trailing_cut", structure.trailing_cut),
+    ("heading_echo_removed", structure.without_echo), ("front_prefix_removed", structure.without_prefix), ("heading_page_suffix", structure.without_page_suffix),
 ):
     _line_query(_name, _build)
 
@@ -104,6 +105,11 @@ def heading_level_cap(d: Dialect) -> str:
     return structure.heading_levels(d, dirty_source(d))
 
 
+@query
+def toc_declared_titles(d: Dialect) -> str:
+    return structure.declared_titles(d, dirty_source(d))
+
+
 @query
 def heading_spacing(d: Dialect) -> str:
     lines = structure.spaced(d, dirty_source(d))

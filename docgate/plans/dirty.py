@@ -31,6 +31,8 @@ CASES = (
     "''",
     f"'封面' || {NL} || '某某主编' || {NL} || '# 前言' || {NL} || {HEAD} || {NL} || '# ★★' || {NL} || '## （12）'",
     f"'# Ã 乱码' || {NL} || '甲  乙' || {NL} || {HEAD}",
+    f"'# 前言' || {NL} || {NL} || '前' || {NL} || '言' || {NL} || '目' || {NL} || text",
+    f"'# 目录' || {NL} || '- 甲证 3……12' || {NL} || '# 前言' || {NL} || '# 甲证 3' || {NL} || '## 乙证 (4)' || {NL} || '## 丙证 ^(5)' || {NL} || {HEAD}",
     f"'# 散' || {NL} || '<details><summary>line</summary>x' || {NL} || 'y</details>' || {NL} || {NL} || {NL} || {NL} || {NL} || text || '   ' || {NL}",
     f"'# 引' || {NL} || text || {NL} || 'Document generated by Anna''s Archive around 2024' || {NL} || '{{\"filename_decoded\": 1}}' || {NL} || 'z'",
 )
