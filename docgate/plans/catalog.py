@@ -181,7 +181,7 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Without SQL to check them by: each line reads what the line before became.
 FOLDED = {
-    "clean_temperature": _fold("celsius"), "clean_bibliography": _fold("split_bibliography"), "clean_tables": _fold("normalize_tables"), "soft_join": _fold("soft_join"),
+    "clean_foreign_math": _fold("drop_foreign_math"), "clean_flowcharts": _fold("transcribe_flowcharts"), "clean_temperature": _fold("celsius"), "clean_bibliography": _fold("split_bibliography"), "clean_tables": _fold("normalize_tables"), "soft_join": _fold("soft_join"),
     "merge_breaks": _fold("merge_breaks"), "split_overlong": _fold("split_overlong"), "clean_folds": _fold(*folds.FOLDS), "chunk_pack": chunk_pack,
 }
 
