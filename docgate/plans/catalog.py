@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docgate.functions.dialect import DUCK, SPARK, Dialect
 from docgate.functions.lexicon import CODES
-from docgate.operators import clean, folds, gate, structure
+from docgate.operators import clean, finalize, folds, gate, structure
 from docgate.plans import dirty, relational
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
@@ -179,10 +179,21 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.chunked(_dirty(spark, sf_dir)).selectExpr("doc_id", "chunk_index", "chunk_total", "length(text) AS chars")
 
 
+def finalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned, structure put right, repaired, gated: what of the documents could be delivered."""
+    made = finalize.repair(finalize.finalize(clean.clean(_dirty(spark, sf_dir))))
+    return gate.gate(made).selectExpr("doc_id", "accepted", "array_join(blocking, ',') AS blocking", "sha2(text, 256) AS text_sha256")
+
+
+def structure_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = finalize.finalize(clean.clean(_dirty(spark, sf_dir))).selectExpr("explode(changes) AS change")
+    return changed.groupBy("change.step").agg({"*": "count"}).withColumnRenamed("count(1)", "documents")
+
+
 #: Without SQL to check them by: each line reads what the line before became.
 FOLDED = {
     "clean_foreign_math": _fold("drop_foreign_math"), "clean_flowcharts": _fold("transcribe_flowcharts"), "clean_temperature": _fold("celsius"), "clean_bibliography": _fold("split_bibliography"), "clean_tables": _fold("normalize_tables"), "soft_join": _fold("soft_join"),
-    "merge_breaks": _fold("merge_breaks"), "split_overlong": _fold("split_overlong"), "clean_folds": _fold(*folds.FOLDS), "chunk_pack": chunk_pack,
+    "merge_breaks": _fold("merge_breaks"), "split_overlong": _fold("split_overlong"), "clean_folds": _fold(*folds.FOLDS), "chunk_pack": chunk_pack, "finalized": finalized, "structure_changes": structure_changes,
 }
 
 

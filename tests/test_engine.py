@@ -107,6 +107,23 @@ def test_fold_and_plan_find_the_same_units(spark):
     assert all(counts.get(i, 0) == len(folds.units(texts[i])) for i in fine)
 
 
+@pytest.mark.parametrize(
+    ("build", "step"),
+    [("without_running", "drop_running"), ("without_echo", "drop_echo"), ("without_prefix", "drop_prefix"), ("without_titles", "drop_titles"), ("without_short_repeats", "drop_short_repeats"), ("relevelled", "cap_levels")],
+)
+def test_windows_and_functions_agree(spark, build, step):
+    from docgate.operators import finalize, structure
+
+    extra = ["# 前言\n\n前\n言\n目\n\n前", "# 甲乙\n甲\n\n乙", "甲\n# 书名\n## 书名\n# 书名\n```\n# 不是\n```\n#### 深", "短短短\n\n短短短\n\n\n短短短\n末", "", "\n\n"]
+    spark.read.parquet(f"{SF}/documents.parquet").createOrReplaceTempView("documents")
+    texts = {r.doc_id: r.text for r in spark.sql(dirty.view(SPARK)).collect() if "\r" not in r.text} | {10_000 + i: t for i, t in enumerate(extra)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").createOrReplaceTempView("lines_input")
+    sql = structure.packed(SPARK, getattr(structure, build)(SPARK, "lines_input"))
+    got = {r.doc_id: r.text for r in spark.sql(sql).collect()}
+    want = {i: "\n".join(getattr(finalize, step)(t.split("\n"))) for i, t in texts.items()}
+    assert {i: got.get(i, "") for i in texts} == want
+
+
 @pytest.mark.parametrize("name", ["gate_acceptance", "clean_text", "running_headers_removed", "heading_level_cap", "latest_state", "breaker_open_intervals"])
 def test_against_sql(spark, name):
     import duckdb
