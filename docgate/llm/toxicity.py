@@ -1,10 +1,11 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Labels say which documents are toxic, not which words. The labelled sample is therefore turned into labelled tokens: of a toxic document, those words are toxic that have a feature (the word, or its first 3 to 7
-letters) which is far more frequent among toxic documents. A two-state chain is trained on these tokens by gradient
-ascent on their likelihood. Forward-backward gives every word of a text its marginal; a document's score comes from
-the sum of the marginals that stand out, through a logistic curve; it is fitted on sums that models of one half of
-the sample give the other half. Words above one half make up the offending spans.
+Labels say which documents are toxic, not which words. The labelled sample is therefore turned into labelled tokens:
+of a toxic document, those words are toxic that have a feature (the word, or its first 3 to 6 letters) which is far
+more frequent among toxic documents. A two-state chain is trained on these tokens by gradient ascent on their
+likelihood. Forward-backward gives every word of a text its marginal; a document's score comes from the sum of the
+marginals that stand out, through a logistic curve; it is fitted on sums that models of one half of the sample give the
+other half. Words above one half make up the offending spans.
 
 Only rows of the labels that aren't held out (crc32 of the id as text, modulo 4, is not 2) are learned from, and of
 them at most `most` of either class, by a hash of the id, with texts of at most `most_chars` characters; near copies
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +38,15 @@ MOST_FEATURES = 30_000
 THRESHOLD = 0.3
 WORDS = r"[^\W\d_]+"
 #: Log-odds from which a feature marks the words of toxic documents, and the documents that must have it.
-ODDS, SUPPORT = 3.0, 4
+ODDS, SUPPORT = 3.5, 5
 #: Marginals below this are background.
 STANDS_OUT = 0.1
 
 
-def features(word: str) -> list[str]:
+def features(word: str) -> list[int]:
+    """The word and its first letters, each as a 32-bit hash."""
     word = word.lower()
-    return ["=" + word] + ["^" + word[:n] for n in range(3, 8) if len(word) >= n]
+    return [zlib.crc32(f.encode()) for f in ["=" + word] + ["^" + word[:n] for n in range(3, 7) if len(word) >= n]]
 
 
 def chain(odds: np.ndarray, begins: np.ndarray, step: np.ndarray, start: np.ndarray, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +103,7 @@ def chain(odds: np.ndarray, begins: np.ndarray, step: np.ndarray, start: np.ndar
 
 
 class Model:
-    def __init__(self, weights: dict[str, float], bias: float, step: np.ndarray, start: np.ndarray, curve: tuple[float, float]):
+    def __init__(self, weights: dict[int, float], bias: float, step: np.ndarray, start: np.ndarray, curve: tuple[float, float]):
         self.weights, self.bias, self.step, self.start, self.curve = weights, bias, step, start, curve
 
     def odds(self, word: str) -> float:
@@ -158,7 +160,8 @@ def train(rows: list[tuple[str, int]], base_rate: float, most_features: int = MO
     sums, label = [], []
     for own, other in (halves, halves[::-1]):
         if (half := _train(own, most_features, turns)) is not None:
-            sums.append(sums_of(*half.marginals([t for t, _ in other], {})))
+            for at in range(0, len(other), 200):
+                sums.append(sums_of(*half.marginals([t for t, _ in other[at : at + 200]], {})))
             label += [y for _, y in other]
     model = _train(rows, most_features, turns)
     if model is None or len(set(label)) < 2:
@@ -182,51 +185,74 @@ def _curve(x: np.ndarray, label: np.ndarray, base_rate: float) -> tuple[float, f
 
 
 def _train(rows: list[tuple[str, int]], most_features: int, turns: int) -> Model | None:
-    """The chain alone, or nothing if no word stands out."""
+    """The chain alone, or nothing if no word stands out. Tokens are held as numbers of distinct words, features by word."""
     find = re.compile(WORDS).findall
-    having: tuple[Counter, Counter] = (Counter(), Counter())
-    cut = [(find(text), y) for text, y in rows]
-    for words, y in cut:
-        having[y].update({f for w in set(words) for f in features(w)})
-    total = [sum(y == k for _, y in cut) for k in (0, 1)]
-    odds = {f: np.log((having[1][f] + 0.5) / (total[1] + 1)) - np.log((having[0][f] + 0.5) / (total[0] + 1)) for f in having[1].keys() | having[0].keys() if having[0][f] + having[1][f] >= SUPPORT}
-    marks = {f for f, x in odds.items() if x >= ODDS and having[1][f] >= SUPPORT}
-    used = {f: i for i, f in enumerate(sorted(odds, key=lambda f: (-abs(odds[f]), f))[:most_features])}
-    word_of: dict[str, tuple[list[int], bool]] = {}
-    place, feature, target, begins = [], [], [], []
-    at = 0
-    for words, y in cut:
-        for k, w in enumerate(words):
-            if w not in word_of:
-                own = features(w)
-                word_of[w] = [used[f] for f in own if f in used], any(f in marks for f in own)
-            own, marked = word_of[w]
-            place += [at] * len(own)
-            feature += own
-            target.append(bool(y) and marked)
-            begins.append(k == 0)
-            at += 1
-    if not any(target):
+    seen: dict[str, int] = defaultdict()
+    seen.default_factory = seen.__len__
+    own = [np.array([seen[w] for w in find(text)], np.int32) for text, _ in rows]
+    toxic = np.array([y for _, y in rows], bool)
+    each = [features(w) for w in seen]
+    words = len(each)
+    word = np.repeat(np.arange(words, dtype=np.int32), list(map(len, each)))
+    names, feature = np.unique(np.array([f for x in each for f in x], np.int64), return_inverse=True)
+    first = np.searchsorted(word, np.arange(words + 1))
+    del each, seen
+    having = np.zeros((2, len(names)))
+    for ids, y in zip(own, toxic.tolist(), strict=True):
+        distinct = np.unique(ids)
+        n = first[distinct + 1] - first[distinct]
+        at = np.repeat(first[distinct] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        having[int(y), np.unique(feature[at])] += 1
+    odds = np.log((having[1] + 0.5) / (toxic.sum() + 1)) - np.log((having[0] + 0.5) / ((~toxic).sum() + 1))
+    known = np.flatnonzero(having.sum(axis=0) >= SUPPORT)
+    used = known[np.lexsort((names[known], -np.abs(odds[known])))][:most_features]
+    marks = (odds >= ODDS) & (having[1] >= SUPPORT)
+    marked = np.bincount(word, marks[feature], words) > 0
+    number = np.full(len(names), -1, np.int64)
+    number[used] = np.arange(len(used))
+    keep = number[feature] >= 0
+    word, feature = word[keep], number[feature[keep]]
+    # blocks of whole documents, to bound what forward-backward holds
+    blocks, block, size = [], [], 0
+    for k, ids in enumerate(own):
+        if len(ids):
+            block.append(k)
+            size += len(ids)
+        if block and size >= 300_000 or block and k == len(own) - 1:
+            ids = np.concatenate([own[i] for i in block])
+            begins = np.zeros(len(ids), bool)
+            begins[np.cumsum([0] + [len(own[i]) for i in block[:-1]])] = True
+            y = np.repeat(toxic[block], [len(own[i]) for i in block]) & marked[ids]
+            blocks.append((ids, begins, y))
+            block, size = [], 0
+    if not any(y.any() for _, _, y in blocks):
         return None
-    place, feature, begins = np.array(place, np.int64), np.array(feature, np.int64), np.array(begins, bool)
-    y = np.array(target, float)
-    inside = ~begins
-    moved = np.bincount((2 * np.concatenate([[0], y[:-1]]) + y).astype(int)[inside], minlength=4).reshape(2, 2)
+    del own
+    moved, total, tokens = np.zeros((2, 2)), 0, np.zeros(words)
+    for ids, begins, y in blocks:
+        pair = 2 * np.concatenate([[0], y[:-1]]) + y
+        moved += np.bincount(pair[~begins], minlength=4).reshape(2, 2)
+        tokens += np.bincount(ids, minlength=words)
+        total += len(ids)
     # parameters: a weight for each feature, the bias, the log of the steps
-    value, fast, slow = np.zeros(len(used) + 5), np.zeros(len(used) + 5), np.zeros(len(used) + 5)
-    value[len(used)] = -4.0
-    scale = np.concatenate([np.maximum(5, np.bincount(feature, minlength=len(used))), [len(y)], np.full(4, len(y))])
+    count = len(used)
+    value, fast, slow = np.zeros(count + 5), np.zeros(count + 5), np.zeros(count + 5)
+    value[count] = -4.0
+    scale = np.concatenate([np.maximum(5, np.bincount(feature, tokens[word], count)), np.full(5, total)])
     start = np.array([0.5, 0.5])
     for turn in range(1, turns + 1):
-        score = np.bincount(place, value[feature], len(y)) + value[len(used)]
-        p, moves = chain(score, begins, np.exp(value[-4:]).reshape(2, 2), start)
-        gap = y - p
-        slope = np.concatenate([np.bincount(feature, gap[place], len(used)) - 0.01 * value[: len(used)], [gap.sum()], (moved - moves).ravel()]) / scale**0.5
+        score = np.bincount(word, value[feature], words) + value[count]
+        gap, moves = np.zeros(words), np.zeros((2, 2))
+        for ids, begins, y in blocks:
+            p, m = chain(score[ids], begins, np.exp(value[-4:]).reshape(2, 2), start)
+            gap += np.bincount(ids, y - p, words)
+            moves += m
+        slope = np.concatenate([np.bincount(feature, gap[word], count) - 0.01 * value[:count], [gap.sum()], (moved - moves).ravel()]) / scale**0.5
         fast, slow = 0.9 * fast + 0.1 * slope, 0.99 * slow + 0.01 * slope**2
         value = value + 0.3 * (fast / (1 - 0.9**turn)) / (np.sqrt(slow / (1 - 0.99**turn)) + 1e-8)
         value[-4:] = np.clip(value[-4:], -8, 8)
-    weights = {f: float(value[i]) for f, i in used.items() if abs(value[i]) > 1e-3}
-    return Model(weights, float(value[len(used)]), np.exp(value[-4:]).reshape(2, 2), start, (0.0, 1.0))
+    weights = {int(names[f]): float(value[i]) for i, f in enumerate(used) if abs(value[i]) > 1e-3}
+    return Model(weights, float(value[count]), np.exp(value[-4:]).reshape(2, 2), start, (0.0, 1.0))
 
 
 def held_out(column: Column) -> Column:
