@@ -183,7 +183,7 @@ def dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     roots = components(found.filter("b is not null").select("a", "b"))
     named = distinct.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node"))
     named = written(named.join(counts, F.col("node") == F.col("a"), "left").select("values", "root", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "vector-roots")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     classes = written(named.join(least, "root").select(F.col("values").alias("__values"), "n_links", "component_id"), "vector-classes")
     lone = rows.filter("values is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     linked = rows.join(classes, F.col("values") == F.col("__values")).select("vec_id", "n_links", "component_id")
