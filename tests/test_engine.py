@@ -97,6 +97,17 @@ def test_flowcharts_and_foreign_math():
     assert folds.drop_foreign_math(plain) == plain
 
 
+def test_tables_of_contents():
+    from docgate.operators.finalize import tidy_contents
+
+    got = tidy_contents(["# 目录", "## 总论 (1)", "各论……12", "万里云大万里路", "——自传 (30)", "", "# 前言", "正文。", "# 目 录", "一、全身证状"])
+    assert got == ["# 目录", "- 总论 (1)", "- 各论……12", "- 万里云大万里路——自传 (30)", "", "# 前言", "正文。", "一、全身证状"]
+    assert tidy_contents(got) == got
+    bare = tidy_contents(["书", "甲 (1)", "乙 (2)", "丙 (3)", "这里是正文"])
+    assert bare == ["书", "# 目录", "- 甲 (1)", "- 乙 (2)", "- 丙 (3)", "这里是正文"]
+    assert tidy_contents(["甲 (1)", "正文"]) == ["甲 (1)", "正文"] and tidy_contents([]) == []
+
+
 def test_fold_and_plan_find_the_same_units(spark):
     sql = dirty.view(SPARK)
     spark.read.parquet(f"{SF}/documents.parquet").createOrReplaceTempView("documents")
