@@ -92,6 +92,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity_crf": op10_toxicity_crf,
 }
 
+def _secrets_sql() -> str:
+    from docgate.llm.secrets import RULES
+
+    kinds = " UNION ALL ".join(
+        "SELECT doc_id, '{0}' AS kind, {1} AS rank, {2} AS least, regexp_extract_all(x, '{3}', 0) AS ms, regexp_extract_all(x, '{3}', {4}) AS js, string_split_regex(x, '{3}') AS ps FROM t".format(
+            kind, rank, least, pattern.replace("'", "''"), group
+        )
+        for rank, (kind, pattern, group, least) in enumerate(RULES)
+    )
+    counts = ", ".join(f"coalesce(count_if(kind = '{kind}'), 0)::BIGINT AS n_{kind}" for kind, *_ in RULES)
+    spans = "coalesce(string_agg(kind || ':' || a || ':' || (a + size), ',' ORDER BY a, rank), '')"
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), m AS ({kinds}),
+        e AS (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM m),
+        s AS (SELECT doc_id, kind, rank, least, len(ms[k]) AS size, len(js[k]) AS judged,
+                     (list_sum(list_transform(list_slice(ps, 1, k), lambda y: len(y))) + coalesce(list_sum(list_transform(list_slice(ms, 1, k - 1), lambda y: len(y))), 0))::BIGINT AS a FROM e)
+        SELECT t.doc_id, {counts}, sha256({spans}) AS base_sha256, {spans} AS spans
+        FROM t LEFT JOIN (SELECT * FROM s WHERE judged >= least) f ON t.doc_id = f.doc_id GROUP BY t.doc_id"""
+
+
+_SECRETS_SQL = _secrets_sql()
+
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256 FROM documents)
@@ -125,4 +147,23 @@ ORACLE_SQL: dict[str, str] = {
         queue AS (SELECT *, sum(size) OVER (ORDER BY finish, key ROWS UNBOUNDED PRECEDING) <= budget AS taken FROM timed)
         SELECT doc_id, size, source_size, target, sum(CASE WHEN taken THEN size ELSE 0 END)::BIGINT AS taken, count_if(taken)::BIGINT AS copies
         FROM queue GROUP BY doc_id, size, source_size, target""",
+    "op1_embedding_neardedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT c.a AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN n ON c.a = n.a""",
+    "op6_secret_ledger": _SECRETS_SQL,
+    "op8_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        k AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+        r AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM k JOIN r USING (h))),
+        each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+        left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN left_over USING (doc_id)""",
 }

@@ -54,7 +54,7 @@ def test_warc(spark):
     assert read(write(df.limit(0))).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op3_exact_dedup", "op4_warc_index", "op7_fair_mix"])
+@pytest.mark.parametrize("name", ["op1_embedding_neardedup", "op3_exact_dedup", "op4_warc_index", "op6_secret_ledger", "op7_fair_mix", "op8_substring_dedup"])
 def test_against_sql(spark, name):
     import duckdb
 
@@ -63,7 +63,7 @@ def test_against_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     got = QUERIES[name](spark, sf)
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
     assert Counter(tuple(r) for r in got.collect()) == Counter(want)
