@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from docgate.functions.dialect import Dialect
 from docgate.functions.lexicon import (
-    BODY_PARTS, CJK, COVER_FRAGMENTS, DOSAGE, FRONT_MATTER_STARTS, GATE_LABELS, LINE_END, MAJOR_HEADINGS, NS, NUMERALS, READABLE, RELIABLE_FRONT, S, SERIES_TITLES, SPACE, TITLE_PAGE_WORDS,
+    CJK, COVER_FRAGMENTS, DOSAGE, FRONT_MATTER_STARTS, GATE_LABELS, LINE_END, MAJOR_HEADINGS, NS, NUMERALS, READABLE, RELIABLE_FRONT, S, SERIES_TITLES, TITLE_PAGE_WORDS,
 )
 
-del BODY_PARTS
-
-
 def strip(d: Dialect, x: str) -> str:
     return d.sub(x, f"^{S}+|{S}+$")
 
@@ -20,7 +17,7 @@ def squeeze(d: Dialect, x: str) -> str:
 
 def lines(d: Dialect, x: str) -> str:
     """All lines, whatever ends them; no empty one behind a last line end."""
-    return d.split(d.sub(x, rf"(?:{LINE_END})\z"), LINE_END) if d.name == "spark" else d.split(d.sub(x, rf"(?:{LINE_END})\z"), LINE_END)
+    return d.split(d.sub(x, rf"(?:{LINE_END})\z"), LINE_END)
 
 
 def lines_nl(d: Dialect, x: str) -> str:
@@ -160,7 +157,3 @@ def is_image(d: Dialect, x: str) -> str:
 def repeats_by_right(d: Dialect, x: str) -> str:
     """List markers, labels and formula rows, which may repeat in a body."""
     return f"({d.like(x, rf'^(?:[-*+]{S}*)?[（(]\d{{1,3}}[）)]$')} OR {d.like(x, rf'^(?:(?:[-*+]{S}*)+)?【[^】]{{1,12}}】$')} OR {d.like(squeeze(d, x), f'^[{CJK}A-Za-z0-9·•]{{1,12}}(?:汤|散|丸|饮|膏|丹|煎|方) [{CJK}A-Za-z]')})"
-
-
-def space_class() -> str:
-    return SPACE

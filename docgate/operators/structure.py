@@ -57,7 +57,7 @@ def heading_levels(d: Dialect, source: str) -> str:
 
 def relevelled(d: Dialect, source: str) -> str:
     """All lines, headings with their capped level."""
-    marks = f"repeat('#', cast(capped as int))"  # noqa: F541
+    marks = "repeat('#', cast(capped as int))"
     return f"SELECT r.doc_id, r.pos, CASE WHEN h.pos IS NULL THEN r.line ELSE concat({marks}, ' ', h.content) END AS line FROM ({rows(d, source)}) r LEFT JOIN ({heading_levels(d, source)}) h ON r.doc_id = h.doc_id AND r.pos = h.pos"
 
 

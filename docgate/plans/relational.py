@@ -132,7 +132,7 @@ def coalesce_repaired(d: Dialect) -> str:
 def model_recommendation(d: Dialect) -> str:
     """Models (stages stand for them) by their failures, then cost: the first without failures above a tenth is recommended."""
     stats = f"SELECT event_type AS model, cast(count(*) as bigint) AS calls, cast(sum(CASE WHEN value > {FAILED_ABOVE} THEN 1 ELSE 0 END) as bigint) AS failed, cast(sum({milli('value')}) as bigint) AS cost FROM events GROUP BY event_type"
-    return f"SELECT model, calls, failed, cost, cast(row_number() OVER (ORDER BY CASE WHEN failed * 10 <= calls THEN 0 ELSE 1 END, failed * 1000000 / calls, cost, model) as bigint) AS choice FROM ({stats}) s" if d.name == "spark" else f"SELECT model, calls, failed, cost, cast(row_number() OVER (ORDER BY CASE WHEN failed * 10 <= calls THEN 0 ELSE 1 END, failed * 1000000.0 / calls, cost, model) as bigint) AS choice FROM ({stats}) s"
+    return f"SELECT model, calls, failed, cost, cast(row_number() OVER (ORDER BY CASE WHEN failed * 10 <= calls THEN 0 ELSE 1 END, cast(failed as double) / calls, cost, model) as bigint) AS choice FROM ({stats}) s"
 
 
 def page_segments(d: Dialect, most: int = 5) -> str:
