@@ -54,7 +54,8 @@ def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support:
     same = rows[id_col].eqNullSafe(kept["__id"]) & (rows["__digest"] == kept["__digest"])
     # ids that repeat are few or none; only their rows are counted out
     again = written(df.groupBy(F.col(id_col).alias("__again")).count().filter("count > 1").select("__again"), "repeated-ids")
-    left = rows.join(kept, same, "left_semi")
+    # merged whatever its size: what is kept grows with the input, and plans at all sizes are alike
+    left = rows.join(kept.hint("merge"), same, "left_semi")
     if not again.isEmpty():
         repeated = left.join(again, left[id_col].eqNullSafe(again["__again"]), "left_semi")
         first = Window.partitionBy(id_col, "__digest").orderBy("__row")

@@ -101,5 +101,6 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     found = mix(df, id_col, text_col, source_col, **how).filter("copies > 0")
     found = written(found.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies")), "copies")
     same = df[id_col].eqNullSafe(found["__id"]) & (n_words(df[text_col]) == found["__size"])
-    rows = df.join(found, same).withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    # merged whatever its size: what is taken grows with the input, and plans at all sizes are alike
+    rows = df.join(found.hint("merge"), same).withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return rows.select(*df.columns)

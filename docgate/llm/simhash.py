@@ -219,7 +219,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     roots = components(ball_links(nodes, radius, most))
     of = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     of = written(of, "roots")
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = written(of.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = written(of.join(least, "root").select(F.col("fp").alias("node"), "component_id"), "classes")
     return docs.join(named, docs["fp"] == named["node"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -234,7 +234,8 @@ def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     again = written(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again")), "repeated-ids")
     kept = first.select(F.col("doc_id").alias("__id")).distinct()
-    rows = df.join(kept, df[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    # merged whatever its size: what is kept grows with the input, and plans at all sizes are alike
+    rows = df.join(kept.hint("merge"), df[id_col].eqNullSafe(kept["__id"]), "left_semi")
     if again.isEmpty():
         return rows
     once = rows.join(again, rows[id_col].eqNullSafe(again["__again"]), "left_anti")
