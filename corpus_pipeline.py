@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgate.llm import exact_dedup, mixing, packing, simhash, toxicity
+from docgate.llm import exact_dedup, mixing, near_copies, packing, toxicity
 from docgate.llm.common import table, written
 from docgate.llm.queries import tokenizer
 
@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep(docs)
+    return near_copies.keep(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
-    ("SimHash near-dedup", drop_near_copies),
+    ("near-dedup", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
