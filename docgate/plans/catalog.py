@@ -163,7 +163,7 @@ def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = dirty.view(SPARK)
+    sql = dirty.whole(SPARK)
     _views(spark, sf_dir, sql)
     return spark.sql(sql).select("doc_id", "text")
 

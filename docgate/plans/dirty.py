@@ -36,11 +36,24 @@ CASES = (
     f"'# 散' || {NL} || '<details><summary>line</summary>x' || {NL} || 'y</details>' || {NL} || {NL} || {NL} || {NL} || {NL} || text || '   ' || {NL}",
     f"'# 引' || {NL} || text || {NL} || 'Document generated by Anna''s Archive around 2024' || {NL} || '{{\"filename_decoded\": 1}}' || {NL} || 'z'",
 )
+#: The same artefacts around whole texts: the long line stands before its text, and the empty text is a row of its own.
+WHOLE = tuple("text" if c == "''" else f"{c} || {NL} || text" if "repeat(" in c else c.replace(HEAD, "text") for c in CASES)
+EMPTY_ID = -1
 
 
 def view(d: Dialect) -> str:
-    cases = " ".join(f"WHEN {i} THEN {c.replace('{{', '{').replace('}}', '}')}" for i, c in enumerate(CASES))
-    return f"SELECT doc_id, lang, source, CASE doc_id % {len(CASES)} {_literals(d, cases)} END AS text FROM documents"
+    return _view(d, CASES)
+
+
+def whole(d: Dialect) -> str:
+    """Every document with all of its text, and an empty one."""
+    none = "string" if d.name == "spark" else "varchar"
+    return f"{_view(d, WHOLE)} UNION ALL SELECT cast({EMPTY_ID} as bigint) AS doc_id, cast(NULL as {none}) AS lang, cast(NULL as {none}) AS source, '' AS text"
+
+
+def _view(d: Dialect, made: tuple[str, ...]) -> str:
+    cases = " ".join(f"WHEN {i} THEN {c.replace('{{', '{').replace('}}', '}')}" for i, c in enumerate(made))
+    return f"SELECT doc_id, lang, source, CASE doc_id % {len(made)} {_literals(d, cases)} END AS text FROM documents"
 
 
 def _literals(d: Dialect, sql: str) -> str:
