@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -60,25 +61,30 @@ def json_object(content: str) -> dict:
     raise ValueError("no JSON object in the answer")
 
 
-def call(asked: DataFrame, client: Client, cache: DataFrame | None = None, attempts: int = 3, breaker: int = 5) -> DataFrame:
-    """asked: rows with prompt and prompt_sha256. Adds answer (JSON). An answer that failed has status error; after so many failures in a row a task stops calling."""
+def call(asked: DataFrame, client: Client, cache: DataFrame | None = None, attempts: int = 3, breaker: int = 5, recovery: float = 60.0) -> DataFrame:
+    """asked: rows with prompt and prompt_sha256. Adds answer (JSON). An answer that failed has status error.
+
+    After `breaker` failures in a row a task waits `recovery` seconds before it tries its next prompt, with one call; a call that succeeds closes the breaker."""
     wanted = asked.select("prompt_sha256", "prompt").dropDuplicates(["prompt_sha256"])
     if cache is not None:
         wanted = wanted.join(cache.select("prompt_sha256"), "prompt_sha256", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        failures = 0
+        failures, opened = 0, 0.0
         for batch in batches:
             answers = []
             for prompt in batch.column("prompt").to_pylist():
-                answer: dict = {"status": "error", "error": "circuit open"}
-                for _ in range(attempts if failures < breaker else 0):
+                answer: dict = {}
+                if half_open := failures >= breaker:
+                    time.sleep(max(0.0, opened + recovery - time.monotonic()))
+                for _ in range(1 if half_open else attempts):
                     try:
                         answer = client.complete_json(prompt)
                         failures = 0
                         break
                     except Exception as e:  # a client may fail in any way; the row says how
                         answer, failures = {"status": "error", "error": str(e)[:500]}, failures + 1
+                        opened = time.monotonic()
                 answers.append(json.dumps(answer, ensure_ascii=False))
             yield pa.RecordBatch.from_arrays([batch.column("prompt_sha256"), pa.array(answers, pa.string())], ["prompt_sha256", "answer"])
 

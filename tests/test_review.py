@@ -40,6 +40,25 @@ def test_cached_answers_are_not_asked_again(spark):
     assert [r.accepted for r in review.verdicts(review.call(asked, Never(), cache)).collect()] == [True]
 
 
+def test_breaker_lets_calls_through_after_recovery(spark):
+    class Outage:
+        """Down for half a second from the first call of a task on."""
+
+        up = None
+
+        def complete_json(self, prompt):
+            import time
+
+            self.up = self.up or time.monotonic() + 0.5
+            if time.monotonic() < self.up:
+                raise RuntimeError("service down")
+            return {"status": "passed"}
+
+    asked = review.prompts(spark.createDataFrame([(i, 1, f"t{i}") for i in range(40)], "doc_id long, chunk_index int, text string"), "accept")
+    judged = review.verdicts(review.call(asked, Outage(), recovery=1.0)).collect()
+    assert len(judged) == 40 and sum(r.accepted for r in judged) >= 32  # a task of at most four loses two prompts
+
+
 def test_json_in_answers():
     assert review.json_object('```json\n{"a": 1}\n```') == {"a": 1} and review.json_object('so: {"a": {"b": 2}} end') == {"a": {"b": 2}}
     for bad in ("[1]", "none", "{"):
