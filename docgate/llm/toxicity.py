@@ -13,7 +13,7 @@ count once. That sample is what the driver holds. Scoring reads every whole text
 `most_features` weights, goes along with the function.
 
 Defined results: a null or empty text has no words and gets the score of no evidence; without labels of both classes
-every score is the share of toxic labels (0 without any); a null doc_id is not held out; repeated rows get equal
+every score is the share of toxic labels (0 without any), and as without a word that stands out none is predicted toxic; a null doc_id is not held out; repeated rows get equal
 scores; an empty table gives an empty result. Columns other than id and text are never read for a score.
 """
 
@@ -106,6 +106,11 @@ class Model:
     def __init__(self, weights: dict[int, float], bias: float, step: np.ndarray, start: np.ndarray, curve: tuple[float, float]):
         self.weights, self.bias, self.step, self.start, self.curve = weights, bias, step, start, curve
 
+    @property
+    def blank(self) -> bool:
+        """Whether nothing was learned: all texts get the same score, which tells none from another."""
+        return not self.weights
+
     def odds(self, word: str) -> float:
         return self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
 
@@ -299,11 +304,13 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     made = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("score", T.DoubleType()), *T._parse_datatype_string("spans array<struct<start:int,stop:int>>").fields])
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, made)
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.lit(not model.blank) & (F.col("score") >= threshold)).cast("int").alias("predicted"), "spans")
 
 
 def keep(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose texts score below the threshold, with all their columns."""
+    """The rows whose texts score below the threshold, with all their columns; all rows, if nothing was learned."""
+    if model.blank:
+        return df
     small_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
