@@ -1,10 +1,17 @@
-"""Near copies by MinHash: texts that share 0.8 or more of their runs of five words.
+"""Near copies by SimHash over several blocks of bits: texts that share 0.8 or more of their runs of five words.
 
 Similarity is the Jaccard index of two texts' sets of distinct runs of `words` words (ASCII lower case, split at ASCII
-white space). A text's signature is `BANDS` keys of `ROWS` least hashes each; two texts of similarity s share a key with
-probability 1 - (1 - s^ROWS)^BANDS, which at 0.8 is 0.99995. Texts that share a key are compared exactly, by their sets,
-so nothing below the threshold is linked. Each is compared with the least text of its bucket first; then, of what is not
-yet in one component, every pair of a bucket is compared. No bucket is capped and no pair dropped.
+white space). At 0.8, two 64-bit fingerprints differ in some ten bits, too many for a ball around the whole. So a text
+gets a long fingerprint, cut into blocks of `width` bits; in a block, texts meet by ball hashing as in `simhash`, with
+radius 2: each emits all words within one bit, dealt out by their first bits and completed in the receiving task, and
+texts that share a word meet. The cosine of two sets of Jaccard index s is 2s/(1+s) at least, so the chance that a block
+differs in two bits at most is known, and `shape` takes as many blocks as find a pair at the threshold with the given
+recall (pairs above it are found more surely). The width follows the number of texts, so that unlike texts rarely meet.
+
+Texts that meet are compared exactly, by their sets, so nothing below the threshold is linked. Each is compared with the
+least text of its group first (unless 64 further bits rule it out); then, in groups whose members are not yet in one
+component, all are compared with one another, in blocks inside a task, which returns a forest; pairs are not emitted. No
+group is capped and no pair dropped.
 
 Defined results: a null text is an empty one; texts alike in their words are one node; of each class the row with the
 smallest id stays (without any id, that with the least digest), once if it is repeated; an empty table gives an empty
@@ -14,6 +21,7 @@ result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -25,12 +33,21 @@ from pyspark.sql import types as T
 
 from docgate.llm.common import slices, small_batches, written
 from docgate.llm.components import components
-from docgate.llm.simhash import SEED
+from docgate.llm.simhash import SEED, _forest
 
 WORDS = 5
 #: The similarity from which texts are near copies, as a fraction.
 LEAST = (4, 5)
-BANDS, ROWS = 25, 5
+#: Chance that a pair right at the threshold meets.
+RECALL = 0.98
+#: Bits of a block beyond the binary logarithm of the number of texts.
+SPARE = 8
+#: Texts that begin with the same bits of a block, on average; texts of a bucket above which it is dealt out by words.
+PER_PREFIX, MOST = 256, 100_000
+#: Members of a group that are compared in one block, and bytes of their sets at most, about.
+BLOCK, BLOCK_BYTES = 512, 32 << 20
+#: Standard deviations by which a true pair's check bits may differ more than expected.
+SURE = 5.0
 
 
 def normal(text: bytes) -> list[bytes]:
@@ -55,43 +72,53 @@ def shingles(found: list[bytes], words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[words - 1 :], strict=False)], np.uint64))
 
 
+def differing(least: tuple[int, int]) -> float:
+    """The chance that a bit differs between texts at the threshold."""
+    s = least[0] / least[1]
+    return math.acos(min(1.0, 2 * s / (1 + s))) / math.pi
+
+
+def shape(count: int, least: tuple[int, int] = LEAST, recall: float = RECALL) -> tuple[int, int]:
+    """The width of a block in bits, and the number of blocks."""
+    p, width = differing(least), min(48, max(20, SPARE + math.ceil(math.log2(max(2, count)))))
+    close = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(3))
+    return width, max(1, math.ceil(math.log(1 - recall) / math.log(1 - close))) if close < 1 else 1
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-_draw = np.random.default_rng(SEED)
-_MULTIPLY = _draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """`words` 64-bit words of SimHash of a set: a bit is 1 if set in more than half of the members' hashes, each mixed anew for every word."""
+    salt = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    total = np.zeros(words * 64, np.int64)
+    for lo in range(0, len(hashes), 255):
+        bits = np.unpackbits(_mix(hashes[lo : lo + 255, None] ^ salt[None, :]).view(np.uint8), axis=1)
+        total += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(hashes)).view(np.uint64)
 
 
-def keys(hashes: np.ndarray) -> np.ndarray:
-    """The keys of a set's bands; an empty set has none."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(hashes), 2048):
-        some = hashes[lo : lo + 2048]
-        least = np.minimum(least, _mix(some[None, :] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1))
-    key = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    for column in least.reshape(BANDS, ROWS).T:
-        key = _mix(key ^ column) + np.uint64(1)
-    return key.view(np.int64)
+def blocks_of(long: np.ndarray, width: int, blocks: int) -> np.ndarray:
+    """long: (texts, words). The blocks of each as numbers."""
+    bits = np.unpackbits(long.view(np.uint8), axis=1)[:, : width * blocks].reshape(len(long), blocks, width)
+    return (bits.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
 
 
-def _signatures(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc_id, node, keys) for each row."""
+def _signatures(df: DataFrame, id_col: str, text_col: str, words: int, long_words: int) -> DataFrame:
+    """(doc_id, node, long) for each row: a digest of its words, and its long fingerprint."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
                 found = [normal(t or b"") for t in batch.column("text").to_pylist()]
-                own = [keys(shingles(f, words)) for f in found]
-                made = pa.ListArray.from_arrays(np.cumsum([0, *map(len, own)]).astype(np.int32), pa.array(np.concatenate(own) if own else []))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([digest(f) for f in found], pa.binary()), made], ["doc_id", "node", "keys"])
+                long = [long_fingerprint(shingles(f, words), long_words).tobytes() for f in found]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([digest(f) for f in found], pa.binary()), pa.array(long, pa.binary())], ["doc_id", "node", "long"])
 
-    made = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    made = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("node", T.BinaryType()), T.StructField("long", T.BinaryType())])
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, made)
 
 
@@ -108,6 +135,108 @@ def _with_node(df: DataFrame, text_col: str) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__node", T.BinaryType())]))
 
 
+def _dealt(nodes: DataFrame, width: int, blocks: int, prefix: int) -> DataFrame:
+    """nodes: (node, long). (place, node, word, other): each text's places (a block and the first `prefix` bits of its words there), its bits of the block, and 64 further bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.uint64(width - prefix)
+        flips = np.concatenate([[0], np.uint64(1) << np.arange(prefix, dtype=np.uint64)]).astype(np.uint64)
+        base = np.arange(blocks, dtype=np.uint64) << np.uint64(prefix)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 64):
+                batch = whole.slice(lo, 64)
+                long = np.frombuffer(b"".join(batch.column("long").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+                word = blocks_of(long[:, :-1].copy(), width, blocks)
+                place = (base[None, :, None] | ((word >> rest)[:, :, None] ^ flips[None, None, :])).reshape(len(long), -1)
+                per = place.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(place.ravel().view(np.int64)),
+                        batch.column("node").take(pa.array(np.repeat(np.arange(len(long)), per))),
+                        pa.array(np.repeat(word, len(flips), axis=1).ravel().view(np.int64)),
+                        pa.array(np.repeat(long[:, -1], per).view(np.int64)),
+                    ],
+                    ["place", "node", "word", "other"],
+                )
+
+    return nodes.mapInArrow(run, "place long, node binary, word long, other long")
+
+
+def meet(place: int, node: np.ndarray, word: np.ndarray, other: np.ndarray, width: int, prefix: int, apart: int) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+    """Of the texts of a place (nodes sorted and distinct): pairs (least of a group, member) that the further bits allow, and groups of three or more, as positions."""
+    rest = width - prefix
+    start = np.uint64(place & ((1 << prefix) - 1))
+    whole = np.flatnonzero((word >> np.uint64(rest)) == start)  # these may differ by one bit in the rest, all others in none
+    low = word & np.uint64((1 << rest) - 1)
+    flips = np.uint64(1) << np.arange(rest, dtype=np.uint64)
+    made = np.concatenate([low, (low[whole, None] ^ flips[None, :]).ravel()])
+    owner = np.concatenate([np.arange(len(node)), np.repeat(whole, rest)])
+    order = np.lexsort((owner, made))
+    made, owner = made[order], owner[order]
+    cuts = np.flatnonzero(np.concatenate([[True], made[1:] != made[:-1], [True]]))
+    pairs, groups = set(), {}
+    for at in np.flatnonzero(np.diff(cuts) > 1).tolist():
+        members = owner[cuts[at] : cuts[at + 1]]
+        near = np.bitwise_count(other[members[1:]] ^ other[members[0]]) <= apart
+        pairs.update((int(members[0]), int(m)) for m in members[1:][near])
+        if len(members) > 2:
+            groups[members.tobytes()] = members
+    return sorted(pairs), list(groups.values())
+
+
+def _meetings(rows: DataFrame, width: int, prefix: int, apart: int) -> DataFrame:
+    """(key, a, b): pairs to compare, key null; members b of groups of three or more by key, a null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(place: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+            group = pa.Table.from_batches(parts)
+            if group.num_rows < 2:
+                return None
+            node = np.array(group.column("node").to_pylist(), object)
+            word, other = (group.column(c).to_numpy().view(np.uint64) for c in ("word", "other"))
+            order = np.array(sorted(range(len(node)), key=node.__getitem__))
+            order = order[np.concatenate([[True], node[order][1:] != node[order][:-1]])]
+            node, word, other = node[order], word[order], other[order]
+            pairs, groups = meet(place, node, word, other, width, prefix, apart)
+            keys = [hashlib.md5(b"".join(node[m].tolist()), usedforsecurity=False).digest() for m in groups]
+            key = [None] * len(pairs) + [k for k, m in zip(keys, groups, strict=True) for _ in m]
+            a = [node[x] for x, _ in pairs] + [None] * (len(key) - len(pairs))
+            b = [node[y] for _, y in pairs] + [x for m in groups for x in node[m].tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (key, a, b)], ["key", "a", "b"])
+
+        at, kept = None, []
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if kept and place[lo] != at:
+                    if (made := out(at, kept)) is not None:
+                        yield made
+                    kept = []
+                at = int(place[lo])
+                kept.append(batch.slice(lo, hi - lo))
+        if kept and (made := out(at, kept)) is not None:
+            yield made
+
+    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(run, "key binary, a binary, b binary")
+
+
+def _by_words(rows: DataFrame, width: int, prefix: int) -> DataFrame:
+    """As _meetings for crowded places, each word a key of its own."""
+    rest = width - prefix
+    start = F.col("place").bitwiseAND(F.lit((1 << prefix) - 1))
+    low = F.col("word").bitwiseAND(F.lit((1 << rest) - 1))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(rest)])
+    made = F.when(F.shiftrightunsigned("word", rest) == start, flips).otherwise(F.array(F.lit(0).cast("long")))
+    each = rows.select("node", F.sha1(F.concat_ws(":", "place", low.bitwiseXOR(F.explode(made)))).cast("binary").alias("key")).distinct()
+    least = written(each.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded-words")
+    both = each.join(least, "key")
+    pairs = both.filter("node <> a").select(F.lit(None).cast("binary").alias("key"), "a", F.col("node").alias("b"))
+    return pairs.unionByName(both.filter("n > 2").select("key", F.lit(None).cast("binary").alias("a"), F.col("node").alias("b")))
+
+
 def _sets(rows: DataFrame, words: int) -> DataFrame:
     """rows: (node, text). (node, size, hashes), the hashes as bytes."""
 
@@ -142,38 +271,106 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFra
     return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary")
 
 
-def links(signatures: DataFrame, df: DataFrame, text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Links (a, b) between nodes whose components are those of all near copies that share a key."""
-    nodes = signatures.groupBy("node").agg(F.first("keys").alias("keys"))
-    rows = written(nodes.select("node", F.explode("keys").alias("key")), "keys")
-    first = written(rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "pivot"), "pivots")
-    members = written(rows.join(first, "key"), "members")
-    wanted = written(members.select(F.col("node").alias("__wanted")).distinct(), "candidates")
+def shared_members(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of each of `left` with each of `right` (positions)."""
+    lens = np.array(list(map(len, sets)))
+    _, member = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.repeat(np.arange(len(sets)), lens)
+    order = np.argsort(member, kind="stable")
+    member, of = member[order], of[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for lo in range(0, int(member[-1]) + 1 if len(member) else 0, 4096):
+        a, b = np.searchsorted(member, [lo, lo + 4096])
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[of[a:b], member[a:b] - lo] = 1
+        out += (has[left] @ has[right].T).astype(np.int64)
+    return out
+
+
+def _in_groups(members: DataFrame, sets: DataFrame, least: tuple[int, int], block: int) -> DataFrame:
+    """members: (key, node, root), groups whose members are not all in one component. Compares those of different components; returns a forest of links."""
+    above, below = least
+    sizes = written(members.join(sets.select("node", "size"), "node").groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).alias("blocks")), "group-sizes")
+    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    place = ["key", "lo", "hi"]
+    rows = dealt.join(sets.select("node", "hashes"), "node").select(*place, "block", "node", "root", "hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(kept: list[dict]) -> pa.RecordBatch | None:
+            block = np.array([r["block"] for r in kept])
+            left, right = np.flatnonzero(block == kept[0]["lo"]), np.flatnonzero(block == kept[0]["hi"])
+            if not len(left) or not len(right):
+                return None
+            own = [np.frombuffer(r["hashes"], np.uint64) for r in kept]
+            size = np.array(list(map(len, own)))
+            roots = {r: k for k, r in enumerate({r["root"] for r in kept})}
+            root = np.array([roots[r["root"]] for r in kept])
+            both = shared_members(own, left, right)
+            union = size[left][:, None] + size[right][None, :] - both
+            hit = (both * below >= union * above) & (root[left][:, None] != root[right][None, :])
+            i, j = np.nonzero(hit)
+            if not len(i):
+                return None
+            a, b = _forest(len(kept), left[i], right[j])
+            return pa.RecordBatch.from_arrays([pa.array([kept[x]["node"] for x in a.tolist()], pa.binary()), pa.array([kept[x]["node"] for x in b.tolist()], pa.binary())], ["a", "b"])
+
+        at, kept = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                here = (r["key"], r["lo"], r["hi"])
+                if here != at:
+                    if len(kept) > 1 and (made := out(kept)) is not None:
+                        yield made
+                    at, kept = here, []
+                kept.append(r)
+        if len(kept) > 1 and (made := out(kept)) is not None:
+            yield made
+
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a binary, b binary")
+
+
+def links(nodes: DataFrame, count: int, df: DataFrame, text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST, recall: float = RECALL, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """nodes: (node, long). Links (a, b) between nodes whose components are those of all near copies that meet."""
+    width, blocks = shape(count, least, recall)
+    prefix = min(width - 4, max(4, math.ceil(math.log2(max(1, count / PER_PREFIX)))))
+    p = differing(least)
+    apart = math.ceil(64 * p + SURE * math.sqrt(64 * p * (1 - p)))
+    rows = _dealt(nodes, width, blocks, prefix)
+    # the rows are made anew for this count rather than written: making them is cheaper than a table of all of them
+    crowded = written(rows.groupBy("place").count().filter(F.col("count") > most).select("place"), "crowded")
+    if crowded.isEmpty():
+        found = _meetings(rows, width, prefix, apart)
+    else:
+        found = _meetings(rows.join(crowded, "place", "left_anti"), width, prefix, apart).unionByName(_by_words(rows.join(crowded, "place", "left_semi"), width, prefix))
+    found = written(found, "meetings")
+    star = written(found.filter("key is null").select("a", "b").distinct(), "pairs")
+    members = written(found.filter("key is not null").select("key", F.col("b").alias("node")).distinct(), "members")
+    wanted = written(star.select(F.col("a").alias("__wanted")).unionByName(star.select(F.col("b").alias("__wanted"))).unionByName(members.select(F.col("node").alias("__wanted"))).distinct(), "candidates")
     texts = _with_node(df.select(F.col(text_col).alias("text")), "text").select(F.col("__node").alias("node"), "text")
-    texts = texts.join(wanted.hint("merge"), F.col("node") == F.col("__wanted"), "left_semi").dropDuplicates(["node"])
-    sets = written(_sets(texts, words), "sets")
-    star = written(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    found = written(_alike(star, sets, least), "alike")
-    roots = components(found)
+    sets = written(_sets(texts.dropDuplicates(["node"]).join(wanted, F.col("node") == F.col("__wanted"), "left_semi"), words), "sets")
+    linked = written(_alike(star, sets, least), "alike")
+    roots = components(linked)
     placed = members.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     placed = written(placed, "placed")
     mixed = written(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key"), "mixed")
     left = written(placed.join(mixed, "key", "left_semi"), "left")
-    pairs = left.toDF("key", "a", "ra").join(left.toDF("key", "b", "rb"), "key").filter("a < b and ra <> rb").select("a", "b").distinct()
-    pairs = written(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
-    return found.unionByName(written(_alike(pairs, sets, least), "alike"))
+    return linked.unionByName(written(_in_groups(left, sets, least, block), "alike"))
 
 
-def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST, recall: float = RECALL, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """One row of each class of near copies, with all its columns."""
-    signatures = written(_signatures(df, id_col, text_col, words), "signatures")
-    roots = components(links(signatures, df, text_col, words, least))
-    nodes = written(signatures.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+    count = df.count()
+    width, blocks = shape(count, least, recall)
+    signatures = written(_signatures(df, id_col, text_col, words, -(-(width * blocks) // 64) + 1), "signatures")
+    nodes = written(signatures.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("long").alias("long")), "nodes")
+    roots = components(links(nodes.select("node", "long"), count, df, text_col, words, least, recall, most, block))
     of = nodes.join(roots.withColumnRenamed("node", "__of"), nodes["node"] == F.col("__of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("first")
     kept = of.groupBy("root").agg(first).select(F.col("first.least").alias("__id"), F.col("first.node").alias("__kept"))
     again = written(signatures.groupBy("doc_id", "node").count().filter("count > 1").select("node"), "repeated-rows")
-    # merged whatever its size, as in simhash.keep
+    # what is kept has no size bound, so it may not be broadcast
     own = _with_node(df, text_col)
     rows = own.join(kept.hint("merge"), (own["__node"] == kept["__kept"]) & own[id_col].eqNullSafe(kept["__id"]), "left_semi")
     if not again.isEmpty():

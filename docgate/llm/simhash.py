@@ -8,9 +8,10 @@ word's owners in a chain finds all links' classes without making pairs.
 The words are dealt out in two steps, since shuffling 2081 rows a document would cost many times the input. The
 first `k` bits of a word choose its bucket: a fingerprint goes to the 1 + k + k(k-1)/2 buckets that its words can
 begin with, and the task that holds a bucket makes the rest of the words there, sorts them and compares the owners
-of equal ones. A bucket with more than `most` fingerprints (near copies crowd in few) is dealt out again by its
-next bits, down to single words if need be; those are linked to their smallest owner by an aggregate. No bucket is
-capped and no owner dropped. Each bucket returns a forest: a link per fingerprint at most.
+of equal ones. A bucket whose fingerprints would make more than `most` words (near copies crowd in few) is dealt out
+again by its next bits, down to single words if need be; those are linked to their smallest owner by an aggregate. No
+bucket is capped and no owner dropped. Each bucket returns a forest: a link per fingerprint at most. A task holds some
+50 bytes a word.
 
 Defined results: a null text is an empty one; fingerprint zero is linked like any other; a null doc_id counts only
 where no other is in its class; repeated rows get equal results; an empty table gives an empty result.
@@ -24,7 +25,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +35,8 @@ from docgate.llm.components import components
 SEED = 42
 RADIUS = 4
 BITS = 64
-#: Fingerprints of a bucket; more are dealt out again.
-MOST = 200_000
+#: Words made in a bucket; more are dealt out again.
+MOST = 4_000_000
 #: Distinct fingerprints that begin with the same k bits, on average.
 PER_PREFIX = 64
 
@@ -84,6 +85,14 @@ def flips(bits: int, radius: int) -> list[np.ndarray]:
     return out[: radius + 1]
 
 
+def words_made(bucket: Column, fp: Column, used: int, radius: int) -> Column:
+    """How many words of a fingerprint begin with the bucket's bits."""
+    rest = BITS - used
+    made = [1, 1 + rest, 1 + rest + rest * (rest - 1) // 2]
+    left = radius - (F.bit_count(bucket.bitwiseXOR(F.shiftrightunsigned(fp, rest))) if used else F.lit(0))
+    return F.element_at(F.array(*[F.lit(n).cast("long") for n in made[: radius + 1]]), (left + 1).cast("int"))
+
+
 def _deal(rows: DataFrame, used: int, more: int, radius: int) -> DataFrame:
     """rows: (bucket, fp), a bucket being the first `used` bits of words. Deals them out by `more` further bits."""
 
@@ -190,16 +199,18 @@ def ball_links(nodes: DataFrame, radius: int = RADIUS, most: int = MOST, per_pre
     """Links (a, b) between the distinct fingerprints `fp` of nodes that join exactly those within `radius` bits."""
     half = radius // 2
     count = nodes.count()
-    used = min(24, max(8, math.ceil(math.log2(max(1, count / per_prefix)))))
+    used = min(40, max(8, math.ceil(math.log2(max(1, count / per_prefix)))))
     rows = _deal(nodes.select(F.lit(0).cast("long").alias("bucket"), "fp"), 0, used, half)
     found = []
     while True:
-        crowded = written(rows.groupBy("bucket").count().filter(F.col("count") > most).select("bucket"), "crowded")
+        # the rows are made anew for this count rather than written: making them is cheaper than a table of all of them
+        size = F.sum(words_made(F.col("bucket"), F.col("fp"), used, half)).alias("size")
+        crowded = written(rows.groupBy("bucket").agg(size).filter(F.col("size") > most).select("bucket"), "crowded")
         if crowded.isEmpty():
             found.append(_collide(rows, used, half))
             break
         found.append(_collide(rows.join(crowded, "bucket", "left_anti"), used, half))
-        more = min(12, BITS - used)
+        more = min(8, BITS - used)
         rows = written(_deal(rows.join(crowded, "bucket", "left_semi"), used, more, half), "words")
         used += more
         if used == BITS:

@@ -1,20 +1,24 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Labels say which documents are toxic, not which words. The labelled sample is therefore turned into labelled tokens:
-of a toxic document, those words are toxic that have a feature (the word, or its first 3 to 6 letters) which is far
-more frequent among toxic documents. A two-state chain is trained on these tokens by gradient ascent on their
-likelihood. Forward-backward gives every word of a text its marginal; a document's score comes from the sum of the
-marginals that stand out, through a logistic curve; it is fitted on sums that models of one half of the sample give the
-other half. Words above one half make up the offending spans.
-
-Only rows of the labels that aren't held out (crc32 of the id as text, modulo 4, is not 2) are learned from, and of
-them at most `most` of either class, by a hash of the id, with texts of at most `most_chars` characters; near copies
-count once. That sample is what the driver holds. Scoring reads every whole text, and the model, a table of at most
-`most_features` weights, goes along with the function.
+Labels say which documents are toxic, not which words. The labelled sample is therefore turned into labelled tokens in
+rounds: a feature (a word, or its first 3 to 6 letters) marks words if its tokens stand in toxic documents far more often
+than chance lets them (the likelihood ratio of the two rates; a document counts each feature `EACH` times at most); words
+that are marked are then taken out, and what is left is judged again with smaller odds, so that `^pat` isn't marked for
+what `pathetic` explains. A two-state chain is trained on these tokens by gradient ascent on their likelihood.
+Forward-backward gives every word of a text its marginal; a document's score comes from the sum of the marginals that
+stand out, through a logistic curve; it is fitted on sums that models of one half of the sample give the other half.
+Words above one half make up the offending spans.
+
+Only rows of the labels that aren't held out (crc32 of the id as text, modulo 4, is not 2) are learned from. Of them the
+driver holds a bounded sample: of either class at most `most` rows in the order of a hash of id and text, whole texts,
+ending with the row that brings the class to `most_bytes`; near copies among them count once. Scoring reads every whole
+text, and the model, a table of weights of features that tell the classes apart, goes along with the function.
 
 Defined results: a null or empty text has no words and gets the score of no evidence; without labels of both classes
-every score is the share of toxic labels (0 without any), and as without a word that stands out none is predicted toxic; a null doc_id is not held out; repeated rows get equal
-scores; an empty table gives an empty result. Columns other than id and text are never read for a score.
+every score is the share of toxic labels (0 without any), and as without a word that stands out none is predicted toxic;
+an id with several labels is toxic if one of them says so; a null doc_id is not held out; a labelled id that repeats in
+the documents gives each of its texts the label, within the bounds above; repeated rows get equal scores; an empty table
+gives an empty result. Columns other than id and text are never read for a score.
 """
 
 from __future__ import annotations
@@ -30,15 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgate.llm.common import slices, small_batches
+from docgate.llm.common import slices, small_batches, written
 
+#: The sample's bounds, for either class: rows, and bytes of their texts.
 MOST = 2000
-MOST_CHARS = 50_000
-MOST_FEATURES = 30_000
+MOST_BYTES = 64 << 20
 THRESHOLD = 0.3
 WORDS = r"[^\W\d_]+"
-#: Log-odds from which a feature marks the words of toxic documents, and the documents that must have it.
-ODDS, SUPPORT = 3.5, 5
+#: Log-odds from which a feature marks words, a round each; the documents that must have it; what one of them counts at most.
+ODDS, SUPPORT, EACH = (4.0, 3.0, 2.0), 3, 4
+#: Likelihood ratio from which a feature gets a weight.
+TELLS = 6.0
 #: Marginals below this are background.
 STANDS_OUT = 0.1
 
@@ -146,29 +152,34 @@ def sums_of(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _once(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """One of each group of near copies: texts whose least hash of three words in a row is the same."""
+    """One of each group of near copies of a class: texts whose least hashes of three words in a row are the same four times."""
+    from xxhash import xxh32_intdigest
+
     out = {}
     for text, toxic in rows:
         words = text.lower().split()
-        least = min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
+        runs = np.array([xxh32_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.uint32)
+        least = tuple(int((runs * np.uint32(m)).min()) for m in (1, 2654435761, 2246822519, 3266489917))
         out.setdefault((least, toxic), (text, toxic))
     return list(out.values())
 
 
-def train(rows: list[tuple[str, int]], base_rate: float, most_features: int = MOST_FEATURES, turns: int = 60) -> Model:
+def train(rows: list[tuple[str, int]], base_rate: float, turns: int = 40) -> Model:
     """rows: (text, toxic), a sample of either class; base_rate: the share of toxic ones where it comes from."""
     rows = _once(rows)
     flat = Model({}, -20.0, np.full((2, 2), 0.5), np.array([0.5, 0.5]), (float(np.log(max(base_rate, 1e-6) / max(1 - base_rate, 1e-6))), 0.0))
     if len({y for _, y in rows}) < 2:
         return flat
+    # toxic ones are dealt to both halves alike
+    rows = [r for y in (0, 1) for r in rows if r[1] == y]
     halves = rows[::2], rows[1::2]
     sums, label = [], []
     for own, other in (halves, halves[::-1]):
-        if (half := _train(own, most_features, turns)) is not None:
+        if (half := _train(own, turns)) is not None:
             for at in range(0, len(other), 200):
                 sums.append(sums_of(*half.marginals([t for t, _ in other[at : at + 200]], {})))
             label += [y for _, y in other]
-    model = _train(rows, most_features, turns)
+    model = _train(rows, turns)
     if model is None or len(set(label)) < 2:
         return flat
     model.curve = _curve(np.log1p(np.concatenate(sums)), np.array(label, float), base_rate)
@@ -189,7 +200,16 @@ def _curve(x: np.ndarray, label: np.ndarray, base_rate: float) -> tuple[float, f
     return float(a), float(max(b, 0.0))
 
 
-def _train(rows: list[tuple[str, int]], most_features: int, turns: int) -> Model | None:
+def _ratio(having: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of counts (class, feature) out of a total for each class: the likelihood ratio of unlike rates, and the log-odds."""
+    both = having.sum(axis=0)
+    fit = np.zeros(having.shape[1])
+    for own, share in zip(having, total / total.sum(), strict=True):
+        fit += own * np.log(np.maximum(own, 1e-300) / np.maximum(both * share, 1e-300))
+    return 2 * fit, np.log((having[1] + 0.5) / (total[1] + 1)) - np.log((having[0] + 0.5) / (total[0] + 1))
+
+
+def _train(rows: list[tuple[str, int]], turns: int) -> Model | None:
     """The chain alone, or nothing if no word stands out. Tokens are held as numbers of distinct words, features by word."""
     find = re.compile(WORDS).findall
     seen: dict[str, int] = defaultdict()
@@ -200,19 +220,28 @@ def _train(rows: list[tuple[str, int]], most_features: int, turns: int) -> Model
     words = len(each)
     word = np.repeat(np.arange(words, dtype=np.int32), list(map(len, each)))
     names, feature = np.unique(np.array([f for x in each for f in x], np.int64), return_inverse=True)
-    first = np.searchsorted(word, np.arange(words + 1))
     del each, seen
-    having = np.zeros((2, len(names)))
-    for ids, y in zip(own, toxic.tolist(), strict=True):
-        distinct = np.unique(ids)
-        n = first[distinct + 1] - first[distinct]
-        at = np.repeat(first[distinct] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        having[int(y), np.unique(feature[at])] += 1
-    odds = np.log((having[1] + 0.5) / (toxic.sum() + 1)) - np.log((having[0] + 0.5) / ((~toxic).sum() + 1))
-    known = np.flatnonzero(having.sum(axis=0) >= SUPPORT)
-    used = known[np.lexsort((names[known], -np.abs(odds[known])))][:most_features]
-    marks = (odds >= ODDS) & (having[1] >= SUPPORT)
-    marked = np.bincount(word, marks[feature], words) > 0
+    marked, tells = np.zeros(words, bool), np.zeros(len(names), bool)
+    for least in ODDS:
+        having, documents, total = np.zeros((2, len(names))), np.zeros((2, len(names))), np.zeros(2)
+        left = ~marked[word]
+        first, left_feature = np.searchsorted(word[left], np.arange(words + 1)), feature[left]
+        for ids, y in zip(own, toxic.astype(int).tolist(), strict=True):
+            distinct, times = np.unique(ids, return_counts=True)
+            n = first[distinct + 1] - first[distinct]
+            at = np.repeat(first[distinct] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            found, of = np.unique(left_feature[at], return_inverse=True)
+            having[y, found] += np.minimum(np.bincount(of, np.repeat(times, n), len(found)), EACH)
+            documents[y, found] += 1
+            total[y] += len(ids)
+        ratio, odds = _ratio(having, total)
+        if least == ODDS[0]:
+            tells = (ratio >= TELLS) & (documents.sum(axis=0) >= SUPPORT)
+        marks = (documents[1] >= SUPPORT) & (odds >= least)
+        marks &= ratio >= 2 * np.log(max(2, np.count_nonzero(documents[1] >= SUPPORT)))  # as many are tried
+        marked |= np.bincount(word[left], marks[left_feature], words) > 0
+        tells |= marks
+    used = np.flatnonzero(tells)
     number = np.full(len(names), -1, np.int64)
     number[used] = np.arange(len(used))
     keep = number[feature] >= 0
@@ -264,18 +293,28 @@ def held_out(column: Column) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST, most_chars: int = MOST_CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST, most_bytes: int = MOST_BYTES) -> Model:
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__toxic")).filter(F.col("__toxic").isin(0, 1) & F.col("__id").isNotNull() & ~held_out(F.col("__id")))
+    known = known.groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     sizes = {r["__toxic"]: r["count"] for r in known.groupBy("__toxic").count().collect()}
+    texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     picked = None
     for k in (0, 1):
-        part = known.filter(F.col("__toxic") == k).orderBy(F.xxhash64("__id"), "__id").limit(most)
+        # `most` ids, then `most` rows: ids that repeat among the documents bring no more
+        ids = known.filter(F.col("__toxic") == k).orderBy(F.xxhash64("__id"), "__id").limit(most)
+        part = texts.join(F.broadcast(ids), F.col("__doc") == F.col("__id")).orderBy(F.xxhash64("__id"), F.xxhash64("__text"), "__id", "__text").limit(most)
+        part = part.select("__toxic", "__text", F.octet_length("__text").alias("__size"), F.monotonically_increasing_id().alias("__row"))
         picked = part if picked is None else picked.unionByName(part)
-    # 2 * most rows at most
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).filter(F.char_length("__text") <= most_chars).join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
-    sample = sorted((zlib.crc32(str(r["__doc"]).encode()), r["__doc"], r["__text"], r["__toxic"]) for r in rows.select("__doc", "__text", "__toxic").collect())
+    sample = written(picked, "labelled-sample")
+    last, used = {0: -1, 1: -1}, {0: 0, 1: 0}
+    for r in sample.select("__toxic", "__row", "__size").orderBy("__toxic", "__row").collect():
+        if used[r["__toxic"]] < most_bytes:
+            last[r["__toxic"]] = r["__row"]
+            used[r["__toxic"]] += r["__size"]
+    taken = sample.filter(F.col("__row") <= F.when(F.col("__toxic") == 1, last[1]).otherwise(last[0]))
+    rows = sorted((r["__toxic"], r["__row"], r["__text"]) for r in taken.collect())
     total = sum(sizes.values())
-    return train([(t, y) for _, _, t, y in sample], sizes.get(1, 0) / total if total else 0.0)
+    return train([(t, y) for y, _, t in rows], sizes.get(1, 0) / total if total else 0.0)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -6,11 +6,12 @@ archives of its own into the shared folder (one gzip member per record, so that
 returns an index row per record: archive, offset, length, URL and digest. The index is a table; archives that a lost
 or repeated task left behind are in no index row.
 
-A read starts from index rows: they are range-sorted by archive and offset, neighbouring ranges are joined into one
+A read starts from index rows: they are dealt out by stretches of `UNIT` archive bytes, to as many tasks as the wanted
+bytes ask for (one sum over the index tells), and sorted by archive and offset; neighbouring ranges are joined into one
 read of a bounded size, and each record is unpacked, parsed and its payload checked against its digest.
 
 Defined results: null html is an empty payload; payloads below `least` bytes are never revisits; of rows equal in
-page_id and payload one is the response; a null page_id is smaller than any other; a null URL is left out of the
+page_id and payload one is the response (of the largest url); a null page_id is smaller than any other; a null URL is left out of the
 record; an empty table gives an empty index. Other columns of the input are ignored.
 """
 
@@ -18,12 +19,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +35,8 @@ from docgate.llm.common import new_path, slices, small_batches, written
 LEAST = 0
 #: Bytes of an archive, about; of a joined read; of unwanted records read over rather than skipped.
 ARCHIVE, READ, GAP = 512 << 20, 8 << 20, 64 << 10
+#: Archive bytes that are dealt to a task in one piece, and bytes of a read's task, about.
+UNIT, TASK = 16 << 20, 128 << 20
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -90,8 +94,11 @@ def plan(df: DataFrame, id_col: str, url_col: str, payload_col: str, least: int)
     found = rows.join(top, "digest", "left").withColumn("revisit", F.col("n_top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")))
     if not top.filter("n_top > 1").isEmpty():  # rows repeated as a whole: all but one revisit it
         tied = F.coalesce(F.col("n_top") > 1, F.lit(False)) & ~F.col("revisit")
-        first = Window.partitionBy("digest").orderBy(F.col("url").desc_nulls_last())
-        found = found.filter(~tied).unionByName(found.filter(tied).withColumn("revisit", F.row_number().over(first) > 1))
+        alike = written(found.filter(tied).withColumn("row", F.monotonically_increasing_id()), "tied-pages")
+        best = F.max(F.struct(F.coalesce("url", F.lit("")).alias("url"), "row")).alias("best")
+        first = alike.groupBy("digest").agg(best).select("digest", F.col("best.row").alias("first"))
+        alike = alike.join(first, "digest").withColumn("revisit", F.col("row") != F.col("first"))
+        found = found.filter(~tied).unionByName(alike.drop("row", "first"))
     return found.select("page_id", "url", "payload", "top", "revisit")
 
 
@@ -140,7 +147,7 @@ def write(df: DataFrame, folder: str | None = None, id_col: str = "page_id", url
     return written(plan(df, id_col, url_col, payload_col, least).mapInArrow(run, T.StructType([T.StructField(*k) for k in kinds])), "warc-index")
 
 
-def read(index: DataFrame, most: int = READ, gap: int = GAP) -> DataFrame:
+def read(index: DataFrame, most: int = READ, gap: int = GAP, unit: int = UNIT, task: int = TASK) -> DataFrame:
     """The records of index rows: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for a revisit)."""
     id_type = index.schema["page_id"].dataType
     kinds = (("page_id", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.StringType()), ("payload", T.BinaryType()))
@@ -174,6 +181,10 @@ def read(index: DataFrame, most: int = READ, gap: int = GAP) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()))], [k for k, _ in kinds])
                 start = stop
 
-    order = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    # a number for each archive's stretch, and from their sum the number of tasks
+    wanted, pieces = index.agg(F.sum("length"), F.count_distinct("archive", F.floor(F.col("offset") / unit))).first()
+    tasks = max(1, min(pieces, max(math.ceil((wanted or 0) / task), index.sparkSession.sparkContext.defaultParallelism)))
+    place = index.select("archive", "offset", "length", F.floor(F.col("offset") / unit).alias("unit"))
+    order = place.repartition(tasks, "archive", "unit").sortWithinPartitions("archive", "offset").drop("unit")
     out = order.mapInArrow(run, T.StructType([T.StructField(*k) for k in kinds]))
     return out.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))

@@ -56,3 +56,28 @@ def test_edge_cases(spark):
     of = {(r[0], r[1]): u for r, u in zip(rows, up, strict=True)}
     assert sorted(of[r.doc_id, r.text] for r in kept) == sorted(set(up))
     assert keep(frame(spark, [])).count() == 0
+
+
+def test_groups_around_a_hub_are_compared_in_blocks(spark):
+    """Copies near one text and not near each other, with crowded places and small blocks."""
+    from docgate.llm.near_copies import keep
+
+    rng = random.Random(11)
+    hub = words(rng, 400, 5000)
+    texts = [changed(rng, hub, 7) for _ in range(60)] + [hub] + [words(rng, 300, 5000) for _ in range(20)]
+    df = frame(spark, [(i, t, None, "a", None, 7, "x", 0.5, "k", 1, "h", None) for i, t in enumerate(texts)])
+    want = sorted(set(brute(texts)))
+    assert len(want) == 21
+    for how in ({"block": 8}, {"block": 8, "most": 1}):
+        assert sorted(r.doc_id for r in keep(df, **how).collect()) == want
+
+
+def test_shared_members():
+    import numpy as np
+
+    from docgate.llm.near_copies import shared_members
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(0, 6000)).astype(np.uint64)) for _ in range(12)]
+    left, right = np.arange(5), np.arange(3, 12)
+    assert shared_members(sets, left, right).tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
