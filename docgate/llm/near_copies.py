@@ -230,7 +230,8 @@ def _by_words(rows: DataFrame, width: int, prefix: int) -> DataFrame:
     low = F.col("word").bitwiseAND(F.lit((1 << rest) - 1))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(rest)])
     made = F.when(F.shiftrightunsigned("word", rest) == start, flips).otherwise(F.array(F.lit(0).cast("long")))
-    each = rows.select("node", F.sha1(F.concat_ws(":", "place", low.bitwiseXOR(F.explode(made)))).cast("binary").alias("key")).distinct()
+    each = rows.select("place", "node", low.alias("low"), F.explode(made).alias("flip"))
+    each = each.select("node", F.sha1(F.concat_ws(":", "place", F.col("low").bitwiseXOR(F.col("flip")))).cast("binary").alias("key")).distinct()
     least = written(each.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded-words")
     both = each.join(least, "key")
     pairs = both.filter("node <> a").select(F.lit(None).cast("binary").alias("key"), "a", F.col("node").alias("b"))
