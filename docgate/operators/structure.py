@@ -92,13 +92,6 @@ def page_headings(d: Dialect, source: str) -> str:
         WHEN {d.like('bare', form)} AND ({d.like('bare', '[.…·•．]{2,}')} OR length({title}) <= 40) THEN concat('- ', {title}, ' ', {page}) ELSE line END AS line FROM ({rows(d, source)}) r"""
 
 
-def trailing_cut(d: Dialect, source: str) -> str:
-    """Lines without the run of title-page lines and blank ones that ends a document."""
-    tail = f"(bare = '' OR {t.is_heading(d, 'bare')} AND {t.is_title_page_line(d, 'bare')})"
-    state = f"SELECT *, min(CASE WHEN {tail} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS in_tail FROM ({rows(d, source)}) r"
-    return f"SELECT doc_id, pos, line FROM ({state}) s WHERE in_tail = 0"
-
-
 def units(d: Dialect, source: str) -> str:
     """Paragraphs, code blocks and details blocks: doc_id, unit (from 1), text. Blank lines inside blocks don't end them.
 

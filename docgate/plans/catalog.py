@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docgate.functions.dialect import DUCK, SPARK, Dialect
 from docgate.functions.lexicon import CODES
-from docgate.operators import clean, finalize, folds, gate, structure
+from docgate.operators import clean, finalize, folds, gate, matter, structure
 from docgate.plans import dirty, relational
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
@@ -94,12 +94,21 @@ def _line_query(name: str, build) -> None:
 
 for _name, _build in (
     ("running_headers_removed", structure.without_running), ("book_titles_removed", structure.without_titles), ("dedupe_short_lines", structure.without_short_repeats),
-    ("heading_relevel", structure.relevelled), ("demote_headings", structure.demoted), ("toc_page_headings", structure.page_headings), ("trailing_cut", structure.trailing_cut),
+    ("heading_relevel", structure.relevelled), ("demote_headings", structure.demoted), ("toc_page_headings", structure.page_headings),
     ("heading_echo_removed", structure.without_echo), ("front_prefix_removed", structure.without_prefix), ("heading_page_suffix", structure.without_page_suffix),
 ):
     _line_query(_name, _build)
 
 
+def _on_lines(build):
+    return lambda d, source: build(d, structure.rows(d, source))
+
+
+for _name, _build in matter.MATTER.items():
+    _line_query(_name, _on_lines(_build))
+_line_query("front_and_back_matter", lambda d, source: matter.chain(d, source, *matter.MATTER))
+
+
 @query
 def heading_level_cap(d: Dialect) -> str:
     return structure.heading_levels(d, dirty_source(d))
@@ -163,7 +172,7 @@ def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = dirty.whole(SPARK)
+    sql = dirty.view(SPARK)
     _views(spark, sf_dir, sql)
     return spark.sql(sql).select("doc_id", "text")
 

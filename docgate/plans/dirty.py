@@ -10,7 +10,6 @@ from docgate.functions.dialect import Dialect
 
 NL = "chr(10)"
 BS = "chr(92)"
-HEAD = "substr(text, 1, 300)"
 #: By doc_id modulo their number.
 CASES = (
     "text",
@@ -24,36 +23,42 @@ CASES = (
     f"'| 方名 | 出处 |' || {NL} || '| 甲 | 乙 |' || {NL} || {NL} || '| 丙 | 丁 |' || {NL} || text",
     f"'页脚第一册' || {NL} || text || {NL} || '页脚第一册' || {NL} || '页脚第一册' || {NL} || '页脚第一册'",
     f"'# 上篇' || {NL} || text || {NL} || '### 跳级' || {NL} || '## 中篇' || {NL} || '###### 底' || {NL} || '#无空格'",
-    f"'# 书名' || {NL} || {NL} || '## 目录' || {NL} || '- 总论 3' || {NL} || '- 各论……12' || {NL} || '## 总论 3' || {NL} || {HEAD} || {NL} || '## 各论……12' || {NL} || '## 余论／25' || {NL} || '# 目 录'",
-    f"'# 长行' || {NL} || repeat(replace({HEAD}, {NL}, ' ') || '。', 12)",
+    f"'# 书名' || {NL} || {NL} || '## 目录' || {NL} || '- 总论 3' || {NL} || '- 各论……12' || {NL} || '## 总论 3' || {NL} || text || {NL} || '## 各论……12' || {NL} || '## 余论／25' || {NL} || '# 目 录'",
+    f"'# 长行' || {NL} || repeat(replace(substr(text, 1, 300), {NL}, ' ') || '。', 12) || {NL} || text",
     f"'# 折行' || {NL} || '患者自述头痛已有三年之久每逢阴雨天气' || {NL} || '则疼痛加重而且伴有恶心呕吐等症状' || {NL} || {NL} || '曾经多方治疗但是效果始终不够理想的' || {NL} || {NL} || '现在来院就诊要求用中药进行系统治疗。' || {NL} || text",
-    f"'# 年谱' || {NL} || '1901~1911年 就学' || {NL} || '1912～1949年行医' || {NL} || '头部：百会。面部：印堂' || {NL} || {HEAD}",
-    "''",
-    f"'封面' || {NL} || '某某主编' || {NL} || '# 前言' || {NL} || {HEAD} || {NL} || '# ★★' || {NL} || '## （12）'",
-    f"'# Ã 乱码' || {NL} || '甲  乙' || {NL} || {HEAD}",
+    f"'# 年谱' || {NL} || '1901~1911年 就学' || {NL} || '1912～1949年行医' || {NL} || '头部：百会。面部：印堂' || {NL} || text",
+    f"text || {NL} || {NL}",
+    f"'封面' || {NL} || '某某主编' || {NL} || '# 前言' || {NL} || text || {NL} || '# ★★' || {NL} || '## （12）'",
+    f"'# Ã 乱码' || {NL} || '甲  乙' || {NL} || text",
     f"'# 前言' || {NL} || {NL} || '前' || {NL} || '言' || {NL} || '目' || {NL} || text",
-    f"'# 目录' || {NL} || '- 甲证 3……12' || {NL} || '# 前言' || {NL} || '# 甲证 3' || {NL} || '## 乙证 (4)' || {NL} || '## 丙证 ^(5)' || {NL} || {HEAD}",
+    f"'# 目录' || {NL} || '- 甲证 3……12' || {NL} || '# 前言' || {NL} || '# 甲证 3' || {NL} || '## 乙证 (4)' || {NL} || '## 丙证 ^(5)' || {NL} || text",
     f"'# 散' || {NL} || '<details><summary>line</summary>x' || {NL} || 'y</details>' || {NL} || {NL} || {NL} || {NL} || {NL} || text || '   ' || {NL}",
     f"'# 引' || {NL} || text || {NL} || 'Document generated by Anna''s Archive around 2024' || {NL} || '{{\"filename_decoded\": 1}}' || {NL} || 'z'",
+    f"'# 临中' || {NL} || '家' || {NL} || '医' || {NL} || '床' || {NL} || '# 中国百年百名中医临床家丛书' || {NL} || '# 前言' || {NL} || text",
+    f"'# 前言' || {NL} || '![图](a.png)' || {NL} || {NL} || '某某教授' || {NL} || '乱字' || {NL} || {NL} || '# 12' || {NL} || {NL} || '# 自序' || {NL} || text",
+    f"'# 引' || {NL} || text || {NL} || {NL} || 'Theorem 1.2. Let F(x) be a polynomial over a finite field and P a prime ideal with x ' || {BS} || 'in P, so that the claim holds.' || {NL} || {NL} || 'Theorem 1.2. short' || {NL} || '尾'",
+    f"'# 出版说明' || {NL} || '话。' || {NL} || '# 中国百年百名中医临床家丛书' || {NL} || '某某主编' || {NL} || {NL} || '# 内容提要' || {NL} || text",
+    f"'# 中国百年百名中医临床家丛书' || {NL} || '（按姓氏笔画排列）' || {NL} || repeat('王某某 李某某 ', 20) || {NL} || '# 目录' || {NL} || '- 一 1' || {NL} || text",
+    f"'# 内容提要' || {NL} || '提要。' || {NL} || '出版发行：某社 印刷：某厂 开本：850毫米 印张：12' || {NL} || '# 目录' || {NL} || {NL} || '- ISBN 7-117-0' || {NL} || '人民卫生出版社，2006.12' || {NL} || '# 前言' || {NL} || text",
+    f"text || {NL} || '# 图书在版编目（CIP）数据' || {NL} || 'ISBN 7' || {NL} || '定价：12.00元' || {NL} || '某出版社' || {NL} || '开本：850' || {NL} || '![a](b.png)'",
+    f"text || {NL} || '# 中国百年百名中医临床家丛书（按姓氏笔画排列）' || {NL} || repeat('王某某李某某', 10)",
+    f"text || {NL} || '版权页' || {NL} || '前言' || {NL} || '目录' || {NL} || '正文'",
+    f"'# 目录' || {NL} || '- 一 1' || {NL} || text || {NL} || '# 目录' || {NL} || '# 医家小传' || {NL} || '# 专病论治' || {NL} || '# 甲' || {NL} || '# 乙' || {NL} || '# 丙'",
+    f"'# 书' || {NL} || text || {NL} || '# 临中床医' || {NL} || '![x](y.jpg)' || {NL} || '定价：9元' || {NL} || {NL}",
+    f"'#标题一' || {NL} || '# ※※' || {NL} || '# （3）' || {NL} || '## 丙 3g 丁 4g' || {NL} || '一、总论' || {NL} || '1. 分论' || {NL} || '案1 某' || {NL} || '#### 深层' || {NL} || '# # 嵌套' || {NL} || '####' || {NL} || text",
+    f"'# 现代著名老中医名著重刊丛书' || {NL} || '现代著名老中医名著重刊丛书21. 发白 15' || {NL} || '第' || {NL} || {NL} || '一' || {NL} || '辑' || {NL} || text || {NL} || '# 现代著名老中医名著重刊丛书'",
+    f"'药 $12' || {BS} || 'times 3' || {BS} || 'mathrm{{mg}}$ 温 $38.5^{{' || {BS} || 'circ}} ' || {BS} || 'mathrm{{C}}$ 经 14' || {BS} || 'frac 5~7 28~30 天，量 ' || {BS} || 'frac{{7}}{{8}} ' || {BS} || 'sim ' || {BS} || 'mu' || {NL} || text",
+    f"'表' || {NL} || '体温升至39%~40%，占40%例' || {NL} || '1. Theorem' || {NL} || '| 甲 | 乙' || {NL} || '丙 |' || {NL} || text || {NL} || 'References: Smith 1999 Jones A 2001 Doe'",
 )
-#: The same artefacts around whole texts: the long line stands before its text, and the empty text is a row of its own.
-WHOLE = tuple("text" if c == "''" else f"{c} || {NL} || text" if "repeat(" in c else c.replace(HEAD, "text") for c in CASES)
 EMPTY_ID = -1
 
 
 def view(d: Dialect) -> str:
-    return _view(d, CASES)
-
-
-def whole(d: Dialect) -> str:
     """Every document with all of its text, and an empty one."""
+    cases = " ".join(f"WHEN {i} THEN {c.replace('{{', '{').replace('}}', '}')}" for i, c in enumerate(CASES))
     none = "string" if d.name == "spark" else "varchar"
-    return f"{_view(d, WHOLE)} UNION ALL SELECT cast({EMPTY_ID} as bigint) AS doc_id, cast(NULL as {none}) AS lang, cast(NULL as {none}) AS source, '' AS text"
-
-
-def _view(d: Dialect, made: tuple[str, ...]) -> str:
-    cases = " ".join(f"WHEN {i} THEN {c.replace('{{', '{').replace('}}', '}')}" for i, c in enumerate(made))
-    return f"SELECT doc_id, lang, source, CASE doc_id % {len(made)} {_literals(d, cases)} END AS text FROM documents"
+    return f"""SELECT doc_id, lang, source, CASE doc_id % {len(CASES)} {_literals(d, cases)} END AS text FROM documents
+        UNION ALL SELECT cast({EMPTY_ID} as bigint) AS doc_id, cast(NULL as {none}) AS lang, cast(NULL as {none}) AS source, '' AS text"""
 
 
 def _literals(d: Dialect, sql: str) -> str:

@@ -14,9 +14,9 @@ def test_folded_queries_read_whole_texts(spark):
     assert all(ADDED.sub("", texts[i]) in ADDED.sub("", t) for i, t in got.items())
 
 
-def test_whole_view_is_the_same_in_both_engines(spark):
+def test_view_is_the_same_in_both_engines(spark):
     import duckdb
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    assert dict(con.execute(f"SELECT doc_id, text FROM ({dirty.whole(DUCK)})").fetchall()) == {r.doc_id: r.text for r in catalog._dirty(spark, SF).collect()}
+    assert dict(con.execute(f"SELECT doc_id, text FROM ({dirty.view(DUCK)})").fetchall()) == {r.doc_id: r.text for r in catalog._dirty(spark, SF).collect()}
