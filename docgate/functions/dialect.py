@@ -8,6 +8,10 @@ classes out (`\\x{...}` works in Java and RE2 alike) and avoid what only one eng
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 
 
 class Dialect:
@@ -235,3 +239,13 @@ class DuckDialect(SparkDialect):
 
 
 SPARK, DUCK = SparkDialect(), DuckDialect()
+
+
+def over(df: DataFrame, build: Callable[[Dialect, str], str]) -> DataFrame:
+    """What the built SQL makes of df, which it reads under a name of its own, so that sessions with several threads don't mix."""
+    name = f"docgate_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    try:
+        return df.sparkSession.sql(build(SPARK, name))
+    finally:
+        df.sparkSession.catalog.dropTempView(name)

@@ -7,8 +7,10 @@ are differences of running counts; the running count at the next such place is t
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from docgate.functions import text as t
-from docgate.functions.dialect import Dialect
+from docgate.functions.dialect import Dialect, over
 from docgate.functions.lexicon import CJK, COVER_FRAGMENTS, NUMERALS, S, SERIES_TITLES
 from docgate.operators import structure
 
@@ -327,11 +329,13 @@ def levels(d: Dialect, lines: str) -> str:
         WHEN is_head AND {doses} THEN 'text' WHEN is_head THEN 'head' WHEN tight AND {tight_ok} THEN 'head' WHEN tight THEN 'text' WHEN {bare_level} > 0 THEN 'head' ELSE 'line' END"""
     three = f"SELECT *, {action} AS action FROM ({two}) t"
     level = f"CASE WHEN is_head THEN CASE WHEN given = 1 THEN 1 ELSE {_standard_level(d, 'x', 'given')} END WHEN tight THEN {_standard_level(d, 'x', '1')} ELSE {bare_level} END"
-    four = f"SELECT *, CASE WHEN action = 'head' THEN {level} END AS level FROM ({three}) u WHERE action <> 'drop'"
+    # a document of nothing but such headings keeps an empty line
+    alive = f"SELECT *, sum(CASE WHEN action <> 'drop' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS alive, min(pos) OVER (PARTITION BY doc_id) AS top FROM ({three}) u"
+    four = f"SELECT *, CASE WHEN action = 'head' THEN {level} END AS level FROM ({alive}) a WHERE action <> 'drop' OR alive = 0 AND pos = top"
     five = f"SELECT *, CASE WHEN action = 'head' THEN row_number() OVER (PARTITION BY doc_id, CASE WHEN action = 'head' THEN 1 ELSE 0 END ORDER BY pos) END AS k FROM ({four}) v"
     six = f"SELECT *, k + min(level - k) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS capped FROM ({five}) w"
     content = "CASE WHEN is_head THEN own WHEN tight THEN unspaced ELSE bare END"
-    return f"SELECT doc_id, pos, CASE action WHEN 'head' THEN concat(repeat('#', cast(capped as int)), ' ', {content}) WHEN 'text' THEN {content} ELSE line END AS line FROM ({six}) y"
+    return f"SELECT doc_id, pos, CASE action WHEN 'head' THEN concat(repeat('#', cast(capped as int)), ' ', {content}) WHEN 'text' THEN {content} WHEN 'drop' THEN '' ELSE line END AS line FROM ({six}) y"
 
 
 def first_is_top(d: Dialect, lines: str) -> str:
@@ -354,9 +358,9 @@ def again(d: Dialect, lines: str) -> str:
     return f"SELECT doc_id, pos, line, {t.strip(d, 'line')} AS bare FROM ({lines}) a"
 
 
-def chain(d: Dialect, source: str, *names: str) -> str:
-    """Several operators on the lines of a source of documents, one exchange by document for all."""
-    lines = structure.rows(d, source)
+def apply(df: DataFrame, *names: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and text after several operators, on lines that are exchanged by document once."""
+    lines = over(df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), lambda d, x: structure.rows(d, f"(SELECT doc_id, coalesce(text, '') AS text FROM {x}) t"))
     for name in names:
-        lines = again(d, MATTER[name](d, lines))
-    return lines
+        lines = over(lines, lambda d, x, name=name: again(d, MATTER[name](d, x)))
+    return over(lines, structure.packed)

@@ -106,7 +106,6 @@ def _on_lines(build):
 
 for _name, _build in matter.MATTER.items():
     _line_query(_name, _on_lines(_build))
-_line_query("front_and_back_matter", lambda d, source: matter.chain(d, source, *matter.MATTER))
 
 
 @query
@@ -188,6 +187,12 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.chunked(_dirty(spark, sf_dir)).selectExpr("doc_id", "chunk_index", "chunk_total", "length(text) AS chars")
 
 
+def front_and_back_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All operators on front and back matter and heading levels, one after another."""
+    made = matter.apply(_dirty(spark, sf_dir), *matter.MATTER)
+    return made.selectExpr("doc_id", "sha2(text, 256) AS text_sha256", "cast(length(text) as bigint) AS chars")
+
+
 def finalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned, structure put right, repaired, gated: what of the documents could be delivered."""
     made = finalize.repair(finalize.finalize(clean.clean(_dirty(spark, sf_dir))))
@@ -202,7 +207,7 @@ def structure_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Without SQL to check them by: each line reads what the line before became.
 FOLDED = {
     "clean_foreign_math": _fold("drop_foreign_math"), "clean_flowcharts": _fold("transcribe_flowcharts"), "clean_temperature": _fold("celsius"), "clean_bibliography": _fold("split_bibliography"), "clean_tables": _fold("normalize_tables"), "soft_join": _fold("soft_join"),
-    "merge_breaks": _fold("merge_breaks"), "split_overlong": _fold("split_overlong"), "clean_folds": _fold(*folds.FOLDS), "chunk_pack": chunk_pack, "finalized": finalized, "structure_changes": structure_changes,
+    "merge_breaks": _fold("merge_breaks"), "split_overlong": _fold("split_overlong"), "clean_folds": _fold(*folds.FOLDS), "chunk_pack": chunk_pack, "finalized": finalized, "structure_changes": structure_changes, "front_and_back_matter": front_and_back_matter,
 }
 
 
