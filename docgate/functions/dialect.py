@@ -127,6 +127,16 @@ class SparkDialect(Dialect):
     def json(self, x: str, key: str) -> str:
         return f"get_json_object({x}, '$.{key}')"
 
+    def bytes(self, x: str) -> str:
+        return f"octet_length({x})"
+
+    def string(self, x: str) -> str:
+        return f"cast({x} as string)"
+
+    def gather_over(self, x: str, window: str) -> str:
+        """The values that aren't null, in the window's order."""
+        return f"collect_list({x}) OVER {window}"
+
     def seconds(self, ts: str) -> str:
         return f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})"
 
@@ -231,6 +241,15 @@ class DuckDialect(SparkDialect):
     def json(self, x: str, key: str) -> str:
         return f"json_extract_string({x}, '$.{key}')"
 
+    def bytes(self, x: str) -> str:
+        return f"strlen({x})"
+
+    def string(self, x: str) -> str:
+        return f"cast({x} as varchar)"
+
+    def gather_over(self, x: str, window: str) -> str:
+        return f"list_filter(list({x}) OVER {window}, lambda y: y IS NOT NULL)"
+
     def seconds(self, ts: str) -> str:
         return f"epoch_us({ts})"
 

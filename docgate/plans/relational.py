@@ -52,7 +52,7 @@ def breaker_open_intervals(d: Dialect, failures: int = 5) -> str:
     runs = "SELECT *, nth - row_number() OVER (PARTITION BY event_type ORDER BY nth) AS run FROM marked WHERE failed"
     return f"""WITH marked AS ({marked}), runs AS ({runs})
         SELECT event_type AS stage, min(event_id) AS low_id, cast(count(*) as bigint) AS failures, cast(max({d.seconds('ts')}) - min({d.seconds('ts')}) as bigint) AS open_us
-        FROM runs GROUP BY event_type, run HAVING count(*) >= {min(failures, 3)}"""
+        FROM runs GROUP BY event_type, run HAVING count(*) >= {failures}"""
 
 
 def heartbeat_stale(d: Dialect, hours: int = 6) -> str:
@@ -74,8 +74,8 @@ def batch_window(d: Dialect, skip: int = 100, limit: int = 250) -> str:
 
 
 def delivered(d: Dialect) -> str:
-    """Documents delivered before: those with an even id stand for the manifest of deliveries."""
-    return f"SELECT DISTINCT {d.sha256('text')} AS source_sha256 FROM documents WHERE doc_id % 2 = 0"
+    """The manifest of deliveries: texts of documents that a verdict found good and not toxic."""
+    return f"SELECT DISTINCT {d.sha256('t.text')} AS source_sha256 FROM documents t JOIN labels v ON t.doc_id = v.doc_id WHERE v.quality = 1 AND v.toxic = 0"
 
 
 def delivered_semijoin(d: Dialect) -> str:
@@ -101,9 +101,13 @@ def review_issue_counts(d: Dialect) -> str:
 
 
 def finalisation_override(d: Dialect) -> str:
-    """Documents whose failed chunks have only issues that finishing repairs: here, turns by others than the assistant."""
-    return """SELECT conv_id, cast(count(*) as bigint) AS issues, min(CASE WHEN role <> 'assistant' THEN 1 ELSE 0 END) = 1 AS may_finish
-        FROM conversations WHERE length(text) > 120 GROUP BY conv_id"""
+    """Chunks that failed only on what finishing mends: noise, punctuation, and layout with a break in the excerpt or a merge asked for.
+
+    A turn stands for an issue: its role for the category, its text for the excerpt, its first words for the action."""
+    category = "CASE WHEN length(text) % 5 = 0 THEN 'content_loss' WHEN role = 'user' THEN 'layout' WHEN length(text) % 2 = 0 THEN 'ocr_noise' ELSE 'punctuation' END"
+    issues = f"SELECT conv_id, {category} AS category, text AS excerpt, CASE WHEN length(text) % 3 = 0 THEN concat('Merge ', substr(text, 1, 20)) ELSE substr(text, 1, 20) END AS action FROM conversations"
+    safe = f"(category IN ('ocr_noise', 'punctuation') OR category = 'layout' AND ({d.contains('excerpt', d.text(chr(10)))} OR {d.contains('lower(action)', d.text('merge'))}))"
+    return f"SELECT conv_id, cast(count(*) as bigint) AS issues, min(CASE WHEN {safe} THEN 1 ELSE 0 END) = 1 AS may_finish FROM ({issues}) i GROUP BY conv_id"
 
 
 def safe_patch_filter(d: Dialect) -> str:
@@ -124,15 +128,21 @@ def chunk_context_prev_next(d: Dialect, context: int = 1200) -> str:
 
 def coalesce_repaired(d: Dialect) -> str:
     """Chunks with their repaired text, where there is one, put together again in order."""
-    repaired = f"SELECT conv_id, turn, {d.sub('text', S + '{2,}', ' ')} AS repaired FROM conversations WHERE turn % 2 = 1"
+    repaired = f"SELECT conv_id, turn, {d.sub('text', S + '{2,}', ' ')} AS repaired FROM conversations WHERE length(text) > 120"
     both = f"SELECT c.conv_id, c.turn, coalesce(r.repaired, c.text) AS text FROM conversations c LEFT JOIN ({repaired}) r ON c.conv_id = r.conv_id AND c.turn = r.turn"
     return f"SELECT conv_id, {d.sha256(d.join(d.gather('text', 'turn'), chr(10) * 2))} AS text_sha256, cast(count(*) as bigint) AS chunks FROM ({both}) b GROUP BY conv_id"
 
 
-def model_recommendation(d: Dialect) -> str:
-    """Models (stages stand for them) by their failures, then cost: the first without failures above a tenth is recommended."""
-    stats = f"SELECT event_type AS model, cast(count(*) as bigint) AS calls, cast(sum(CASE WHEN value > {FAILED_ABOVE} THEN 1 ELSE 0 END) as bigint) AS failed, cast(sum({milli('value')}) as bigint) AS cost FROM events GROUP BY event_type"
-    return f"SELECT model, calls, failed, cost, cast(row_number() OVER (ORDER BY CASE WHEN failed * 10 <= calls THEN 0 ELSE 1 END, cast(failed as double) / calls, cost, model) as bigint) AS choice FROM ({stats}) s"
+def model_recommendation(d: Dialect, preferred: str = "click", fallback: str = "purchase") -> str:
+    """For each batch (every hundredth entity), which of two models to take: the preferred one if both succeed with equal quality, else the fallback if it succeeds, else the preferred if it does, else the fallback if it ran at all."""
+    quality = f"SELECT user_id % 100 AS batch, event_type AS model, count(*) AS total, sum(CASE WHEN value <= {FAILED_ABOVE} THEN 1 ELSE 0 END) AS passed, sum(CASE WHEN value > {FAILED_ABOVE} THEN 1 ELSE 0 END) AS failed FROM events WHERE event_type IN ({d.text(preferred)}, {d.text(fallback)}) GROUP BY user_id % 100, event_type"
+    succeeds = "coalesce({0}.failed = 0 AND {0}.passed > 0, false)"
+    p, f = succeeds.format("p"), succeeds.format("f")
+    same = f"({p} AND {f} AND p.total = f.total AND p.passed = f.passed AND p.failed = f.failed)"
+    basis = f"CASE WHEN {same} THEN 'equal_quality' WHEN {f} THEN 'fallback_succeeds' WHEN {p} THEN 'only_preferred_succeeds' WHEN f.batch IS NOT NULL THEN 'none_succeeds' ELSE 'only_preferred_ran' END"
+    chosen = f"CASE WHEN NOT {same} AND ({f} OR NOT {p} AND f.batch IS NOT NULL) THEN {d.text(fallback)} ELSE {d.text(preferred)} END"
+    return f"""SELECT coalesce(p.batch, f.batch) AS batch, {chosen} AS model, {basis} AS basis, {same} AS equivalent
+        FROM (SELECT * FROM ({quality}) q WHERE model = {d.text(preferred)}) p FULL OUTER JOIN (SELECT * FROM ({quality}) q WHERE model = {d.text(fallback)}) f ON p.batch = f.batch"""
 
 
 def page_segments(d: Dialect, most: int = 5) -> str:
@@ -147,12 +157,21 @@ def segment_batches(d: Dialect, size: int = 8) -> str:
     return f"SELECT doc_id, cast(floor((nth - 1) / {size}.0) as bigint) AS batch, cast(count(*) as bigint) AS segments, cast(min(segment) as bigint) AS first_segment FROM ({numbered}) n GROUP BY doc_id, floor((nth - 1) / {size}.0)"
 
 
+def data_id(d: Dialect, name: str, number: str, prefix: str = "docgate_", most: int = 128) -> str:
+    """A segment's id at a remote service that takes so many bytes: prefix, the source's safe stem, its number. A stem that is too long is cut between characters and gets a hash."""
+    stem = d.sub(d.sub(name, rf'[\\/:*?\x22<>|{S[1:-1]}]+', "_"), r"^[._]+|[._]+$")
+    stem = f"(CASE WHEN {stem} = '' THEN 'document' ELSE {stem} END)"
+    suffix = f"concat('_', lpad({d.string(number)}, 3, '0'))"
+    room = f"({most - len(prefix)} - length({suffix}))"
+    fits = d.max(d.filter(d.range("0", f"length({stem})"), "k", f"{d.bytes(f'substr({stem}, 1, cast(k as int))')} <= {room} - 9"))
+    cut = d.sub(f"substr({stem}, 1, cast({fits} as int))", r"[._-]+$")
+    short = f"substr(sha1({stem}), 1, 8)"
+    return f"concat({d.text(prefix)}, CASE WHEN {d.bytes(stem)} <= {room} THEN {stem} WHEN {cut} = '' THEN {short} ELSE concat({cut}, '_', {short}) END, {suffix})"
+
+
 def segment_data_id(d: Dialect) -> str:
-    """A segment's id at the remote service: its source's safe stem, its number, and a short hash for sources alike in stem."""
-    stem = d.sub("source", rf'[\\/:*?\x22<>|{S[1:-1]}]+', "_")
-    sha = "sha1(concat(source, '#', {}))".format("cast(segment as string)" if d.name == "spark" else "cast(segment as varchar)")
-    number = "lpad(cast(segment as string), 3, '0')" if d.name == "spark" else "lpad(cast(segment as varchar), 3, '0')"
-    return f"SELECT s.doc_id, s.segment, concat(substr({stem}, 1, 40), '_', {number}, '_', substr({sha}, 1, 8)) AS data_id FROM ({page_segments(d)}) s JOIN documents t ON s.doc_id = t.doc_id"
+    named = f"SELECT s.doc_id, s.segment, concat(t.source, ' ', repeat('药材', cast(s.doc_id % 40 as int)), '.') AS name FROM ({page_segments(d)}) s JOIN (SELECT doc_id, source FROM documents) t ON s.doc_id = t.doc_id"
+    return f"SELECT doc_id, segment, {data_id(d, 'name', 'segment')} AS data_id FROM ({named}) n"
 
 
 def source_kind(d: Dialect) -> str:
@@ -199,7 +218,148 @@ def models_by_documents(d: Dialect) -> str:
     return "SELECT m.model, s.source, cast(s.documents as bigint) AS documents FROM (SELECT DISTINCT event_type AS model FROM events) m CROSS JOIN (SELECT source, count(*) AS documents FROM documents GROUP BY source) s"
 
 
+def quality_left_joins(d: Dialect) -> str:
+    """A row for each document, with its verdict, its log and its chunks where there are any."""
+    return f"""SELECT t.doc_id, v.quality, v.toxic, m.calls, m.cost_milli, c.chunks FROM documents t LEFT JOIN labels v ON t.doc_id = v.doc_id
+        LEFT JOIN (SELECT user_id, cast(count(*) as bigint) AS calls, cast(sum({milli('value')}) as bigint) AS cost_milli FROM events GROUP BY user_id) m ON t.doc_id = m.user_id
+        LEFT JOIN (SELECT conv_id, cast(count(*) as bigint) AS chunks FROM conversations GROUP BY conv_id) c ON t.doc_id = c.conv_id"""
+
+
+def log_semijoin(d: Dialect) -> str:
+    """The log's rows on sources that are there now."""
+    return "SELECT event_id, user_id AS entity FROM events WHERE user_id IN (SELECT doc_id FROM documents)"
+
+
+def issues_antijoin(d: Dialect) -> str:
+    """Issues that no safe patch has settled."""
+    return f"SELECT c.conv_id, c.turn FROM conversations c LEFT JOIN (SELECT conv_id, turn FROM ({safe_patch_filter(d)}) p WHERE safe) a ON c.conv_id = a.conv_id AND c.turn = a.turn WHERE a.conv_id IS NULL"
+
+
+def result_by_either_key(d: Dialect) -> str:
+    """Results matched by their id, and by their name where the id finds none."""
+    by_name = "SELECT source, max(doc_id) AS doc_id FROM documents GROUP BY source"
+    return f"""SELECT t.doc_id, coalesce(v.doc_id, n.doc_id) AS matched, CASE WHEN v.doc_id IS NOT NULL THEN 'id' WHEN n.doc_id IS NOT NULL THEN 'name' ELSE 'none' END AS matched_by
+        FROM documents t LEFT JOIN labels v ON t.doc_id = v.doc_id LEFT JOIN ({by_name}) n ON t.source = n.source"""
+
+
+def cost_with_nulls(d: Dialect) -> str:
+    """What is known of each entity's cost: null where no call has one, not zero."""
+    known = f"CASE WHEN event_type = 'purchase' THEN {milli('value')} END"
+    return f"SELECT user_id AS entity, cast(sum({known}) as bigint) AS cost_milli, cast(count({known}) as bigint) AS priced, cast(count(*) as bigint) AS calls FROM events GROUP BY user_id"
+
+
+def dearest_samples(d: Dialect, most: int = 8) -> str:
+    """The first few samples of each entity, dearest first."""
+    ranked = "SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS nth FROM events"
+    return f"SELECT user_id AS entity, event_id, cast(nth as bigint) AS nth FROM ({ranked}) r WHERE nth <= {most}"
+
+
+def largest_output(d: Dialect) -> str:
+    """Of each host's pages the longest: the parse to take among several."""
+    host = d.group("url", r"^[a-z]+://([^/]+)")
+    sized = f"SELECT {host} AS host, page_id, length(coalesce(html, '')) AS chars FROM pages"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY host ORDER BY chars DESC, page_id) AS nth FROM ({sized}) s"
+    return f"SELECT host, page_id, cast(chars as bigint) AS chars FROM ({ranked}) r WHERE nth = 1"
+
+
+def all_names(d: Dialect) -> str:
+    """The distinct names of sources and models, and where each stands among them."""
+    return "SELECT name, cast(row_number() OVER (ORDER BY name) as bigint) AS place FROM (SELECT source AS name FROM documents WHERE source IS NOT NULL UNION SELECT event_type AS name FROM events UNION SELECT lang AS name FROM documents WHERE lang IS NOT NULL) n"
+
+
+def settled_entities(d: Dialect) -> str:
+    """Whether all states of an entity are among the settled ones."""
+    return "SELECT user_id AS entity, min(CASE WHEN event_type IN ('purchase', 'click', 'view') THEN 1 ELSE 0 END) = 1 AS settled, cast(count(DISTINCT event_type) as bigint) AS states FROM events GROUP BY user_id"
+
+
+def poll_states(d: Dialect) -> str:
+    """A segment's state from its log: the first final state stands, whatever comes later; else the latest one, with the number of polls."""
+    state = f"CASE WHEN value > {FAILED_ABOVE} * 2 THEN 'failed' WHEN event_type = 'purchase' THEN 'done' WHEN event_type = 'click' THEN 'polling' WHEN event_type = 'view' THEN 'uploading' ELSE 'creating_task' END"
+    marked = f"SELECT user_id, event_id, ts, {state} AS state FROM events"
+    order = "(PARTITION BY user_id ORDER BY ts, event_id)"
+    counted = f"SELECT *, row_number() OVER {order} AS nth, sum(CASE WHEN state IN ('done', 'failed') THEN 1 ELSE 0 END) OVER {order} AS finals, count(*) OVER (PARTITION BY user_id) AS total FROM ({marked}) m"
+    stands = f"SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN finals = 1 AND state IN ('done', 'failed') THEN 0 ELSE 1 END, nth DESC) AS pick FROM ({counted}) c"
+    return f"SELECT user_id AS segment, state, cast(nth as bigint) AS steps, cast(total - nth as bigint) AS ignored FROM ({stands}) s WHERE pick = 1"
+
+
+def acquisition_policy(d: Dialect) -> str:
+    """How a document is acquired, from what there is: existing Markdown wins or fails alone, then either parser, the local one only as an opted-in fallback."""
+    there = f"SELECT t.doc_id, v.quality IS NOT NULL AS has_existing, coalesce(v.quality = 1, false) AS existing_usable, {d.like('t.text', r'[0-9]')} AS remote_usable, length(t.text) % 3 = 0 AS local_opted, length(t.text) > 200 AS local_usable FROM documents t LEFT JOIN labels v ON t.doc_id = v.doc_id"
+    return f"""SELECT doc_id, CASE WHEN has_existing AND existing_usable THEN 'existing_md' WHEN has_existing THEN 'failed' WHEN remote_usable AND local_opted AND local_usable THEN 'selected_remote'
+        WHEN remote_usable THEN 'remote_only' WHEN local_opted AND local_usable THEN 'local_fallback' ELSE 'failed' END AS mode FROM ({there}) a"""
+
+
+def cached_merges(d: Dialect) -> str:
+    """Merges that may be taken from the cache: converted, of the same sources in the same order, all of them there."""
+    now = f"SELECT conv_id, {d.gather('role', 'turn')} AS sources, min(CASE WHEN length(text) > 0 THEN 1 ELSE 0 END) AS whole FROM conversations GROUP BY conv_id"
+    kept = f"SELECT conv_id, {d.gather('role', 'turn')} AS sources, CASE WHEN max(length(text)) > 150 THEN 'converted' ELSE 'failed' END AS status FROM conversations WHERE length(text) > 20 GROUP BY conv_id"
+    return f"SELECT n.conv_id, coalesce(k.status = 'converted' AND n.sources = k.sources AND n.whole = 1, false) AS from_cache FROM ({now}) n LEFT JOIN ({kept}) k ON n.conv_id = k.conv_id"
+
+
+def merged_segments(d: Dialect) -> str:
+    """Segments without space around them, put together in order with blank lines."""
+    bare = d.sub("text", f"^{S}+|{S}+$")
+    return f"SELECT conv_id, {d.sha256(d.join(d.gather(bare, 'turn'), chr(10) * 2))} AS text_sha256 FROM conversations GROUP BY conv_id"
+
+
+def complete_corrections(d: Dialect) -> str:
+    """Documents all of whose chunks have a corrected text: only these may be delivered, with the hash of what they make together."""
+    return f"SELECT conv_id, {d.sha256(d.join(d.gather('text', 'turn'), chr(10) * 2))} AS text_sha256, cast(count(*) as bigint) AS chunks FROM conversations GROUP BY conv_id HAVING min(CASE WHEN length(coalesce(text, '')) > 40 THEN 1 ELSE 0 END) = 1"
+
+
+def nearest_anchor(d: Dialect, within: int = 80) -> str:
+    """Each line's distance to the next heading behind it, if one follows within so many lines."""
+    from docgate.functions import text as t
+    from docgate.operators import structure
+    from docgate.plans import dirty
+
+    lines = structure.rows(d, f"({dirty.view(d)}) v")
+    ahead = f"SELECT doc_id, pos, min(CASE WHEN {t.is_heading(d, 'bare')} THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND {within} FOLLOWING) AS anchor FROM ({lines}) l"
+    return f"SELECT doc_id, cast(count(*) as bigint) AS lines, cast(min(anchor - pos) as bigint) AS nearest, cast(sum(anchor - pos) as bigint) AS distances FROM ({ahead}) a WHERE anchor IS NOT NULL GROUP BY doc_id"
+
+
+def audit_snippet(d: Dialect, around: int = 60, most: int = 40) -> str:
+    """The place in a document's whole text that a chunk's first line, last characters or first long run of letters is found at, and the text around it."""
+    whole = f"SELECT conv_id, {d.join(d.gather('text', 'turn'), chr(10))} AS audit FROM conversations GROUP BY conv_id"
+    anchors = d.array(f"substr({d.group('c.text', '^([^' + chr(10) + ']*)')}, 1, {around})", f"CASE WHEN length(c.text) > {around} THEN substr(c.text, length(c.text) - {around - 1}, {around}) ELSE c.text END", f"substr({d.group('c.text', '([A-Za-z]{8,})')}, 1, {most})")
+    found = d.filter(d.map(anchors, "x", "CASE WHEN x = '' THEN 0 ELSE instr(w.audit, x) END"), "y", "y > 0")
+    placed = f"SELECT c.conv_id, c.turn, w.audit, cast({d.at(found, '1')} as bigint) AS place FROM conversations c JOIN ({whole}) w ON c.conv_id = w.conv_id"
+    start = "greatest(1, place - 2000)"
+    return f"SELECT conv_id, turn, place, {d.sha256(f'substr(audit, cast({start} as int), cast(place - {start} + 2000 as int))')} AS snippet_sha256 FROM ({placed}) p WHERE place IS NOT NULL"
+
+
+def message_texts(d: Dialect) -> str:
+    """The text of a model's message: its content, else its reasoning, with a mark for what is left of markup."""
+    plain = d.sub("text", r"[^A-Za-z0-9 .,]", "")
+    head, tail = d.text('{"choices":[{"message":{"role":"assistant","content":"'), d.text('"}}]}')
+    answer = f"SELECT conv_id, turn, concat({head}, {plain}, {tail}) AS answer FROM conversations"
+    content = d.json("answer", "choices[0].message.content")
+    return f"SELECT conv_id, turn, {content} AS content, {d.like(content, '[$]|[0-9]{5,}')} AS residue FROM ({answer}) a"
+
+
+def uploads(d: Dialect) -> str:
+    """Files sent in base64: decoded, under names without a path, of the kinds that are taken."""
+    name = d.sub("concat(url, CASE WHEN page_id % 3 = 0 THEN '.exe' ELSE '.md' END)", r"^.*[/\\]")
+    sent = f"SELECT page_id, {name} AS name, {'base64(encode(coalesce(html, {0})))' if d.name == 'duckdb' else 'base64(encode(coalesce(html, {0}), {1}))'} AS body FROM pages".replace("{0}", "''").replace("{1}", "'UTF-8'")
+    decoded = "decode(from_base64(body))" if d.name == "duckdb" else "decode(unbase64(body), 'UTF-8')"
+    return f"SELECT page_id, name, {d.sha256(decoded)} AS text_sha256 FROM ({sent}) s WHERE {d.like('lower(name)', r'[.](?:md|pdf|docx?|png)$')}"
+
+
+def planned_moves(d: Dialect) -> str:
+    """A plan to move outputs under safe names, and the targets that more than one source would take."""
+    target = d.sub("lower(url)", r"[^a-z0-9.]+", "_")
+    return f"SELECT target, cast(count(*) as bigint) AS sources, count(*) > 1 AS clashes, min(page_id) AS first_page FROM (SELECT page_id, substr({target}, 1, 24) AS target FROM pages) m GROUP BY target"
+
+
+def event_days(d: Dialect) -> str:
+    """Scalar forms of reports: ISO days, numbers filled with zeros, previews of a text in one line, shares kept within bounds."""
+    preview = d.sub("substr(text, 1, 80)", f"{S}+", " ")
+    return f"SELECT conv_id, turn, concat(lpad({d.string('conv_id % 1000')}, 3, '0'), '_', lpad({d.string('turn')}, 2, '0')) AS part, {preview} AS preview, least(100, greatest(0, length(text) - 50)) AS share, {d.contains('text', d.text('the'))} AS has_the FROM conversations"
+
+
 RELATIONS = (
+    quality_left_joins, log_semijoin, issues_antijoin, result_by_either_key, cost_with_nulls, dearest_samples, largest_output, all_names, settled_entities, poll_states, acquisition_policy, cached_merges,
+    merged_segments, complete_corrections, nearest_anchor, audit_snippet, message_texts, uploads, planned_moves, event_days,
     call_cost_summary, stage_counts, latest_state, state_counts, latest_error, budget_cutoff, breaker_open_intervals, heartbeat_stale, natural_sort, batch_window,
     delivered_semijoin, resume_antijoin, review_rollup, review_issue_counts, finalisation_override, safe_patch_filter, chunk_context_prev_next, coalesce_repaired,
     model_recommendation, page_segments, segment_batches, segment_data_id, source_kind, safe_stem, profile_join, rule_join, status_cascade, job_status,
