@@ -64,10 +64,16 @@ RULES = {
     "artifact.bad_control_remove": ("Remove control characters.", "low", "auto_apply"),
     "line_endings.normalize": ("Use one kind of line end.", "low", "auto_apply"),
     "metadata.trailing_archive_block_remove": ("Remove an archive's trailing metadata.", "low", "auto_apply"),
+    "ocr.embedded_foreign_math_noise_remove": ("Remove theorems of another book.", "medium", "auto_apply"),
+    "latex.unit_math_to_text": ("Turn formulas of doses and measures into text.", "low", "auto_apply"),
+    "ocr.temperature_percent_to_celsius": ("Turn percent signs that stand for degrees into degrees.", "medium", "auto_apply"),
+    "mineru.flowchart_transcribe": ("Turn recognised flowcharts near tables into tables.", "medium", "auto_apply"),
     "mineru.noise_details_remove": ("Remove recognised-figure blocks.", "low", "auto_apply"),
     "html.table_tags_to_markdown": ("Turn HTML tables into Markdown rows.", "medium", "auto_apply"),
     "structure.local_glue_split": ("Put labels on lines of their own.", "medium", "auto_apply"),
+    "markdown.table_normalize": ("Close and even the rows of tables.", "medium", "auto_apply"),
     "structure.chronology_list_normalize": ("Turn year ranges into list items.", "medium", "auto_apply"),
+    "paragraph.safe_line_join": ("Join lines that a page's width cut.", "medium", "auto_apply"),
     "markdown.blank_lines_and_trailing_newline": ("Fold blank lines, end with one line end.", "low", "auto_apply"),
 }
 

@@ -20,11 +20,39 @@ def packed(d: Dialect, lines: str) -> str:
     return f"SELECT doc_id, {d.join(d.gather('line', 'pos'), chr(10))} AS text FROM ({lines}) p GROUP BY doc_id"
 
 
+# Series titles as running heads, what a recognised volume mark falls apart into, and titles that do.
+SERIES_HEAD = rf"^(?:现代著名老中医名著重刊丛书|中国百年百名中医临床家丛书|现代著名老中医名著重刊丛书第[一二三四五六七八九十\d]+辑|第[一二三四五六七八九十\d]+辑)$"
+FRAGMENTS = "^[第一二三四五辑輯索引前言凡例]$"
+FRAGMENT_TITLES = rf"^(?:第[一二三四五六七八九十\d]*辑?|前言|凡例|索引|目录|目錄)$"
+SERIES_PREFIX = rf"^(?:现代著名老中医名著重刊丛书|中国百年百名中医临床家丛书|现代著名者中医名著重刊丛书|现代著名塔中医名著重刊丛书)(?:第[一二三四五六七八九十\d]+辑)?"
+
+
 def without_running(d: Dialect, source: str) -> str:
-    """Lines that aren't repeated heads or feet: short ones that stand three times or more go."""
-    short = f"length(bare) BETWEEN 3 AND 40 AND NOT {d.like('bare', '^[#|]')} AND NOT {d.like('bare', rf'^(?:[-*+]{S}*)?[（(]\d{{1,3}}[）)]$')} AND NOT {d.like('bare', rf'^(?:(?:[-*+]{S}*)+)?【[^】]{{1,12}}】$')}"
-    counted = f"SELECT *, count(*) OVER (PARTITION BY doc_id, bare) AS times, {short} AS may_run FROM ({rows(d, source)}) r"
-    kept = f"SELECT * FROM ({counted}) c WHERE NOT (may_run AND times >= 3)"
+    """Lines that aren't repeated heads or feet.
+
+    Short lines that stand three times or more go, titles of series from two times on; a volume mark or short title that
+    fell apart into glyphs, a line each, goes with the blank lines inside; a series title in front of an entry is cut off."""
+    e = d.text("")
+    content = t.heading_text(d, "bare")
+    compact = d.sub("content", f"{S}+")
+    one = f"SELECT *, {content} AS content FROM ({rows(d, source)}) r"
+    two = f"SELECT *, {d.like(compact, SERIES_HEAD)} AS series, {d.like(compact, FRAGMENTS)} AS fragment FROM ({one}) o"
+    plain = f"NOT {d.like('bare', '^[#|]')} AND NOT {d.like('bare', rf'^(?:[-*+]{S}*)?[（(]\d{{1,3}}[）)]$')} AND NOT {d.like('bare', rf'^(?:(?:[-*+]{S}*)+)?【[^】]{{1,12}}】$')}"
+    section = f"NOT {d.like('bare', '^#')} AND {d.like('content', f'^[一二三四五六七八九十百]+、[^{S[1:-1]}]{{2,16}}$')}"
+    three = f"SELECT *, series OR fragment OR {section} OR length(bare) BETWEEN 3 AND 40 AND {plain} AS may_run FROM ({two}) w"
+    four = f"SELECT *, CASE WHEN may_run THEN count(*) OVER (PARTITION BY doc_id, bare) ELSE 0 END AS times FROM ({three}) x"
+    gone = "(times >= 3 OR series AND times >= 2)"
+    # glyphs that stand together, blank lines between them allowed: the lines between two others are a block
+    five = f"SELECT *, sum(CASE WHEN bare <> {e} AND NOT (fragment AND NOT {gone}) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM ({four}) y WHERE NOT {gone}"
+    glyph = f"CASE WHEN fragment THEN content END"
+    six = f"SELECT *, {d.gather_over(glyph, '(PARTITION BY doc_id, block ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)')} AS glyphs, min(CASE WHEN fragment THEN pos END) OVER (PARTITION BY doc_id, block) AS head FROM ({five}) z"
+    seven = f"SELECT *, {d.size('glyphs')} >= 2 AND {d.like(d.join('glyphs', ''), FRAGMENT_TITLES)} AND pos >= head AND (fragment OR bare = {e}) AS broken FROM ({six}) v"
+    body = d.sub("content", f"^[-*+]{S}+")
+    rest = d.sub(d.sub(body, SERIES_PREFIX), r"^[ \-—–·•]+|[ \-—–·•]+$")
+    entry = f"({t.is_page_entry(d, t.squeeze(d, rest))} OR {d.like(rest, r'^\d{1,3}[.．、]')} OR {d.like(rest, rf'(?:\.{{2,}}|…{{1,}}|·{{2,}}|{S}+)\d{{1,4}}$')})"
+    cut = f"{d.like(body, SERIES_PREFIX)} AND {rest} <> {e} AND NOT {d.like(rest, '^[（(].*[）)]$')} AND {entry}"
+    mark = f"CASE WHEN {d.like('bare', '^#')} THEN concat({d.group('bare', '^(#{1,6})')}, ' ') WHEN {d.like('bare', f'^[-*+]{S}+')} THEN '- ' ELSE '' END"
+    kept = f"SELECT doc_id, pos, CASE WHEN {cut} THEN concat({mark}, {rest}) ELSE line END AS line, bare FROM ({seven}) u WHERE NOT coalesce(broken, false)"
     # of blank lines left side by side, the first stays
     return f"SELECT doc_id, pos, line FROM (SELECT *, lag(bare) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM ({kept}) k) b WHERE NOT (bare = '' AND before IS NOT NULL AND before = '')"
 

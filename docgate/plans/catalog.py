@@ -131,7 +131,7 @@ def chunk_units(d: Dialect) -> str:
 
 @query
 def strip_latex(d: Dialect) -> str:
-    made = clean.steps(d, "text", clean.LATEX_STEPS)
+    made = clean.steps(d, "text", clean.REPAIR_STEPS)
     return f"SELECT doc_id, {d.sha256(made)} AS text_sha256 FROM {dirty_source(d)}"
 
 
@@ -147,12 +147,15 @@ def local_gate(d: Dialect) -> str:
 
 @query
 def collapse_guard(d: Dialect) -> str:
-    """Cleaning against what it was given: a result that lost its headings or gained a mega line isn't taken."""
+    """Cleaning against what it was given: a result that grew a mega line, lost its headings or gained a code of bad segmentation isn't taken."""
     cleaned = f"(SELECT doc_id, text FROM ({clean.cleaned(d, dirty_source(d))}) c) cleaned"
-    a, b = gate.measures(d, dirty_source(d)), gate.measures(d, cleaned)
+    a, b = gate.gated(d, dirty_source(d)), gate.gated(d, cleaned)
+    gained = [f"CASE WHEN {d.has('b.errors', d.text(c))} AND NOT {d.has('a.errors', d.text(c))} THEN {d.text('candidate_has_' + c)} END" for c in ("mega_line", "low_heading_density", "headingless_long_document")]
+    reasons = d.filter(d.array(
+        "CASE WHEN b.max_line_chars >= 3000 AND b.max_line_chars > greatest(a.max_line_chars * 2, a.max_line_chars + 500) THEN 'candidate_mega_line' END",
+        "CASE WHEN a.heading_count >= 10 AND b.heading_count < greatest(5, floor(a.heading_count / 3.0)) THEN 'candidate_heading_collapse' END", *gained), "x", "x IS NOT NULL")
     return f"""SELECT a.doc_id, a.heading_count AS headings_before, b.heading_count AS headings_after, a.max_line_chars AS longest_before, b.max_line_chars AS longest_after,
-        (a.heading_count >= 5 AND b.heading_count * 2 < a.heading_count) OR (b.has_mega_line AND b.max_line_chars > a.max_line_chars) AS fall_back
-        FROM ({a}) a JOIN ({b}) b ON a.doc_id = b.doc_id"""
+        {d.join(reasons, ',')} AS reasons, {d.size(reasons)} > 0 AS fall_back FROM ({a}) a JOIN ({b}) b ON a.doc_id = b.doc_id"""
 
 
 def _views(spark: SparkSession, sf_dir: str, sql: str) -> None:

@@ -135,7 +135,7 @@ def coalesce_repaired(d: Dialect) -> str:
 
 def model_recommendation(d: Dialect, preferred: str = "click", fallback: str = "purchase") -> str:
     """For each batch (every hundredth entity), which of two models to take: the preferred one if both succeed with equal quality, else the fallback if it succeeds, else the preferred if it does, else the fallback if it ran at all."""
-    quality = f"SELECT user_id % 100 AS batch, event_type AS model, count(*) AS total, sum(CASE WHEN value <= {FAILED_ABOVE} THEN 1 ELSE 0 END) AS passed, sum(CASE WHEN value > {FAILED_ABOVE} THEN 1 ELSE 0 END) AS failed FROM events WHERE event_type IN ({d.text(preferred)}, {d.text(fallback)}) GROUP BY user_id % 100, event_type"
+    quality = f"SELECT user_id % 100 AS batch, event_type AS model, count(*) AS total, sum(CASE WHEN value <= 60 THEN 1 ELSE 0 END) AS passed, sum(CASE WHEN value > 60 THEN 1 ELSE 0 END) AS failed FROM events WHERE event_type IN ({d.text(preferred)}, {d.text(fallback)}) GROUP BY user_id % 100, event_type"
     succeeds = "coalesce({0}.failed = 0 AND {0}.passed > 0, false)"
     p, f = succeeds.format("p"), succeeds.format("f")
     same = f"({p} AND {f} AND p.total = f.total AND p.passed = f.passed AND p.failed = f.failed)"
@@ -274,7 +274,7 @@ def settled_entities(d: Dialect) -> str:
 
 def poll_states(d: Dialect) -> str:
     """A segment's state from its log: the first final state stands, whatever comes later; else the latest one, with the number of polls."""
-    state = f"CASE WHEN value > {FAILED_ABOVE} * 2 THEN 'failed' WHEN event_type = 'purchase' THEN 'done' WHEN event_type = 'click' THEN 'polling' WHEN event_type = 'view' THEN 'uploading' ELSE 'creating_task' END"
+    state = f"CASE WHEN value > 150 THEN 'failed' WHEN event_type = 'purchase' THEN 'done' WHEN event_type = 'click' THEN 'polling' WHEN event_type = 'view' THEN 'uploading' ELSE 'creating_task' END"
     marked = f"SELECT user_id, event_id, ts, {state} AS state FROM events"
     order = "(PARTITION BY user_id ORDER BY ts, event_id)"
     counted = f"SELECT *, row_number() OVER {order} AS nth, sum(CASE WHEN state IN ('done', 'failed') THEN 1 ELSE 0 END) OVER {order} AS finals, count(*) OVER (PARTITION BY user_id) AS total FROM ({marked}) m"
