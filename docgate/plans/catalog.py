@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docgate.functions.dialect import DUCK, SPARK, Dialect
 from docgate.functions.lexicon import CODES
@@ -196,6 +197,17 @@ def front_and_back_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.selectExpr("doc_id", "sha2(text, 256) AS text_sha256", "cast(length(text) as bigint) AS chars")
 
 
+def clean_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain of cleaning rules, folds among them."""
+    made = clean.with_audit(_dirty(spark, sf_dir))
+    return made.selectExpr("doc_id", "sha2(text, 256) AS text_sha256", "cast(length(text) as bigint) AS chars", "cast(size(audit) as bigint) AS changes")
+
+
+def clean_chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = clean.rule_changes(_dirty(spark, sf_dir))
+    return made.groupBy("rule_id", "risk_level").agg(F.count(F.lit(1)).alias("documents"), F.sum("match_count").alias("matches"))
+
+
 def finalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned, structure put right, repaired, gated: what of the documents could be delivered."""
     made = finalize.repair(finalize.finalize(clean.clean(_dirty(spark, sf_dir))))
@@ -210,7 +222,7 @@ def structure_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Without SQL to check them by: each line reads what the line before became.
 FOLDED = {
     "clean_foreign_math": _fold("drop_foreign_math"), "clean_flowcharts": _fold("transcribe_flowcharts"), "clean_temperature": _fold("celsius"), "clean_bibliography": _fold("split_bibliography"), "clean_tables": _fold("normalize_tables"), "soft_join": _fold("soft_join"),
-    "merge_breaks": _fold("merge_breaks"), "split_overlong": _fold("split_overlong"), "clean_folds": _fold(*folds.FOLDS), "chunk_pack": chunk_pack, "finalized": finalized, "structure_changes": structure_changes, "front_and_back_matter": front_and_back_matter,
+    "merge_breaks": _fold("merge_breaks"), "split_overlong": _fold("split_overlong"), "clean_folds": _fold(*folds.FOLDS), "chunk_pack": chunk_pack, "finalized": finalized, "structure_changes": structure_changes, "front_and_back_matter": front_and_back_matter, "clean_chain": clean_chain, "clean_chain_counts": clean_chain_counts,
 }
 
 
