@@ -95,6 +95,7 @@ def most_apart(cosine: float) -> int:
 
 def has_partner(sketch: np.ndarray, left: np.ndarray, right: np.ndarray, apart: int) -> np.ndarray:
     """For each sketch, whether another of the other side is near it. left and right: positions to compare; the same array if all."""
+    sketch = sketch.view(np.uint64)  # of signed numbers, bits of the absolute value would count
     near = np.zeros(len(sketch), bool)
     other = sketch[right]
     for at in range(0, len(left), 512):
