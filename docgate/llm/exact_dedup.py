@@ -4,8 +4,8 @@ Texts are equal when identical after lower-casing A-Z; a SHA-256 of the normalis
 Misra-Gries pass (`freqItems`, one aggregate with bounded counters in each task) names the digests that may hold
 more than `support` of all rows: at most 1/support of them, so they can be broadcast whatever the input. Their
 exact sizes and winners come from a map-side aggregate over these digests alone and are joined back by broadcast,
-so that the rows of a hot digest never meet in a task. All other digests go through an ordinary shuffle, where no
-group exceeds that share.
+so that the rows of a hot digest never meet in a task. All other digests go through an ordinary shuffle: an aggregate
+with map-side combining, joined back to the rows, so that no group of them is gathered either.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest doc_id stays, of rows that
 tie on it exactly one; a null doc_id is smaller than any other and stays null in keep_id; an empty table gives an
@@ -38,10 +38,8 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     winner = [F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("group_size")]
     hot = written(rows.join(likely, "text_sha256", "left_semi").groupBy("text_sha256").agg(*winner), "hot-digests")
     hot_rows = rows.join(F.broadcast(hot), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    cold_rows = rows.join(F.broadcast(hot.select("text_sha256")), "text_sha256", "left_anti").select(
-        "*", F.max(F.struct("doc_id", "row")).over(group).alias("top"), F.count(F.lit(1)).over(group).alias("group_size")
-    )
+    cold = rows.join(F.broadcast(hot.select("text_sha256")), "text_sha256", "left_anti")
+    cold_rows = cold.join(cold.groupBy("text_sha256").agg(*winner), "text_sha256")
     return hot_rows.select(*cold_rows.columns).unionByName(cold_rows).select(
         "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"), "text_sha256"
     )
@@ -54,7 +52,7 @@ def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support:
     same = rows[id_col].eqNullSafe(kept["__id"]) & (rows["__digest"] == kept["__digest"])
     # ids that repeat are few or none; only their rows are counted out
     again = written(df.groupBy(F.col(id_col).alias("__again")).count().filter("count > 1").select("__again"), "repeated-ids")
-    # merged whatever its size: what is kept grows with the input, and plans at all sizes are alike
+    # what is kept has no size bound, so it may not be broadcast
     left = rows.join(kept.hint("merge"), same, "left_semi")
     if not again.isEmpty():
         repeated = left.join(again, left[id_col].eqNullSafe(again["__again"]), "left_semi")

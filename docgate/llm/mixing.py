@@ -13,7 +13,8 @@ shared among the others by weight again. In closed form, sources in order of siz
 the share per weight of what is left exceeds theirs.
 
 Defined results: a null text has no words; a null source is a source, last in order; a document without words takes
-none; of documents that tie, a hash of their ids decides, so reruns agree; repeated rows are documents of their own;
+none; of documents that tie, a hash of their ids (of rows without one, their place in the input) decides, so reruns
+agree; repeated rows are documents of their own;
 an empty table gives an empty result. Other columns of the input are ignored.
 """
 
@@ -70,7 +71,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     digits = min(6, max(1, math.ceil(math.log(max(1, rows.count() / BUCKET), 16))))
     one = rows.join(sources.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).select("row", "doc_id", "size", "source_id", "source_size", "target")
     offers = one.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    offers = offers.withColumn("key", F.md5(F.concat_ws("|", F.lit(SEED), F.col("turn").cast("string"), F.col("doc_id").cast("string"))))
+    offers = offers.withColumn("key", F.md5(F.concat_ws("|", F.lit(SEED), F.col("turn").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string"))))))
     offers = offers.withColumn("bucket", F.substring("key", 1, digits))
     place = ["source_id", "turn", "bucket"]
     sums = offers.groupBy(*place).agg(F.sum("size").alias("inside"))
@@ -101,6 +102,6 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     found = mix(df, id_col, text_col, source_col, **how).filter("copies > 0")
     found = written(found.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies")), "copies")
     same = df[id_col].eqNullSafe(found["__id"]) & (n_words(df[text_col]) == found["__size"])
-    # merged whatever its size: what is taken grows with the input, and plans at all sizes are alike
+    # what is taken has no size bound, so it may not be broadcast
     rows = df.join(found.hint("merge"), same).withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return rows.select(*df.columns)

@@ -29,6 +29,8 @@ from docgate.llm.tokens import Splitter
 LIMIT = 2048
 #: Bytes of text that a map task handles at once.
 BLOCK = 8 << 20
+#: Parts of the hash space, at most: a block sends a row to each. Counts of distinct pre-tokens that a task remembers.
+MOST_PARTS, REMEMBERED = 1024, 2_000_000
 #: The part number of a block's own row: ids, sizes and special tokens.
 OWN = -1
 
@@ -96,7 +98,7 @@ def count(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit. tokenizer: the path of its file, readable on every executor."""
     spark = df.sparkSession
     small_batches(spark)
-    parts = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(MOST_PARTS, max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     id_type = df.schema[id_col].dataType
     made = T.StructType([T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("docs", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
@@ -122,6 +124,8 @@ def count(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
 
         class Known(dict):
             def __missing__(self, piece: str) -> int:
+                if len(self) >= REMEMBERED:  # counted again when they come again
+                    self.clear()
                 self[piece] = n = len(splitter.ids(piece))
                 return n
 
