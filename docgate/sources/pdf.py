@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docgate.operators.folds import slices
+
 # Fixed values of the page: columns and lines, the place of the first line, the step, type sizes by heading level.
 COLUMNS, LINES = 62, 44
 LEFT, HEADER_Y, TOP, STEP = 54, 796, 764, 16
@@ -77,7 +79,7 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tit
     """doc_id, pages and pdf (bytes) for each row; a null text makes an empty page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             made = [document(title or "", text) for title, text in zip(batch.column("title").to_pylist(), texts, strict=True)]
             pages = [-(-len(layout(t)) // LINES) for t in texts]

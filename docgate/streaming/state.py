@@ -29,30 +29,61 @@ def latest_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy(F.col("user_id").alias("entity")).agg(newest).select("entity", "last.event_id", F.col("last.event_type").alias("status"), "last.ts")
 
 
-def breaker(stream: DataFrame, failed_above: float = 1.5, opens_at: int = 5) -> DataFrame:
-    """(stage, event_id, failures): each failure that opens its stage's breaker, being the nth in a row since the last success or opening.
+def breaker(stream: DataFrame, failed_above: float = 1.5, opens_at: int = 5, recovery_us: int = 60_000_000) -> DataFrame:
+    """(stage, event_id, state): each event that opens its stage's breaker (the nth failure in a row), half-opens it (the first once it has recovered) or closes it (a success while half-open).
 
-    Arbitrary state per stage: the length of its run of failures. Batches are taken in order of time."""
+    Arbitrary state per stage: failures in a row, and when it opened, in event time. A failure while half-open opens it anew. Batches are taken in order of time."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (length,) = state.get if state.exists else (0,)
-        opened = []
+        length, opened, half = state.get if state.exists else (0, None, False)
+        made = []
         for e in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
-            length = length + 1 if e.value > failed_above else 0
-            if length == opens_at:
-                opened.append((key[0], int(e.event_id), length))
-                length = 0
-        state.update((length,))
-        yield pd.DataFrame(opened, columns=["stage", "event_id", "failures"])
+            at, failed = int(pd.Timestamp(e.ts).value // 1000), e.value > failed_above
+            if opened is not None and not half and at - opened >= recovery_us:
+                half = True
+                made.append((key[0], int(e.event_id), "half_open"))
+            if opened is not None and not half:
+                continue  # nothing is called while it is open
+            length = length + 1 if failed else 0
+            if half and not failed:
+                opened, half = None, False
+                made.append((key[0], int(e.event_id), "closed"))
+            elif half or length >= opens_at:
+                opened, half, length = at, False, 0
+                made.append((key[0], int(e.event_id), "open"))
+        state.update((length, opened, half))
+        yield pd.DataFrame(made, columns=["stage", "event_id", "state"])
 
     rows = stream.select("event_type", "event_id", "ts", "value")
-    return rows.groupBy("event_type").applyInPandasWithState(run, "stage string, event_id long, failures int", "length int", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("event_type").applyInPandasWithState(run, "stage string, event_id long, state string", "length int, opened long, half boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def _versions(spark: SparkSession, table: str) -> list[int]:
+    """The complete versions of a table, in order."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(table)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath() for s in fs.listStatus(root)]
+    return sorted(int(p.getName().removeprefix("v")) for p in names if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def read_latest(spark: SparkSession, table: str) -> DataFrame | None:
+    """The latest state of every entity, one row each, as of the newest complete version."""
+    found = _versions(spark, table)
+    return spark.read.parquet(f"{table}/v{found[-1]:010d}") if found else None
 
 
 def upsert_latest(stream: DataFrame, table: str, checkpoint: str):
-    """Keeps the latest state in a Parquet folder, batch by batch. A batch that is run again gives the same folder."""
+    """Keeps one latest row of each entity in a folder of versions: a batch is merged with the version before it. A batch that is run again gives the same version."""
 
     def one(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{table}/batch={number:010d}")
+        spark = batch.sparkSession
+        before = [v for v in _versions(spark, table) if v < number]
+        rows = batch if not before else spark.read.parquet(f"{table}/v{before[-1]:010d}").unionByName(batch)
+        newest = F.max_by(F.struct("event_id", "status", "ts"), F.struct("ts", "event_id")).alias("last")
+        merged = rows.groupBy("entity").agg(newest).select("entity", "last.event_id", "last.status", "last.ts")
+        merged.write.mode("overwrite").parquet(f"{table}/v{number:010d}")
 
     return latest_state(stream).writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
