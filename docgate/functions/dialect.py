@@ -137,6 +137,11 @@ class SparkDialect(Dialect):
         """The values that aren't null, in the window's order."""
         return f"collect_list({x}) OVER {window}"
 
+    def where(self, x: str, needles: tuple[str, ...], change: Callable[[str], str], v: str) -> str:
+        """x changed, if it holds any of the needles; else as it is, without a pattern being tried. v: a name for it inside."""
+        holds = " OR ".join(self.contains(v, self.text(n)) for n in needles)
+        return self.at(self.map(self.array(x), v, f"CASE WHEN {holds} THEN {change(v)} ELSE {v} END"), "1")
+
     def seconds(self, ts: str) -> str:
         return f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})"
 

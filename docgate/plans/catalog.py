@@ -159,10 +159,16 @@ def collapse_guard(d: Dialect) -> str:
         {d.join(reasons, ',')} AS reasons, {d.size(reasons)} > 0 AS fall_back FROM ({a}) a JOIN ({b}) b ON a.doc_id = b.doc_id"""
 
 
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """Texts that stand in fewer row groups than there are cores are dealt out; more aren't touched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
+
+
 def _views(spark: SparkSession, sf_dir: str, sql: str) -> None:
     for name in TABLES:
         if name in sql:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+            spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), name).createOrReplaceTempView(name)
 
 
 def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
