@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docgate.functions.dialect import DUCK, SPARK, Dialect
 from docgate.functions.lexicon import CODES
 from docgate.operators import clean, finalize, folds, gate, matter, structure
-from docgate.plans import dirty, relational
+from docgate.plans import dirty, relational, scaled
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
 SQL: dict[str, Callable[[Dialect], str]] = {}
@@ -173,7 +173,7 @@ def _views(spark: SparkSession, sf_dir: str, sql: str) -> None:
 
 def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sql = SQL[name](SPARK)
+        sql = scaled.PLANS.get(name, SQL[name])(SPARK)
         _views(spark, sf_dir, sql)
         return spark.sql(sql)
 
