@@ -33,6 +33,14 @@ CODES = (
     "invalid_heading_syntax", "headingless_long_document", "nonstandard_heading_content", "heading_level_jump", "toc_page_heading_residue",
     "repeated_toc_heading_residue", "unstructured_front_matter_prefix", "mega_line", "low_heading_density",
 )
+#: What to do about a code.
+HINTS = {
+    "mojibake": "Text was decoded wrongly: go back to the source.", "replacement_characters": "Characters were lost: go back to the source.", "zero_width_characters": "Delete characters without width.",
+    "abnormal_cjk_spaces": "Close gaps between characters.", "forced_line_breaks": "Join lines that a page's width cut.", "duplicate_repeated_lines": "Remove running heads and feet.",
+    "headingless_long_document": "Give a long document headings.", "invalid_heading_syntax": "Put a space behind the marks of a heading, six at most.", "nonstandard_heading_content": "Take decoration, doses and cover fragments out of headings.",
+    "heading_level_jump": "Let no heading be more than one level below the one before.", "toc_page_heading_residue": "Make entries of the contents list items.", "repeated_toc_heading_residue": "Keep one table of contents.",
+    "unstructured_front_matter_prefix": "Remove what stands before the first heading.", "pdf_md_mismatch": "Make text and PDF from the same source again.", "mega_line": "Split the line into paragraphs again.", "low_heading_density": "Restore the headings.",
+}
 MEGA_LINE, SOFT_JOIN, REPAIR_PACK, REPAIR_SPLIT = 3000, 2000, 2990, 2490
 LONG_READABLE, LONG_LINES, LOW_DENSITY_READABLE, LOW_DENSITY_HEADINGS = 2000, 80, 20_000, 5
 FRONT_LINES = 120

@@ -95,15 +95,16 @@ def call(asked: DataFrame, client: Client, cache: DataFrame | None = None, attem
 
 
 def verdicts(answered: DataFrame) -> DataFrame:
-    """Parses answers: result, issues (of either kind), and whether the chunk is accepted: it says so, and has no severe issue."""
+    """Parses answers: result, issues (of either kind), whether the chunk is accepted: it says so, and has no severe issue; and whether a corrected text makes a draft."""
     result = F.from_json("answer", RESULT, {"mode": "PERMISSIVE"})
     rows = answered.withColumn("result", result)
     none = F.array().cast(f"array<{ISSUE}>")
     issues = F.concat(F.coalesce("result.issues", none), F.coalesce("result.blocking_issues", none))
     severe = F.exists(issues, lambda x: F.lower(F.trim(x["severity"])).isin(*SEVERE))
     status = F.coalesce("result.status", F.lit("error"))
+    corrected = F.trim(F.coalesce("result.corrected_text", F.lit("")))
     said = F.when(F.col("stage") == "review", (status == "reviewed") & F.coalesce("result.accepted", F.lit(False)) & ~severe).otherwise(status == "passed")
-    return rows.withColumns({"status": status, "issues": issues, "accepted": F.coalesce(said, F.lit(False))})
+    return rows.withColumns({"status": status, "issues": issues, "accepted": F.coalesce(said, F.lit(False)), "draft_ready": (status == "passed") & (corrected != "")})
 
 
 def rollup(judged: DataFrame) -> DataFrame:

@@ -57,12 +57,17 @@ def without_running(d: Dialect, source: str) -> str:
     return f"SELECT doc_id, pos, line FROM (SELECT *, lag(bare) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM ({kept}) k) b WHERE NOT (bare = '' AND before IS NOT NULL AND before = '')"
 
 
+# Titles of series, always a running head, and what tells that a book's own title stands with one.
+SERIES_TITLE, OWN_TITLE = "名著重[刊利]丛书", "医案|经验|备要|论医|选编|选集"
+
+
 def without_titles(d: Dialect, source: str) -> str:
-    """Lines without short headings, free of numbers and stops, that stand twice or more: a book's title as a running head."""
+    """Lines without short headings, free of numbers and stops, that stand twice or more: a book's title as a running head; a series title always."""
     content = t.heading_text(d, "bare")
     title = f"{t.is_heading(d, 'bare')} AND length({content}) BETWEEN 2 AND 24 AND {d.like(content, rf'^[{CJK}A-Za-z0-9·•\-—–（）()《》〈〉{S[1:-1]}]+$')} AND NOT {d.like(content, NOT_TITLES)} AND NOT {d.like(content, '[。！？!?：:；;，,]')}"
     counted = f"SELECT *, count(*) OVER (PARTITION BY doc_id, bare) AS times, {title} AS may_run FROM ({rows(d, source)}) r"
-    return f"SELECT doc_id, pos, line FROM ({counted}) c WHERE NOT (may_run AND times >= 2)"
+    series = f"{t.is_heading(d, 'bare')} AND {d.like(content, SERIES_TITLE)} AND NOT {d.like(content, OWN_TITLE)}"
+    return f"SELECT doc_id, pos, line FROM ({counted}) c WHERE NOT (may_run AND times >= 2 OR {series})"
 
 
 def without_short_repeats(d: Dialect, source: str, most: int = 2) -> str:

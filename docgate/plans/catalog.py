@@ -30,6 +30,11 @@ def gate_acceptance(d: Dialect) -> str:
     return f"SELECT doc_id, accepted, {d.join('blocking', ',')} AS blocking, {d.join('warnings', ',')} AS warnings FROM ({gate.gated(d, dirty_source(d))}) g"
 
 
+@query
+def quality_hints(d: Dialect) -> str:
+    return gate.hinted(d, dirty_source(d))
+
+
 @query
 def gate_error_counts(d: Dialect) -> str:
     rows = d.explode(f"({gate.gated(d, dirty_source(d))}) g", "errors", "doc_id")
