@@ -8,10 +8,11 @@ texts that share a word meet. The cosine of two sets of Jaccard index s is 2s/(1
 differs in two bits at most is known, and `shape` takes as many blocks as find a pair at the threshold with the given
 recall (pairs above it are found more surely). The width follows the number of texts, so that unlike texts rarely meet.
 
-Texts that meet are compared exactly, by their sets, so nothing below the threshold is linked. Each is compared with the
-least text of its group first (unless 64 further bits rule it out); then, in groups whose members are not yet in one
-component, all are compared with one another, in blocks inside a task, which returns a forest; pairs are not emitted. No
-group is capped and no pair dropped.
+Texts that meet, unless 128 further bits rule them out, are put into classes where they meet, each named by its first
+text; a group is all that has met one such text. All are compared exactly, by their sets, so nothing below the threshold
+is linked: each text with the least that it has met first; then, in groups whose members are not yet in one component, all
+of different components with one another, in blocks inside a task, which returns a forest; pairs are not emitted. No group
+is capped and no pair dropped.
 
 Defined results: a null text is an empty one; texts alike in their words are one node; of each class the row with the
 smallest id stays (without any id, that with the least digest), once if it is repeated; an empty table gives an empty
@@ -44,10 +45,12 @@ RECALL = 0.98
 SPARE = 8
 #: Texts that begin with the same bits of a block, on average; texts of a bucket above which it is dealt out by words.
 PER_PREFIX, MOST = 256, 100_000
+#: Texts to compare whose digests (16 bytes and an id each) are broadcast.
+FEW = 1_000_000
 #: Members of a group that are compared in one block, and bytes of their sets at most, about.
 BLOCK, BLOCK_BYTES = 512, 32 << 20
-#: Standard deviations by which a true pair's check bits may differ more than expected.
-SURE = 5.0
+#: Bits beyond the blocks by which unlike pairs are told, and standard deviations by which a true pair's may differ more than expected.
+CHECK, SURE = 128, 5.0
 
 
 def normal(text: bytes) -> list[bytes]:
@@ -136,7 +139,7 @@ def _with_node(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def _dealt(nodes: DataFrame, width: int, blocks: int, prefix: int) -> DataFrame:
-    """nodes: (node, long). (place, node, word, other): each text's places (a block and the first `prefix` bits of its words there), its bits of the block, and 64 further bits."""
+    """nodes: (id, long). (place, id, word, c0, c1): each text's places (a block and the first `prefix` bits of its words there), its bits of the block, and `CHECK` further bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.uint64(width - prefix)
@@ -146,63 +149,59 @@ def _dealt(nodes: DataFrame, width: int, blocks: int, prefix: int) -> DataFrame:
             for lo in range(0, whole.num_rows, 64):
                 batch = whole.slice(lo, 64)
                 long = np.frombuffer(b"".join(batch.column("long").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-                word = blocks_of(long[:, :-1].copy(), width, blocks)
+                word = blocks_of(long[:, :-2].copy(), width, blocks)
                 place = (base[None, :, None] | ((word >> rest)[:, :, None] ^ flips[None, None, :])).reshape(len(long), -1)
                 per = place.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(place.ravel().view(np.int64)),
-                        batch.column("node").take(pa.array(np.repeat(np.arange(len(long)), per))),
-                        pa.array(np.repeat(word, len(flips), axis=1).ravel().view(np.int64)),
-                        pa.array(np.repeat(long[:, -1], per).view(np.int64)),
-                    ],
-                    ["place", "node", "word", "other"],
-                )
+                columns = [place.ravel(), np.repeat(batch.column("id").to_numpy(), per), np.repeat(word, len(flips), axis=1).ravel(), np.repeat(long[:, -2], per), np.repeat(long[:, -1], per)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], ["place", "id", "word", "c0", "c1"])
 
-    return nodes.mapInArrow(run, "place long, node binary, word long, other long")
+    return nodes.mapInArrow(run, "place long, id long, word long, c0 long, c1 long")
 
 
-def meet(place: int, node: np.ndarray, word: np.ndarray, other: np.ndarray, width: int, prefix: int, apart: int) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
-    """Of the texts of a place (nodes sorted and distinct): pairs (least of a group, member) that the further bits allow, and groups of three or more, as positions."""
+def near_bits(check: np.ndarray, left: np.ndarray, right: np.ndarray, apart: int) -> np.ndarray:
+    """Whether the check bits of each of `left` and each of `right` (positions) allow them to be near copies."""
+    return np.bitwise_count(check[left][:, None, :] ^ check[right][None, :, :]).sum(axis=2, dtype=np.int64) <= apart
+
+
+def meet(place: int, word: np.ndarray, check: np.ndarray, width: int, prefix: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the texts of a place, in the order of their ids: those that share words with others that the check bits allow, each with the first of its class (positions)."""
     rest = width - prefix
     start = np.uint64(place & ((1 << prefix) - 1))
     whole = np.flatnonzero((word >> np.uint64(rest)) == start)  # these may differ by one bit in the rest, all others in none
     low = word & np.uint64((1 << rest) - 1)
     flips = np.uint64(1) << np.arange(rest, dtype=np.uint64)
     made = np.concatenate([low, (low[whole, None] ^ flips[None, :]).ravel()])
-    owner = np.concatenate([np.arange(len(node)), np.repeat(whole, rest)])
+    owner = np.concatenate([np.arange(len(word)), np.repeat(whole, rest)])
     order = np.lexsort((owner, made))
     made, owner = made[order], owner[order]
     cuts = np.flatnonzero(np.concatenate([[True], made[1:] != made[:-1], [True]]))
-    pairs, groups = set(), {}
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in np.flatnonzero(np.diff(cuts) > 1).tolist():
         members = owner[cuts[at] : cuts[at + 1]]
-        near = np.bitwise_count(other[members[1:]] ^ other[members[0]]) <= apart
-        pairs.update((int(members[0]), int(m)) for m in members[1:][near])
-        if len(members) > 2:
-            groups[members.tobytes()] = members
-    return sorted(pairs), list(groups.values())
+        if len(members) <= 512:
+            i, j = np.nonzero(np.triu(near_bits(check, members, members, apart), 1))
+            left.append(members[i])
+            right.append(members[j])
+        else:  # linked as they are: the exact comparison decides
+            left.append(members[1:])
+            right.append(np.full(len(members) - 1, members[0]))
+    return _forest(len(word), np.concatenate(left), np.concatenate(right))
 
 
 def _meetings(rows: DataFrame, width: int, prefix: int, apart: int) -> DataFrame:
-    """(key, a, b): pairs to compare, key null; members b of groups of three or more by key, a null."""
+    """(a, b): b shares words, directly or over others of its place, with a, the first of its class there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(place: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
             group = pa.Table.from_batches(parts)
             if group.num_rows < 2:
                 return None
-            node = np.array(group.column("node").to_pylist(), object)
-            word, other = (group.column(c).to_numpy().view(np.uint64) for c in ("word", "other"))
-            order = np.array(sorted(range(len(node)), key=node.__getitem__))
-            order = order[np.concatenate([[True], node[order][1:] != node[order][:-1]])]
-            node, word, other = node[order], word[order], other[order]
-            pairs, groups = meet(place, node, word, other, width, prefix, apart)
-            keys = [hashlib.md5(b"".join(node[m].tolist()), usedforsecurity=False).digest() for m in groups]
-            key = [None] * len(pairs) + [k for k, m in zip(keys, groups, strict=True) for _ in m]
-            a = [node[x] for x, _ in pairs] + [None] * (len(key) - len(pairs))
-            b = [node[y] for _, y in pairs] + [x for m in groups for x in node[m].tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (key, a, b)], ["key", "a", "b"])
+            ids, word = group.column("id").to_numpy(), group.column("word").to_numpy().view(np.uint64)
+            check = np.stack([group.column(c).to_numpy() for c in ("c0", "c1")], axis=1).view(np.uint64)
+            order = np.argsort(ids)
+            ids = ids[order]
+            node, root = meet(place, word[order], check[order], width, prefix, apart)
+            return pa.RecordBatch.from_arrays([pa.array(ids[root]), pa.array(ids[node])], ["a", "b"])
 
         at, kept = None, []
         for batch in batches:
@@ -220,7 +219,7 @@ def _meetings(rows: DataFrame, width: int, prefix: int, apart: int) -> DataFrame
         if kept and (made := out(at, kept)) is not None:
             yield made
 
-    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(run, "key binary, a binary, b binary")
+    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(run, "a long, b long")
 
 
 def _by_words(rows: DataFrame, width: int, prefix: int) -> DataFrame:
@@ -230,34 +229,32 @@ def _by_words(rows: DataFrame, width: int, prefix: int) -> DataFrame:
     low = F.col("word").bitwiseAND(F.lit((1 << rest) - 1))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(rest)])
     made = F.when(F.shiftrightunsigned("word", rest) == start, flips).otherwise(F.array(F.lit(0).cast("long")))
-    each = rows.select("place", "node", low.alias("low"), F.explode(made).alias("flip"))
-    each = each.select("node", F.sha1(F.concat_ws(":", "place", F.col("low").bitwiseXOR(F.col("flip")))).cast("binary").alias("key")).distinct()
-    least = written(each.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded-words")
-    both = each.join(least, "key")
-    pairs = both.filter("node <> a").select(F.lit(None).cast("binary").alias("key"), "a", F.col("node").alias("b"))
-    return pairs.unionByName(both.filter("n > 2").select("key", F.lit(None).cast("binary").alias("a"), F.col("node").alias("b")))
+    each = rows.select("place", "id", low.alias("low"), F.explode(made).alias("flip"))
+    each = each.select("id", F.unhex(F.sha1(F.concat_ws(":", "place", F.col("low").bitwiseXOR(F.col("flip"))))).alias("key"))
+    least = written(each.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded-words")
+    return each.join(least, "key").filter("id <> a").select("a", F.col("id").alias("b"))
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """rows: (node, text). (node, size, hashes), the hashes as bytes."""
+    """rows: (id, text). (id, size, hashes), the hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
                 own = [shingles(normal((t or "").encode()), words) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "size", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["id", "size", "hashes"])
 
-    return rows.mapInArrow(run, "node binary, size long, hashes binary")
+    return rows.mapInArrow(run, "id long, size long, hashes binary")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Of pairs (a, b), those whose sets' similarity reaches the threshold."""
     above, below = least
-    sizes = sets.select("node", "size")
+    sizes = sets.select("id", "size")
     near = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
     # sets whose sizes differ more can't be that similar
     near = written(near.filter(F.least("na", "nb") * below >= F.greatest("na", "nb") * above).select("a", "b"), "near-pairs")
-    full = sets.select("node", "hashes")
+    full = sets.select("id", "hashes")
     both = near.join(full.toDF("a", "of_a"), "a").join(full.toDF("b", "of_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +266,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFra
                 take.append(shared * below >= (len(x) + len(y) - shared) * above)
             yield batch.select(["a", "b"]).filter(pa.array(take, pa.bool_()))
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
 def shared_members(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -289,14 +286,14 @@ def shared_members(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
 
 
 def _in_groups(members: DataFrame, sets: DataFrame, least: tuple[int, int], block: int) -> DataFrame:
-    """members: (key, node, root), groups whose members are not all in one component. Compares those of different components; returns a forest of links."""
+    """members: (key, id, root), groups whose members are not all in one component. Compares those of different components; returns a forest of links."""
     above, below = least
-    sizes = written(members.join(sets.select("node", "size"), "node").groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).alias("blocks")), "group-sizes")
-    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    sizes = written(members.join(sets.select("id", "size"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).alias("blocks")), "group-sizes")
+    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     place = ["key", "lo", "hi"]
-    rows = dealt.join(sets.select("node", "hashes"), "node").select(*place, "block", "node", "root", "hashes")
+    rows = dealt.join(sets.select("id", "hashes"), "id").select(*place, "block", "id", "root", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(kept: list[dict]) -> pa.RecordBatch | None:
@@ -315,7 +312,7 @@ def _in_groups(members: DataFrame, sets: DataFrame, least: tuple[int, int], bloc
             if not len(i):
                 return None
             a, b = _forest(len(kept), left[i], right[j])
-            return pa.RecordBatch.from_arrays([pa.array([kept[x]["node"] for x in a.tolist()], pa.binary()), pa.array([kept[x]["node"] for x in b.tolist()], pa.binary())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([kept[x]["id"] for x in a.tolist()], pa.int64()), pa.array([kept[x]["id"] for x in b.tolist()], pa.int64())], ["a", "b"])
 
         at, kept = None, []
         for batch in batches:
@@ -329,16 +326,16 @@ def _in_groups(members: DataFrame, sets: DataFrame, least: tuple[int, int], bloc
         if len(kept) > 1 and (made := out(kept)) is not None:
             yield made
 
-    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a binary, b binary")
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
 
 
 def links(nodes: DataFrame, count: int, df: DataFrame, text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST, recall: float = RECALL, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """nodes: (node, long). Links (a, b) between nodes whose components are those of all near copies that meet."""
+    """nodes: (id, node, long). Links (a, b) between ids whose components are those of all near copies that meet."""
     width, blocks = shape(count, least, recall)
     prefix = min(width - 4, max(4, math.ceil(math.log2(max(1, count / PER_PREFIX)))))
     p = differing(least)
-    apart = math.ceil(64 * p + SURE * math.sqrt(64 * p * (1 - p)))
-    rows = _dealt(nodes, width, blocks, prefix)
+    apart = math.ceil(CHECK * p + SURE * math.sqrt(CHECK * p * (1 - p)))
+    rows = _dealt(nodes.select("id", "long"), width, blocks, prefix)
     # the rows are made anew for this count rather than written: making them is cheaper than a table of all of them
     crowded = written(rows.groupBy("place").count().filter(F.col("count") > most).select("place"), "crowded")
     if crowded.isEmpty():
@@ -346,14 +343,22 @@ def links(nodes: DataFrame, count: int, df: DataFrame, text_col: str = "text", w
     else:
         found = _meetings(rows.join(crowded, "place", "left_anti"), width, prefix, apart).unionByName(_by_words(rows.join(crowded, "place", "left_semi"), width, prefix))
     found = written(found, "meetings")
-    star = written(found.filter("key is null").select("a", "b").distinct(), "pairs")
-    members = written(found.filter("key is not null").select("key", F.col("b").alias("node")).distinct(), "members")
-    wanted = written(star.select(F.col("a").alias("__wanted")).unionByName(star.select(F.col("b").alias("__wanted"))).unionByName(members.select(F.col("node").alias("__wanted"))).distinct(), "candidates")
-    texts = _with_node(df.select(F.col(text_col).alias("text")), "text").select(F.col("__node").alias("node"), "text")
-    sets = written(_sets(texts.dropDuplicates(["node"]).join(wanted, F.col("node") == F.col("__wanted"), "left_semi"), words), "sets")
+    # a group is what has met one text as the first of a class; each of its members meets its least such text first
+    met = written(found.distinct(), "met")
+    star = written(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    members = met.select(F.col("a").alias("key"), F.col("b").alias("id")).unionByName(met.select(F.col("a").alias("key"), F.col("a").alias("id")).distinct())
+    wanted = members.select("id").distinct()
+    wanted = written(nodes.join(wanted, "id", "left_semi").select("id", F.col("node").alias("__wanted")), "candidates")
+    texts = _with_node(df.select(F.col(text_col).alias("text")), "text")
+    named = F.col("__node") == F.col("__wanted")
+    if wanted.count() <= FEW:  # a bounded list goes to all tasks, so that only the texts it names are moved
+        texts = texts.join(F.broadcast(wanted), named).dropDuplicates(["id"])
+    else:  # copies are dropped before the shuffle, so that none of them is a hot key
+        texts = texts.dropDuplicates(["__node"]).join(wanted, named)
+    sets = written(_sets(texts.select("id", "text"), words), "sets")
     linked = written(_alike(star, sets, least), "alike")
     roots = components(linked)
-    placed = members.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = members.join(roots.withColumnRenamed("node", "__node"), F.col("id") == F.col("__node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     placed = written(placed, "placed")
     mixed = written(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key"), "mixed")
     left = written(placed.join(mixed, "key", "left_semi"), "left")
@@ -364,10 +369,11 @@ def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     """One row of each class of near copies, with all its columns."""
     count = df.count()
     width, blocks = shape(count, least, recall)
-    signatures = written(_signatures(df, id_col, text_col, words, -(-(width * blocks) // 64) + 1), "signatures")
-    nodes = written(signatures.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("long").alias("long")), "nodes")
-    roots = components(links(nodes.select("node", "long"), count, df, text_col, words, least, recall, most, block))
-    of = nodes.join(roots.withColumnRenamed("node", "__of"), nodes["node"] == F.col("__of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    signatures = written(_signatures(df, id_col, text_col, words, -(-(width * blocks) // 64) + CHECK // 64), "signatures")
+    nodes = signatures.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("long").alias("long"))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    roots = components(links(nodes.select("id", "node", "long"), count, df, text_col, words, least, recall, most, block))
+    of = nodes.join(roots.withColumnRenamed("node", "__of"), nodes["id"] == F.col("__of"), "left").select("node", "least", F.coalesce("root", "id").alias("root"))
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("first")
     kept = of.groupBy("root").agg(first).select(F.col("first.least").alias("__id"), F.col("first.node").alias("__kept"))
     again = written(signatures.groupBy("doc_id", "node").count().filter("count > 1").select("node"), "repeated-rows")
