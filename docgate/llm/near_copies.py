@@ -10,9 +10,13 @@ recall (pairs above it are found more surely). The width follows the number of t
 
 Texts that meet, unless 128 further bits rule them out, are put into classes where they meet, each named by its first
 text; a group is all that has met one such text. All are compared exactly, by their sets, so nothing below the threshold
-is linked: each text with the least that it has met first; then, in groups whose members are not yet in one component, all
-of different components with one another, in blocks inside a task, which returns a forest; pairs are not emitted. No group
-is capped and no pair dropped.
+is linked: each text with the least that it has met first. The texts of groups that are not yet in one component then meet
+by members of their sets: in any one order of all members, two sets at the threshold share one among the first of either,
+and its places tell how large the other set may be. Rare members come first in that order (a sample tells them), so a text
+that differs too much from the rest of its group meets nothing, and what shares frequent ones is alike. Of such a bucket,
+each text is compared with the one that has the fewest rare members; what is still of several components there is compared
+in blocks inside a task, which returns a forest, all but the bucket's largest component with everything. Pairs are not
+emitted; no group or bucket is capped and no pair dropped.
 
 Defined results: a null text is an empty one; texts alike in their words are one node; of each class the row with the
 smallest id stays (without any id, that with the least digest), once if it is repeated; an empty table gives an empty
@@ -47,8 +51,10 @@ SPARE = 8
 PER_PREFIX, MOST = 256, 100_000
 #: Texts to compare whose digests (16 bytes and an id each) are broadcast.
 FEW = 1_000_000
-#: Members of a group that are compared in one block, and bytes of their sets at most, about.
+#: Texts of a bucket that are compared in one block, and bytes of their sets at most, about.
 BLOCK, BLOCK_BYTES = 512, 32 << 20
+#: Members of whole sets drawn to tell frequent members from rare ones, about; sets of a bucket differ in size by this factor at most, so that it holds few that can't be alike.
+SAMPLE, STEP = 1_000_000, 1.05
 #: Bits beyond the blocks by which unlike pairs are told, and standard deviations by which a true pair's may differ more than expected.
 CHECK, SURE = 128, 5.0
 
@@ -285,14 +291,96 @@ def shared_members(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return out
 
 
-def _in_groups(members: DataFrame, sets: DataFrame, least: tuple[int, int], block: int) -> DataFrame:
-    """members: (key, id, root), groups whose members are not all in one component. Compares those of different components; returns a forest of links."""
+def _usual(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bounded sample of the sets (size, hashes): the members found more than once, sorted, and how often. Only speed depends on it."""
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, math.ceil((1 << 20) * min(1, SAMPLE / max(1, total)))))
+    drawn = drawn.filter(F.col("size") <= SAMPLE // 16).select("hashes").toArrow().column("hashes")
+    member, often = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in drawn)]), return_counts=True)
+    return member[often > 1], often[often > 1]
+
+
+def first_members(own: np.ndarray, usual: np.ndarray, often: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The first members of a set by frequency and value, of which any set that reaches the threshold with it shares one; and
+    for each the size up to which another set may reach it if it shares no earlier one."""
+    above, below = least
+    n = len(own)
+    count = np.zeros(n, np.int64)
+    if len(usual):
+        at = np.minimum(np.searchsorted(usual, own), len(usual) - 1)
+        count = np.where(usual[at] == own, often[at], 0)
+    order = np.lexsort((own, count))[: n - -(-n * above // below) + 1]
+    # sets of n and m members are alike if they share (n + m) * above / (above + below); from place p on, n - p are left
+    return own[order], (n - np.arange(len(order))) * (above + below) // above - n
+
+
+def _by_members(rows: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """rows: (id, root, size, hashes). (member, id, root, size, most, rare) for the first members of each set: the size of another up to which it counts, and the share of members before it."""
+    usual, often = _usual(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "hashes", 8 << 20):
+                own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("hashes")]
+                found = [first_members(x, usual, often, least) if len(x) else (x, x.view(np.int64)) for x in own]
+                each = np.array([len(x) for x, _ in found], np.int64)
+                size = np.repeat(np.array(list(map(len, own)), np.int64), each)
+                place = np.arange(len(size)) - np.repeat(np.cumsum(each) - each, each)
+                columns = [np.concatenate([x for x, _ in found]).view(np.int64), *(np.repeat(batch.column(c).to_numpy(), each) for c in ("id", "root")), size, np.concatenate([y for _, y in found]), place / np.maximum(1, size)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["member", "id", "root", "size", "most", "rare"])
+
+    return rows.select("id", "root", "hashes").mapInArrow(run, "member long, id long, root long, size long, most long, rare double")
+
+
+def _of_several(rows: DataFrame, *key: str) -> DataFrame:
+    """The rows of keys with more than one root."""
+    several = rows.groupBy(*key).agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select(*key)
+    return rows.join(several, list(key), "left_semi")
+
+
+def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    own = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    return rows.join(own, F.col("id") == F.col("__node"), "left").withColumn("root", F.coalesce("__root", "id")).drop("__node", "__root")
+
+
+def _centres(rows: DataFrame) -> DataFrame:
+    """rows as of _by_members. (a, b): each text b with one that has the fewest rare members of those it meets."""
+    centre = rows.groupBy("member").agg(F.min(F.struct("rare", "id", "size", "most")).alias("c"))
+    met = rows.join(centre, "member").filter((F.col("id") != F.col("c.id")) & (F.col("size") <= F.col("c.most")) & (F.col("c.size") <= F.col("most")))
+    return met.groupBy("id").agg(F.min(F.struct("c.rare", "c.id")).alias("c")).select(F.col("c.id").alias("a"), F.col("id").alias("b"))
+
+
+def _buckets(rows: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """rows as of _by_members. (member, step, id, root, size): texts that may be alike, those of a bucket with the smaller texts of one step of sizes."""
+    above, below = least
+    step = F.floor(F.log("size") / math.log(STEP))
+    smaller = rows.filter("most >= size").groupBy("member", step.alias("step")).agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("most").alias("most"))
+    steps = smaller.groupBy("member").agg(F.collect_list(F.struct("step", "lo", "hi", "most")).alias("steps"))
+    fits = F.filter("steps", lambda s: (s["lo"] <= F.least("size", "most")) & (F.col("size") <= s["most"]) & (s["hi"] * below >= F.col("size") * above))
+    return rows.join(steps, "member").select("member", F.explode(fits.getField("step")).alias("step"), "id", "root", "size")
+
+
+def _dealt_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """rows: (member, step, id, root, size), buckets of several roots. Each text with the pairs of blocks (lo, hi) in which it is compared; no two blocks of the bucket's largest component meet. Of buckets with the same texts, one is dealt."""
+    key = ["member", "step"]
+    ids = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"x{k}") for k in (1, 2)]
+    by_root = rows.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), *ids)
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(size * 8 / BLOCK_BYTES)).cast("long")
+    made = by_root.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("size").alias("bytes"), F.max(F.struct("n", "size", "root")).alias("main"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
+    # texts that share several members make the same bucket as often: one of each is enough, told by 128 bits
+    made = made.groupBy("n", "x1", "x2").agg(F.min(F.struct(*key, "main", "bytes")).alias("b")).select("n", "b.*")
+    made = made.select(*key, F.col("main.root").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.size")).alias("off"), blocks(F.col("main.n"), F.col("main.size")).alias("on"))
+    dealt = rows.join(written(made, "bucket-sizes"), key)
+    main, at = F.col("root") == F.col("main"), F.xxhash64("id")
+    dealt = dealt.withColumn("block", F.when(main, F.col("off") + F.pmod(at, F.col("on"))).otherwise(F.pmod(at, F.col("off"))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(main, F.col("off")).otherwise(F.col("off") + F.col("on")) - 1)))
+    return dealt.select(*key, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "root")
+
+
+def _in_blocks(dealt: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """dealt: as of _dealt_blocks. Compares the texts of different components; returns a forest of links."""
     above, below = least
-    sizes = written(members.join(sets.select("id", "size"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).alias("blocks")), "group-sizes")
-    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    place = ["key", "lo", "hi"]
+    place = ["member", "step", "lo", "hi"]
     rows = dealt.join(sets.select("id", "hashes"), "id").select(*place, "block", "id", "root", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +405,7 @@ def _in_groups(members: DataFrame, sets: DataFrame, least: tuple[int, int], bloc
         at, kept = None, []
         for batch in batches:
             for r in batch.to_pylist():
-                here = (r["key"], r["lo"], r["hi"])
+                here = (r["member"], r["step"], r["lo"], r["hi"])
                 if here != at:
                     if len(kept) > 1 and (made := out(kept)) is not None:
                         yield made
@@ -361,8 +449,13 @@ def links(nodes: DataFrame, count: int, df: DataFrame, text_col: str = "text", w
     placed = members.join(roots.withColumnRenamed("node", "__node"), F.col("id") == F.col("__node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     placed = written(placed, "placed")
     mixed = written(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key"), "mixed")
-    left = written(placed.join(mixed, "key", "left_semi"), "left")
-    return linked.unionByName(written(_in_groups(left, sets, least, block), "alike"))
+    left = placed.join(mixed, "key", "left_semi").select("id", "root").distinct()
+    rows = written(_by_members(written(left.join(sets, "id"), "left"), least), "members")
+    rows = written(_of_several(rows, "member"), "shared")
+    linked = linked.unionByName(written(_alike(_centres(rows), sets, least), "alike"))
+    rows = written(_of_several(_with_roots(rows, components(linked)), "member"), "shared")
+    rows = written(_of_several(_buckets(rows, least), "member", "step"), "buckets")
+    return linked.unionByName(written(_in_blocks(_dealt_blocks(rows, block), sets, least), "alike"))
 
 
 def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST, recall: float = RECALL, most: int = MOST, block: int = BLOCK) -> DataFrame:

@@ -81,3 +81,61 @@ def test_shared_members():
     sets = [np.unique(rng.integers(0, 9000, rng.integers(0, 6000)).astype(np.uint64)) for _ in range(12)]
     left, right = np.arange(5), np.arange(3, 12)
     assert shared_members(sets, left, right).tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+
+
+def rows_made(spark, run):
+    """What `run` returns, and the rows that joins and generators made meanwhile, in all queries."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    result = run()
+    bus.waitUntilEmpty()
+    total, found = 0, store.executionsList()
+    for k in range(before, found.size()):
+        values = store.executionMetrics(found.apply(k).executionId())
+        nodes = store.planGraph(found.apply(k).executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() or "Generate" in node.name():
+                metrics = node.metrics()
+                for m in (metrics.apply(i) for i in range(metrics.size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return result, total
+
+
+def test_rows_do_not_grow_with_the_square_of_a_group(spark):
+    """Copies of one text, a few changed words or many: half of them like no other, though all meet."""
+    from docgate.llm.near_copies import keep
+
+    made = {}
+    for n in (120, 360):
+        rng = random.Random(5)
+        base = words(rng, 150, 5000)
+        texts = [changed(rng, base, 1 + i % 8) for i in range(n)]
+        df = frame(spark, [(i, t, None, "a", None, 7, "x", 0.5, "k", 1, "h", None) for i, t in enumerate(texts)])
+        kept, made[n] = rows_made(spark, lambda: sorted(r.doc_id for r in keep(df, block=8).select("doc_id").collect()))  # noqa: B023
+        assert kept == sorted(set(brute(texts)))
+        assert n // 3 < len(kept) < n
+    print(made)
+    assert made[360] < 4.5 * made[120]
+
+
+def test_sets_at_the_threshold_share_a_first_member():
+    import numpy as np
+
+    from docgate.llm.near_copies import first_members
+
+    rng = np.random.default_rng(7)
+    usual, often = np.arange(40, dtype=np.uint64), rng.integers(2, 9, 40)
+    links = 0
+    for least in ((4, 5), (1, 2)):
+        for _ in range(1500):
+            x = rng.choice(60, rng.integers(1, 40), replace=False).astype(np.uint64)
+            y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.choice(60, rng.integers(0, 5)).astype(np.uint64)]))
+            x = np.unique(x)
+            shared = len(np.intersect1d(x, y))
+            if shared * least[1] >= len(np.union1d(x, y)) * least[0]:
+                links += 1
+                (a, most_a), (b, most_b) = first_members(x, usual, often, least), first_members(y, usual, often, least)
+                assert any(m == k and len(y) <= p and len(x) <= q for m, p in zip(a, most_a, strict=True) for k, q in zip(b, most_b, strict=True))
+    assert links > 500
