@@ -261,7 +261,11 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFra
     # sets whose sizes differ more can't be that similar
     near = written(near.filter(F.least("na", "nb") * below >= F.greatest("na", "nb") * above).select("a", "b"), "near-pairs")
     full = sets.select("id", "hashes")
-    both = near.join(full.toDF("a", "of_a"), "a").join(full.toDF("b", "of_b"), "b")
+    if near.count() <= FEW:  # only the sets that are compared are moved
+        others = F.broadcast(near.select("b").distinct())
+        both = full.toDF("a", "of_a").join(F.broadcast(near), "a").join(full.toDF("b", "of_b").join(others, "b", "left_semi"), "b")
+    else:
+        both = near.join(full.toDF("a", "of_a"), "a").join(full.toDF("b", "of_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,6 +338,7 @@ def _by_members(rows: DataFrame, least: tuple[int, int]) -> DataFrame:
 
 def _of_several(rows: DataFrame, *key: str) -> DataFrame:
     """The rows of keys with more than one root."""
+    rows = rows.repartition(*key)  # once: the aggregate and the join need no other exchange
     several = rows.groupBy(*key).agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select(*key)
     return rows.join(several, list(key), "left_semi")
 
@@ -449,8 +454,10 @@ def links(nodes: DataFrame, count: int, df: DataFrame, text_col: str = "text", w
     placed = members.join(roots.withColumnRenamed("node", "__node"), F.col("id") == F.col("__node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     placed = written(placed, "placed")
     mixed = written(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key"), "mixed")
-    left = placed.join(mixed, "key", "left_semi").select("id", "root").distinct()
-    rows = written(_by_members(written(left.join(sets, "id"), "left"), least), "members")
+    left = written(placed.join(mixed, "key", "left_semi").select("id", "root").distinct(), "left")
+    few = left.count() <= FEW
+    left = sets.join(F.broadcast(left) if few else left, "id")
+    rows = written(_by_members(left if few else written(left, "left-sets"), least), "members")
     rows = written(_of_several(rows, "member"), "shared")
     linked = linked.unionByName(written(_alike(_centres(rows), sets, least), "alike"))
     rows = written(_of_several(_with_roots(rows, components(linked)), "member"), "shared")
