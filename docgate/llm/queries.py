@@ -79,6 +79,12 @@ def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("spans")
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgate.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardedup": op1_embedding_neardedup,
     "op2_pack_documents": op2_pack_documents,
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash_neardedup": op9_simhash_neardedup,
     "op10_toxicity_crf": op10_toxicity_crf,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 def _secrets_sql() -> str:
