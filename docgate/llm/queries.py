@@ -79,6 +79,12 @@ def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("spans")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgate.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docgate.llm.alignment import align
 
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash_neardedup": op9_simhash_neardedup,
     "op10_toxicity_crf": op10_toxicity_crf,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
