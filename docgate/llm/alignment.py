@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +43,7 @@ GROUP = re.compile(b"[^\x03]*\x03")
 #: Before a single space or line feed that stands between other characters.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Bytes of text in a block, and units that a task remembers.
-BLOCK, REMEMBER = 4 << 20, 200_000
+BLOCK, REMEMBER = 4 << 20, 250_000
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -83,85 +82,106 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.gap = self.b.piece_to_id("▁")
         self.cuts = not any("▁" in p.lstrip("▁") or "\n" in p for p in names)
-        self.known: dict[str, tuple | None] = {}
+        self.a_size, self.b_size = (np.array(list(map(len, of)), np.int64) for of in (self.a_bytes, self.b_bytes))
+        self.forget()
+
+    def forget(self) -> None:
+        """No unit is known: their places, groups as text, counts (none: bytes differ), pairs and links."""
+        self.known: dict[str, int] = {}
+        self.said: list[str | None] = []
+        self.counts = np.zeros((0, 4), np.int64)
+        self.width, self.pairs, self.links = (np.zeros(0, np.int64) for _ in range(3))
 
     def units(self, text: str) -> list[str]:
         return CUT.split(" " + text) if self.cuts else [" " + text]
 
-    def _align(self, unit: str, a: list[int], b: list[int]) -> tuple | None:
-        """The counts, the groups as text, the id pairs and the links of each. None: bytes differ."""
-        if unit[0] != " ":  # B puts a space before all it gets
-            if b[:1] != [self.gap]:
-                return None
-            b = b[1:]
-        raw, of_a, of_b = unit.encode(), [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
-            return None
-        label = labels(len(raw), np.cumsum(list(map(len, of_a))), np.cumsum(list(map(len, of_b))))
-        at_a = at_b = links = count = 0
-        said, pairs = [], Counter()
-        for n_a, n_b in groups(label):
-            here_a, here_b = a[at_a : at_a + n_a], b[at_b : at_b + n_b]
-            said.append(",".join(map(str, here_a)) + "|" + ",".join(map(str, here_b)))
-            times = Counter(here_b)
-            for x, m in Counter(here_a).items():
-                for y, n in times.items():
-                    pairs[x << 32 | y] += m * n
-            at_a, at_b, links, count = at_a + n_a, at_b + n_b, links + n_a * n_b, count + 1
-        return (len(a), len(b), count, links), ";".join(said), np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
-
-    def of(self, units: list[str]) -> list[tuple | None]:
-        """What is known of distinct units; those that are new are encoded first."""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        new = [u for u in units if u not in self.known]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            a = self.a.encode_batch(some, add_special_tokens=False)
-            b = self.b.encode([u[1:] if u[0] == " " else u for u in some], num_threads=1)
-            for u, x, y in zip(some, a, b, strict=True):
-                self.known[u] = self._align(u, x.ids, y)
-        return [self.known[u] for u in units]
+    def _encoded(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+        """A's and B's ids of each unit, and which units have the tokens' bytes."""
+        a = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        # B puts a space before all it gets: a unit's own, or one that goes again
+        b = [y if u[0] == " " else y[1:] if y[:1] == [self.gap] else [] for u, y in zip(units, self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1), strict=True)]
+        good = [
+            b"".join([self.a_bytes[i] for i in x]) == raw == b"".join([self.b_bytes[i] for i in y])
+            for x, y, raw in zip(a, b, map(str.encode, units), strict=True)
+        ]
+        return a, b, np.array(good, bool)
+
+    def learn(self, units: list[str]) -> None:
+        """Distinct new units, with one label string for all of them: each ends with a both-label, so that no group is of two."""
+        a, b, good = self._encoded(units)
+        place = np.flatnonzero(good)
+        ids_a, ids_b = ([i for k in place.tolist() for i in of[k]] for of in (a, b))
+        of_a, of_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        n_a, n_b = (np.array([len(of[k]) for k in place.tolist()], np.int64) for of in (a, b))
+        ends_a, ends_b = np.cumsum(self.a_size[of_a]), np.cumsum(self.b_size[of_b])
+        found = np.array(list(groups(labels(int(ends_a[-1]) if len(ends_a) else 0, ends_a, ends_b))), np.int64).reshape(-1, 2)
+        first = np.cumsum(found, axis=0) - found
+        unit = place[np.searchsorted(np.cumsum(n_a), first[:, 0], "right")]  # of each group
+        links = found[:, 0] * found[:, 1]
+        counts = np.zeros((len(units), 4), np.int64)
+        counts[place, 0], counts[place, 1] = n_a, n_b
+        counts[:, 2] = np.bincount(unit, minlength=len(units))
+        np.add.at(counts[:, 3], unit, links)
+
+        text_a, text_b = list(map(str, ids_a)), list(map(str, ids_b))
+        said = [text_a[i] + "|" + text_b[j] if m == n == 1 else ",".join(text_a[i : i + m]) + "|" + ",".join(text_b[j : j + n]) for (i, j), (m, n) in zip(first.tolist(), found.tolist(), strict=True)]
+        bounds = np.searchsorted(unit, np.arange(len(units) + 1)).tolist()
+        self.said += [";".join(said[x:y]) if ok else None for x, y, ok in zip(bounds[:-1], bounds[1:], good.tolist(), strict=True)]
+
+        small = np.flatnonzero(links <= 1 << 12)
+        each = np.repeat(small, links[small])
+        at = np.arange(len(each)) - np.repeat(np.cumsum(links[small]) - links[small], links[small])
+        width = found[each, 1]
+        key = [unit[each] * len(self.a_size) * len(self.b_size) + of_a[first[each, 0] + at // width] * len(self.b_size) + of_b[first[each, 1] + at % width]]
+        times = [np.ones(len(each), np.int64)]
+        for g in np.flatnonzero(links > 1 << 12).tolist():  # by distinct ids of either side, with how often they occur
+            (x, m), (y, n) = (np.unique(of[i : i + k], return_counts=True) for of, i, k in zip((of_a, of_b), first[g].tolist(), found[g].tolist(), strict=True))
+            key.append((unit[g] * len(self.a_size) * len(self.b_size) + x[:, None] * len(self.b_size) + y).ravel())
+            times.append((m[:, None] * n).ravel())
+        key, inverse = np.unique(np.concatenate(key), return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, inverse, np.concatenate(times))
+        of, key = key // (len(self.a_size) * len(self.b_size)), key % (len(self.a_size) * len(self.b_size))
+        self.known.update(zip(units, range(len(self.counts), len(self.counts) + len(units)), strict=True))
+        self.counts = np.concatenate([self.counts, counts])
+        self.width = np.concatenate([self.width, np.bincount(of, minlength=len(units))])
+        self.pairs = np.concatenate([self.pairs, key // len(self.b_size) << 32 | key % len(self.b_size)])
+        self.links = np.concatenate([self.links, total])
 
     def block(self, texts: list[str]) -> tuple[dict[str, np.ndarray | list[str]], np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
         """Each text's counts and digest; the distinct id pairs; the number of texts with each; postings of (text, pair, links)."""
-        place: dict[str, int] = {}
-        flat: list[int] = []
-        sizes = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                own = self.units(text)
-                flat += [place.setdefault(u, len(place)) for u in own]
-                sizes[i] = len(own)
-        made = self.of(list(place))
-        good = np.array([m is not None for m in made], bool)
-        unit, doc = np.array(flat, np.int64), np.repeat(np.arange(len(texts)), sizes)
+        if len(self.known) > REMEMBER:
+            self.forget()
+        cut = [self.units(text) if text else [] for text in texts]
+        new = list(dict.fromkeys(u for own in cut for u in own if u not in self.known))
+        for at in range(0, len(new), 1 << 13):
+            self.learn(new[at : at + (1 << 13)])
+        known, unit = np.unique(np.array([self.known[u] for own in cut for u in own], np.int64), return_inverse=True)
+        sizes = np.array(list(map(len, cut)), np.int64)
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        said = [self.said[k] for k in known.tolist()]
+        good = np.array([x is not None for x in said], bool)
         whole = sizes > 0
         whole[doc[~good[unit]]] = False
         unit, doc = unit[whole[doc]], doc[whole[doc]]
-        counts = np.array([m[0] if m else (0,) * 4 for m in made], np.int64).reshape(-1, 4)
         sums = np.zeros((len(texts), 4), np.int64)
-        np.add.at(sums, doc, counts[unit])
-        bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-        said = [m[1] if m else "" for m in made]
+        np.add.at(sums, doc, self.counts[known[unit]])
+        bounds = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
         order = unit.tolist()
         digest = [hashlib.sha256(";".join([said[u] for u in order[a:b]]).encode()).hexdigest() if w else "" for a, b, w in zip(bounds[:-1], bounds[1:], whole.tolist(), strict=True)]
 
-        none = np.zeros(0, np.int64)
-        width = np.array([len(m[2]) if m else 0 for m in made], np.int64)
-        first = np.cumsum(width) - width
-        pairs, of_unit = np.unique(np.concatenate([none, *(m[2] for m in made if m)]), return_inverse=True)
-        links = np.concatenate([none, *(m[3] for m in made if m)])
-        each, times = np.unique(doc * max(1, len(made)) + unit, return_counts=True)
-        doc, unit = each // max(1, len(made)), each % max(1, len(made))
-        at = np.repeat(first[unit] - np.cumsum(width[unit]) + width[unit], width[unit]) + np.arange(width[unit].sum())
-        key, inverse = np.unique(np.repeat(doc, width[unit]) * max(1, len(pairs)) + of_unit[at], return_inverse=True)
+        width = self.width[known]
+        start = (np.cumsum(self.width) - self.width)[known]
+        each, times = np.unique(doc * max(1, len(known)) + unit, return_counts=True)
+        doc, unit = each // max(1, len(known)), each % max(1, len(known))
+        size = width[unit]
+        at = np.repeat(start[unit] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        pairs, pair = np.unique(self.pairs[at], return_inverse=True)
+        key, inverse = np.unique(np.repeat(doc, size) * max(1, len(pairs)) + pair, return_inverse=True)
         total = np.zeros(len(key), np.int64)
-        np.add.at(total, inverse, np.repeat(times, width[unit]) * links[at])
+        np.add.at(total, inverse, np.repeat(times, size) * self.links[at])
         doc, pair = key // max(1, len(pairs)), key % max(1, len(pairs))
-        held = np.bincount(pair, minlength=len(pairs))
-        some = np.flatnonzero(held)  # pairs of texts whose bytes differ elsewhere go
-        return {**{c: sums[:, k] for k, c in enumerate(COUNTS)}, "groups_sha256": digest}, pairs[some], held[some], (doc, np.searchsorted(some, pair), total)
+        return {**{c: sums[:, k] for k, c in enumerate(COUNTS)}, "groups_sha256": digest}, pairs, np.bincount(pair, minlength=len(pairs)), (doc, pair, total)
 
 
 def _shrunk(*arrays: pa.Array) -> bytes:

@@ -79,6 +79,12 @@ def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("spans")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgate.llm.personal import find, report
+
+    return report(find(table(spark, sf_dir, "documents")))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docgate.llm.whitening import whiten
 
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash_neardedup": op9_simhash_neardedup,
     "op10_toxicity_crf": op10_toxicity_crf,
+    "op11_personal_data": op11_personal_data,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
