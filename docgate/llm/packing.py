@@ -1,13 +1,16 @@
 """Packing documents into sequences by first-fit decreasing, in randomised groups.
 
 A map task turns a document into ids with the end id behind, and cuts it into pieces of `length` ids and a rest.
-Pieces fall into groups by a hash of document and start, some thousand to a group whatever the table, so that a
-group is a random mix of sizes. Within a group pieces come in decreasing size, and each goes into the first
+A piece falls into a group by a hash of its document's id, its start, its ids and its place among equal ones in
+the order in which a task makes them, some thousand documents to a group whatever the table, so that a group is a random
+mix of sizes, and rows that share an id (or have none) are dealt out like others. What is cut is written before it is
+dealt out, so that a task that is run again deals out the same. Within a group pieces come in decreasing size, and each goes into the first
 sequence with room for it, found by a tournament tree over the sequences' free room in O(log n). As they come in
 that order, a task places them one by one and holds nothing but the tree.
 
 Defined results: a null text counts as empty, so that its document is the end id alone; an empty table gives an
-empty result; repeated rows are packed again. Other columns of the input are ignored.
+empty result; repeated rows are packed again; pieces of equal length go in by id and start. Texts are encoded whole,
+whatever their length, and cut anywhere between two ids. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgate.llm.common import slices, small_batches
+from docgate.llm.common import slices, small_batches, written
 from docgate.llm.tokens import Splitter
 
 LENGTH = 2048
@@ -94,13 +97,13 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     groups = max(1, round(df.count() / group))
     id_type = df.schema[id_col].dataType
     head = [T.StructField("doc_id", id_type), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType())]
-    cut_type = T.StructType(head)
+    cut_type = T.StructType([*head, T.StructField("turn", T.LongType())])
     out_type = T.StructType([*head, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        splitter, known, shrink = Splitter(tokenizer), {}, zstandard.ZstdCompressor(level=1)
+        splitter, known, shrink, turn = Splitter(tokenizer), {}, zstandard.ZstdCompressor(level=1), 0
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 of, starts, sizes, data, totals = [], [], [], [], []
@@ -113,9 +116,10 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
                         data.append(shrink.compress(part.tobytes()))
                         totals.append(len(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(of, pa.int64())), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary()), pa.array(totals, pa.int64())],
-                    ["doc_id", "start", "length", "ids", "doc_tokens"],
+                    [batch.column("doc_id").take(pa.array(of, pa.int64())), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary()), pa.array(totals, pa.int64()), pa.array(np.arange(turn, turn + len(of)))],
+                    ["doc_id", "start", "length", "ids", "doc_tokens", "turn"],
                 )
+                turn += len(of)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -135,6 +139,6 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
             )
 
     pieces = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, cut_type)
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", F.lit("pack")), F.lit(groups)))
+    dealt = written(pieces, "pieces").withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids", "turn", F.lit("pack")), F.lit(groups))).drop("turn")
     order = dealt.repartition("group").sortWithinPartitions("group", F.desc("length"), "doc_id", "start")
     return order.mapInArrow(fit, out_type)

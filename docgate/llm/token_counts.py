@@ -5,9 +5,13 @@ the block's distinct pre-tokens there, and for each its documents and frequencie
 the pieces of each distinct pre-token once, joins the counts to the frequencies and returns a sum for each document
 of each block; a block's sums are added up with its documents' ids. Token ids are never made for a document.
 
-A common pre-token is one entry per block, whatever its frequency, so no part is much larger than another.
+A common pre-token is one entry per block, whatever its frequency, so no part is much larger than another. A block sends
+a row to each part, so there are `MOST_PARTS` at most. Where the session deals shuffles out to more tasks than that, a
+part is dealt out again by the map task that a block comes from, so that as many tasks as asked for share the work, each
+in proportion; a pre-token is then counted once for each of these shares of the map tasks.
 
-Defined results: a null text counts as empty and has no tokens; special strings inside a text count as the library
+Defined results: a null text counts as empty and has no tokens; a text of any length is read whole, one of more than
+`BLOCK` bytes as a block of its own; special strings inside a text count as the library
 takes them by default; repeated rows give repeated results; an empty table gives an empty result. Other columns of
 the input are ignored.
 """
@@ -94,11 +98,17 @@ def part_sums(data: bytes, known: dict[str, int], docs: int) -> np.ndarray:
     return np.bincount(np.frombuffer(doc, np.uint32), each, docs).astype(np.int64)
 
 
+def shares(tasks: int) -> tuple[int, int]:
+    """The number of parts of the hash space, and of shares of the map tasks that each is dealt out to: together at least twice the tasks of a shuffle."""
+    parts = min(MOST_PARTS, max(8, 2 * tasks))
+    return parts, max(1, -(-2 * tasks // parts))
+
+
 def count(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit. tokenizer: the path of its file, readable on every executor."""
     spark = df.sparkSession
     small_batches(spark)
-    parts = min(MOST_PARTS, max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts, spread = shares(int(spark.conf.get("spark.sql.shuffle.partitions")))
     id_type = df.schema[id_col].dataType
     made = T.StructType([T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("docs", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
@@ -163,6 +173,7 @@ def count(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
 
     result = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, made)
-    dealt = rows.withColumn("to", F.when(F.col("part") == OWN, F.pmod("block", F.lit(parts))).otherwise(F.col("part")))
+    share = F.pmod(F.shiftright("block", 32), F.lit(spread)) * parts
+    dealt = rows.withColumn("to", F.when(F.col("part") == OWN, F.pmod("block", F.lit(parts))).otherwise(F.col("part")) + share)
     sums = dealt.repartition("to").sortWithinPartitions("to", "part").drop("to").mapInArrow(add, made)
     return sums.repartition("block").sortWithinPartitions("block").mapInArrow(total, result)

@@ -15,7 +15,7 @@ ending with the row that brings the class to `most_bytes`; near copies among the
 text, and the model, a table of weights of features that tell the classes apart, goes along with the function.
 
 Defined results: a null or empty text has no words and gets the score of no evidence; without labels of both classes
-every score is the share of toxic labels (0 without any), and as without a word that stands out none is predicted toxic;
+every score is the share of toxic labels (0 without any), and `predicted` follows it, but `keep` drops nothing then;
 an id with several labels is toxic if one of them says so; a null doc_id is not held out; a labelled id that repeats in
 the documents gives each of its texts the label, within the bounds above; repeated rows get equal scores; an empty table
 gives an empty result. Columns other than id and text are never read for a score.
@@ -343,7 +343,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     made = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("score", T.DoubleType()), *T._parse_datatype_string("spans array<struct<start:int,stop:int>>").fields])
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, made)
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.lit(not model.blank) & (F.col("score") >= threshold)).cast("int").alias("predicted"), "spans")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
 
 
 def keep(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -225,3 +225,36 @@ def test_a_repeated_word_text_of_any_length(spark):
     long = words(random.Random(1), 30_000, 9000)
     df = frame(spark, [(i, t, None, None, None, 1, "", 0.0, "", 1, "", "") for i, t in enumerate([long, long + " end", "a " * 40_000, None, ""])])
     assert sorted(r.doc_id for r in keep(df).collect()) == [0, 2, 3]
+
+
+def test_packing_splits_rows_of_one_id(spark):
+    """20,000 rows without an id make five groups of about their share, each with pieces of its own."""
+    from docgate.llm.packing import pack
+    from docgate.llm.queries import tokenizer
+
+    df = spark.range(0, 20_000, 1, 4).selectExpr("CAST(NULL AS LONG) AS doc_id", "'one two three' AS text", "1 AS turn", "2 AS ids")
+    made = pack(df, tokenizer("word_bpe_49k.json"))
+    groups = made.groupBy((made.sequence_id / (1 << 32)).cast("long").alias("g")).count().collect()
+    assert len(groups) == 5 and sum(r["count"] for r in groups) == 20_000
+    assert max(r["count"] for r in groups) < 1.2 * 4000
+    assert made.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 2048").count() == 0
+
+
+def test_token_count_parts_are_dealt_out_to_as_many_tasks_as_asked_for(spark):
+    from docgate.llm.queries import tokenizer
+    from docgate.llm.token_counts import count, shares
+
+    assert shares(4) == (8, 1) and shares(512) == (1024, 1)
+    for tasks in (1024, 50_000):
+        parts, spread = shares(tasks)
+        assert parts == 1024 and 2 * tasks <= parts * spread < 2 * tasks + parts
+    df = spark.range(0, 300, 1, 6).selectExpr("id AS doc_id", "concat('some words ', id, ' here') AS text")
+    want = sorted(map(tuple, count(df, tokenizer("word_bpe_49k.json")).collect()))
+    import docgate.llm.token_counts as module
+
+    before, module.MOST_PARTS = module.MOST_PARTS, 3
+    try:
+        assert shares(4) == (3, 3)
+        assert sorted(map(tuple, count(df, tokenizer("word_bpe_49k.json")).collect())) == want
+    finally:
+        module.MOST_PARTS = before
