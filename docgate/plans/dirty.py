@@ -48,6 +48,8 @@ CASES = (
     f"'#标题一' || {NL} || '# ※※' || {NL} || '# （3）' || {NL} || '## 丙 3g 丁 4g' || {NL} || '一、总论' || {NL} || '1. 分论' || {NL} || '案1 某' || {NL} || '#### 深层' || {NL} || '# # 嵌套' || {NL} || '####' || {NL} || text",
     f"'# 现代著名老中医名著重刊丛书' || {NL} || '现代著名老中医名著重刊丛书21. 发白 15' || {NL} || '第' || {NL} || {NL} || '一' || {NL} || '辑' || {NL} || text || {NL} || '# 现代著名老中医名著重刊丛书'",
     f"'药 $12' || {BS} || 'times 3' || {BS} || 'mathrm{{mg}}$ 温 $38.5^{{' || {BS} || 'circ}} ' || {BS} || 'mathrm{{C}}$ 经 14' || {BS} || 'frac 5~7 28~30 天，量 ' || {BS} || 'frac{{7}}{{8}} ' || {BS} || 'sim ' || {BS} || 'mu' || {NL} || text",
+    f"text || {NL} || '# 索引' || {NL} || '二画' || {NL} || '- - 七日风 74' || {NL} || '（参见 12）' || {NL} || '子 晕 242' || {NL} || '三 画子悬 240' || {NL} || '参见 9 乙证 6' || {NL} || '三画' || {NL} || '三画丙·（参见 4） 5' || {NL} || '第一辑' || {NL} || '参见 3' || {NL} || '- 参见 8' || {NL} || '-四画丁 1'",
+    f"'索引' || {NL} || '中医临证备要' || {NL} || '四画 参见 7' || {NL} || text || {NL} || '甲 1' || {NL} || '# 索引' || {NL} || '- 重 1'",
     f"'表' || {NL} || '体温升至39%~40%，占40%例' || {NL} || '1. Theorem' || {NL} || '| 甲 | 乙' || {NL} || '丙 |' || {NL} || text || {NL} || 'References: Smith 1999 Jones A 2001 Doe'",
 )
 EMPTY_ID = -1

@@ -8,6 +8,18 @@ from docgate.plans import catalog, dirty
 SF = "/root/testdata/sf0.001"
 
 
+def agree(spark, name, sf=SF):
+    """The query's rows are those of its SQL."""
+    import duckdb
+
+    got = catalog.queries()[name](spark, sf)
+    con = duckdb.connect()
+    for t in catalog.TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def gate_of(spark, *texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r.doc_id: r for r in gate.gate(df).collect()}
@@ -137,14 +149,7 @@ def test_windows_and_functions_agree(spark, build, step):
 
 @pytest.mark.parametrize("name", ["gate_acceptance", "clean_text", "running_headers_removed", "heading_level_cap", "latest_state", "breaker_open_intervals"])
 def test_against_sql(spark, name):
-    import duckdb
-
-    got = catalog.run(name)(spark, SF)
-    con = duckdb.connect()
-    for t in catalog.TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.SQL[name](DUCK)})").fetchall()
-    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    agree(spark, name)
 
 
 def test_sources(spark, tmp_path):
