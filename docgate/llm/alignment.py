@@ -42,8 +42,8 @@ A_END, B_END, BOTH = 1, 2, 3
 GROUP = re.compile(b"[^\x03]*\x03")
 #: Before a single space or line feed that stands between other characters.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: Bytes of text in a block, and units that a task remembers.
-BLOCK, REMEMBER = 4 << 20, 250_000
+#: Bytes of text in a block, units that a task remembers, and those that A gets as one text.
+BLOCK, REMEMBER, TOGETHER = 4 << 20, 250_000, 64
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -55,10 +55,11 @@ def labels(size: int, ends_a: np.ndarray, ends_b: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def groups(label: bytes) -> Iterator[tuple[int, int]]:
+def groups(label: bytes) -> list[tuple[int, int]]:
     """The number of A's and of B's tokens in each group."""
-    for span in GROUP.findall(label):
-        yield span.count(A_END) + 1, span.count(B_END) + 1
+    spans = GROUP.findall(label)
+    counts = {span: (span.count(A_END) + 1, span.count(B_END) + 1) for span in set(spans)}
+    return [counts[span] for span in spans]
 
 
 class Aligner:
@@ -95,26 +96,46 @@ class Aligner:
     def units(self, text: str) -> list[str]:
         return CUT.split(" " + text) if self.cuts else [" " + text]
 
-    def _encoded(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """A's and B's ids of each unit, and which units have the tokens' bytes."""
-        a = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        # B puts a space before all it gets: a unit's own, or one that goes again
-        b = [y if u[0] == " " else y[1:] if y[:1] == [self.gap] else [] for u, y in zip(units, self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1), strict=True)]
-        good = [
-            b"".join([self.a_bytes[i] for i in x]) == raw == b"".join([self.b_bytes[i] for i in y])
-            for x, y, raw in zip(a, b, map(str.encode, units), strict=True)
-        ]
-        return a, b, np.array(good, bool)
+    def _ids_a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all units, and the number of each unit's. Units that others may stand next to, as each would be cut off there, are encoded together."""
+        apart = [len(u) < 2 or u[1].isspace() or u[-1].isspace() for u in units]
+        texts, held = [], []
+        for at in range(0, len(units), TOGETHER):
+            part = units[at : at + TOGETHER]
+            if any(apart[at : at + TOGETHER]):
+                texts += part
+                held += [1] * len(part)
+            else:
+                texts.append("".join(part))
+                held.append(len(part))
+        made = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter((i for of in made for i in of), np.int64, sum(map(len, made)))
+        ends = np.cumsum([len(u.encode()) for u in units])
+        return ids, np.diff(np.searchsorted(np.cumsum(self.a_size[ids]), ends, "right"), prepend=0)
+
+    def _ids_b(self, units: list[str]) -> list[list[int]]:
+        """B's ids of each unit: it puts a space before all it gets, a unit's own or one that goes again."""
+        made = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        return [y if u[0] == " " else y[1:] if y[:1] == [self.gap] else [] for u, y in zip(units, made, strict=True)]
 
     def learn(self, units: list[str]) -> None:
         """Distinct new units, with one label string for all of them: each ends with a both-label, so that no group is of two."""
-        a, b, good = self._encoded(units)
+        of_a, n_a = self._ids_a(units)
+        b = self._ids_b(units)
+        n_b = np.fromiter(map(len, b), np.int64, len(b))
+        of_b = np.fromiter((i for of in b for i in of), np.int64, int(n_b.sum()))
+        raw = list(map(str.encode, units))
+        unit_a, unit_b = (np.repeat(np.arange(len(units)), n) for n in (n_a, n_b))
+        bytes_a, bytes_b = ([names[i] for i in of.tolist()] for names, of in ((self.a_bytes, of_a), (self.b_bytes, of_b)))
+        good = np.ones(len(units), bool)
+        if b"".join(bytes_a) != (whole := b"".join(raw)) or b"".join(bytes_b) != whole or self._uneven(raw, unit_a, of_a, unit_b, of_b):
+            upto_a, upto_b = np.cumsum(n_a).tolist(), np.cumsum(n_b).tolist()
+            good = np.array([b"".join(bytes_a[i - m : i]) == r == b"".join(bytes_b[j - n : j]) for r, i, m, j, n in zip(raw, upto_a, n_a.tolist(), upto_b, n_b.tolist(), strict=True)], bool)
+            of_a, of_b = of_a[good[unit_a]], of_b[good[unit_b]]
         place = np.flatnonzero(good)
-        ids_a, ids_b = ([i for k in place.tolist() for i in of[k]] for of in (a, b))
-        of_a, of_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-        n_a, n_b = (np.array([len(of[k]) for k in place.tolist()], np.int64) for of in (a, b))
+        n_a, n_b, ids_a, ids_b = n_a[good], n_b[good], of_a.tolist(), of_b.tolist()
         ends_a, ends_b = np.cumsum(self.a_size[of_a]), np.cumsum(self.b_size[of_b])
-        found = np.array(list(groups(labels(int(ends_a[-1]) if len(ends_a) else 0, ends_a, ends_b))), np.int64).reshape(-1, 2)
+        found = np.array(groups(labels(int(ends_a[-1]) if len(ends_a) else 0, ends_a, ends_b)), np.int64).reshape(-1, 2)
         first = np.cumsum(found, axis=0) - found
         unit = place[np.searchsorted(np.cumsum(n_a), first[:, 0], "right")]  # of each group
         links = found[:, 0] * found[:, 1]
@@ -148,12 +169,17 @@ class Aligner:
         self.pairs = np.concatenate([self.pairs, key // len(self.b_size) << 32 | key % len(self.b_size)])
         self.links = np.concatenate([self.links, total])
 
+    def _uneven(self, raw: list[bytes], unit_a: np.ndarray, of_a: np.ndarray, unit_b: np.ndarray, of_b: np.ndarray) -> bool:
+        """Whether some unit's tokens are longer or shorter than it."""
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        return any((np.bincount(unit, size[of], len(raw)) != sizes).any() for unit, size, of in ((unit_a, self.a_size, of_a), (unit_b, self.b_size, of_b)))
+
     def block(self, texts: list[str]) -> tuple[dict[str, np.ndarray | list[str]], np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
         """Each text's counts and digest; the distinct id pairs; the number of texts with each; postings of (text, pair, links)."""
         if len(self.known) > REMEMBER:
             self.forget()
         cut = [self.units(text) if text else [] for text in texts]
-        new = list(dict.fromkeys(u for own in cut for u in own if u not in self.known))
+        new = list(set().union(*cut) - self.known.keys())
         for at in range(0, len(new), 1 << 13):
             self.learn(new[at : at + (1 << 13)])
         known, unit = np.unique(np.array([self.known[u] for own in cut for u in own], np.int64), return_inverse=True)

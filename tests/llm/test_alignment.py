@@ -80,7 +80,7 @@ def test_label_string():
 
     label = labels(6, np.array([2, 3, 6]), np.array([1, 3, 6]))
     assert label == bytes([2, 1, 3, 0, 0, 3])
-    assert list(groups(label)) == [(2, 2), (1, 1)]
+    assert groups(label) == [(2, 2), (1, 1)]
 
 
 def test_query_on_a_whole_table(spark):
