@@ -48,4 +48,38 @@ def index_normalised() -> str:
     SELECT src.doc_id, sha256(coalesce(made.text, src.text)) AS text_sha256, coalesce(entries, 0)::BIGINT AS entries FROM src LEFT JOIN made USING (doc_id)"""
 
 
-PLAIN = {"index_normalised": index_normalised}
+def trailing_archive_cut() -> str:
+    """By lists of line numbers."""
+    record = r"(?i)^(SS\s*号\s*=|DX\s*号\s*=|\[General\s*Information\]|Document\s+generated\s+by\s+Anna''s\s+Archive|书名\s*=|作者\s*=|页数\s*=|出版日期\s*=|filename_decoded|pdg_main_pages|url\s*=\s*https?://|http://book2\.duxiu\.com/)"
+    m = lambda x, p: f"regexp_matches({x}, '{p}')"
+    bare = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+    tight = "regexp_replace({}, '\\s+', '', 'g')".format
+    unpiped = bare.format("trim({}, '|')").format
+    is_record = lambda x: f"({x} <> '' AND ({m(x, record)} OR {m(unpiped(x), record)} OR {m(tight(x), '(?i)^(\\[)?GeneralInformation')} OR contains(lower({tight(x)}), 'duxiu.com') OR {m(tight(x), '^SS号=[0-9]|^DX号=[0-9]|DX号=[0-9]{5}')}))"
+    goes_on = lambda x: f"({is_record(x)} OR {m(x, '(?i)^SSID *=|^(书名|作者|页数|出版日期|出版社|起止页) *[=：:]|^独秀链接')} OR {m(unpiped(x), '(?i)^SSID *=|^(书名|作者|页数|出版日期|出版社|起止页) *[=：:]|^独秀链接')})"
+    anywhere = r"(?i)\[General\s*Information\]|Document\s+generated\s+by\s+Anna''s\s+Archive|url\s*=\s*https?://(book2\.)?duxiu\.com/|http://book2\.duxiu\.com/bookDetail\.jsp"
+    apart = r"(?i)(^|[^\x{3400}-\x{9FFF}A-Za-z0-9])(SS|DX)\s*号\s*=\s*\d{5,}"
+    at = lambda x, p, lead: f"CASE WHEN {m(x, p)} THEN strpos({x}, regexp_extract({x}, '{p}')) - 1 + {lead} END"
+    place = lambda x: f"least({at(x, anywhere, '0')}, {at(x, apart, f'length(regexp_extract({x}, {chr(39)}{apart}{chr(39)}, 1))')})"
+    rear = lambda i: f"({i} - 1 >= floor(n * 0.7) OR {i} - 1 >= greatest(0, n - greatest(30, n // 5)) OR coalesce(list_sum(list_transform(a[1:{i} - 1], lambda y: length(y) + 1)), 0) >= floor(length(text) * 0.8))"
+    where = lambda cond: f"list_filter(range(1, n + 1), lambda i: {cond})"
+    kept = lambda x: f"array_to_string({x}, chr(10)) || chr(10)"
+    return f"""WITH {LINES},
+    docs AS (SELECT doc_id, text, CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN a[1:-2] ELSE a END AS a FROM src JOIN arrays USING (doc_id)),
+    one AS (SELECT doc_id, text, a, len(a) AS n, list_transform(a, lambda y: {bare.format('y')}) AS b FROM docs WHERE len(a) >= 8),
+    two AS (SELECT *, list_transform(b, lambda y: {is_record('y')}) AS r, list_transform(b, lambda y: {goes_on('y')}) AS c, list_transform(a, lambda y: {place('y')}) AS p, list_transform(b, lambda y: {m('y', r'^#{1,6}\s+\d{1,3}[.．、]\s+\S')}) AS h FROM one),
+    three AS (SELECT *, {where("b[i] <> '' AND NOT r[i] AND p[i] IS NOT NULL AND (p[i] >= greatest(20, floor(length(a[i]) * 0.5)) OR NOT (p[i] < 8 AND length(a[i]) > 40) AND NOT (p[i] < floor(length(a[i]) * 0.85) AND length(a[i]) > 200)) AND trim(a[i][1:p[i]]) <> ''")}[1] AS g,
+        {where('r[i] AND ' + rear('i'))}[1] AS archive, coalesce({where("b[i] <> '' AND NOT h[i]")}[-1], 0) AS prose FROM two),
+    four AS (SELECT *, coalesce({where("i > g AND b[i] <> '' AND NOT c[i]")}[1], n + 1) AS g_end, {where("i > prose AND b[i] <> ''")} AS empty FROM three),
+    five AS (SELECT *, CASE WHEN g IS NOT NULL THEN regexp_replace({kept("list_concat(a[1:g - 1], [rtrim(a[g][1:p[g]])], a[g_end:])")}, '\\s+$', '') || chr(10) END AS glued,
+        coalesce(archive, CASE WHEN len(empty) >= 8 AND {rear('empty[1]')} THEN empty[1] END) AS c0 FROM four),
+    six AS (SELECT *, CASE WHEN c0 IS NOT NULL THEN coalesce({where("i < c0 AND b[i] <> '' AND NOT h[i]")}[-1], 0) END AS top FROM five),
+    seven AS (SELECT *, CASE WHEN top = 0 THEN '' ELSE {kept('a[1:top]')} END AS upper_part FROM six),
+    eight AS (SELECT *, length(glued) >= least(20, greatest(1, length(text) // 20)) OR len(string_split(glued, chr(10))) > 3 AS g_ok,
+        (length(upper_part) >= least(20, greatest(1, length(text) // 20)) OR top >= 3) AND top >= 5 AS a_ok,
+        length(upper_part) >= 0.5 * length(text) AND NOT (length(text) >= 500 AND top + 1 < 0.5 * len(string_split(text, chr(10)))) AND top >= greatest(20, n // 5) AS h_ok FROM seven),
+    cut AS (SELECT doc_id, CASE WHEN g_ok THEN 'glued' WHEN archive IS NOT NULL THEN CASE WHEN a_ok THEN 'record' END WHEN c0 IS NOT NULL AND h_ok THEN 'headings' END AS kind, glued, upper_part FROM eight)
+    SELECT src.doc_id, sha256(CASE kind WHEN 'glued' THEN glued WHEN 'record' THEN upper_part WHEN 'headings' THEN upper_part ELSE text END) AS text_sha256, kind AS cut FROM src LEFT JOIN cut USING (doc_id)"""
+
+
+PLAIN = {"trailing_archive_cut": trailing_archive_cut, "index_normalised": index_normalised}
