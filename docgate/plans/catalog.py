@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docgate.functions.dialect import DUCK, SPARK, Dialect, over
 from docgate.functions.lexicon import CODES
-from docgate.operators import clean, finalize, folds, gate, index, matter, structure, tail
+from docgate.operators import clean, finalize, folds, formulas, gate, index, matter, structure, tail
 from docgate.plans import dirty, plain, relational, scaled
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
@@ -247,7 +247,7 @@ def _rewritten(build: Callable[[Dialect, str], str], *columns: str) -> Callable[
 
 
 #: Checked by the SQL in `plain`.
-REWRITTEN = {"index_normalised": _rewritten(index.normalised, "entries"), "trailing_archive_cut": _rewritten(tail.cut, "cut")}
+REWRITTEN = {"index_normalised": _rewritten(index.normalised, "entries"), "trailing_archive_cut": _rewritten(tail.cut, "cut"), "formulas_merged": _rewritten(formulas.merged, "joins")}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -55,6 +55,8 @@ CASES = (
     f"repeat('正文一行，写得不短。' || {NL}, 30) || text || {NL} || '## 1. 甲' || {NL} || '## 2. 乙' || {NL} || {NL} || '## 3、 丙' || {NL} || '## 4. 丁' || {NL} || '## 5. 戊' || {NL} || '## 6. 己' || {NL} || '## 7. 庚' || {NL} || '## 8. 辛' || {NL}",
     f"'首。SS号=12345' || {NL} || text || {NL} || '# 1. 甲' || {NL} || '# 2. 乙' || {NL} || '# 3. 丙' || {NL} || '# 4. 丁' || {NL} || '# 5. 戊' || {NL} || '# 6. 己' || {NL} || '# 7. 庚' || {NL} || '# 8. 辛'",
     f"'书名=某书' || {NL} || text || {NL} || '页数=9' || {NL} || '尾'",
+    f"text || {NL} || '四物汤' || {NL} || '当归 川芎' || {NL} || {NL} || '白芍9g 熟地黄12g' || {NL} || '四君子汤' || {NL} || '第一辑 人参 白术' || {NL} || {NL} || '真武汤 茯苓芍药白术附子' || {NL} || '# 下' || {NL} || '组成 大补元煎 人参山药熟地 枣真武汤 茯苓' || {NL} || '资生丸治疗脾虚，患者'",
+    f"'桂枝 芍药 甘草' || {NL} || '麻黄汤 杏仁' || {NL} || '白虎汤散 石膏' || {NL} || text || {NL} || {NL} || '二陈汤' || {NL} || '半夏9g 陈皮6g' || {NL} || 'SS号=12345' || {NL} || '越婢汤 某某' || {NL}",
     f"'表' || {NL} || '体温升至39%~40%，占40%例' || {NL} || '1. Theorem' || {NL} || '| 甲 | 乙' || {NL} || '丙 |' || {NL} || text || {NL} || 'References: Smith 1999 Jones A 2001 Doe'",
 )
 EMPTY_ID = -1

@@ -82,4 +82,52 @@ def trailing_archive_cut() -> str:
     SELECT src.doc_id, sha256(CASE kind WHEN 'glued' THEN glued WHEN 'record' THEN upper_part WHEN 'headings' THEN upper_part ELSE text END) AS text_sha256, kind AS cut FROM src LEFT JOIN cut USING (doc_id)"""
 
 
-PLAIN = {"trailing_archive_cut": trailing_archive_cut, "index_normalised": index_normalised}
+def formulas_merged() -> str:
+    """From line to line: an island grows or ends; its names then go into a list one by one."""
+    letter, cjk, kinds = "[\\x{3400}-\\x{9FFF}A-Za-z]", "[\\x{3400}-\\x{9FFF}]", "[汤散丸饮膏丹煎]"
+    m = lambda x, p: f"regexp_matches({x}, '{p}')"
+    tidy = lambda x: f"trim(regexp_replace(regexp_replace({x}, '(现代著名老中医名著重刊丛书)?第[一二三四五六七八九十0-9]+辑', ' ', 'g'), '\\s+', ' ', 'g'))"
+    herbs = lambda x: f"len(regexp_extract_all({x}, '{letter}{{1,8}}'))"
+    part = lambda x: f"""({x} <> '' AND left({x}, 1) NOT IN ('#', '|', '!', '-', '*', '>') AND NOT {m(x, '[。！？!?；;]')} AND NOT {m(x, '(?i)SS *号|出版日期|书名 *=|作者 *=|页数 *=|General Information|ISBN')} AND length({x}) <= 240
+        AND ({m(x, letter + '{1,12}' + kinds)} OR {herbs(x)} >= 2 AND (length({x}) <= 48 AND NOT {m(x, '[，,：:]')} AND regexp_full_match({x}, '[\\x{{3400}}-\\x{{9FFF}}A-Za-z0-9\\s]+') OR {m(x, '[0-9]')} AND length({x}) <= 100)))"""
+    named = lambda x: m(x, f"^{letter}{{1,12}}{kinds}")
+    cut = lambda x: f"trim(regexp_replace({x}, '(?i)(SS\\s*号\\s*=?\\s*\\d+|出版日期\\s*=.*|General Information.*)$', ''))"
+    head = f"^(({letter}+\\s*){{1,4}}[汤散丸饮膏丹煎胶])(.*)$"
+    bare = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    run = "CASE WHEN regexp_matches(w, '^{0}') THEN list_transform(range(0, greatest(1, length(w) // 2)), lambda k: CASE WHEN 2 * k + 3 = length(w) THEN substr(w, 2 * k + 1, 3) ELSE substr(w, 2 * k + 1, 2) END) ELSE [trim(w)] END".format(cjk)
+    spread = lambda x: f"array_to_string(list_filter(flatten(list_transform(regexp_extract_all({x}, '{cjk}+|[^\\x{{3400}}-\\x{{9FFF}}]+'), lambda w: {run})), lambda w: w <> ''), ' ')"
+    name, rest = f"regexp_replace(regexp_extract(z, '{head}', 1), '\\s+', '', 'g')", f"trim(regexp_extract(z, '{head}', 3))"
+    space = lambda x: f"""list_transform([CASE WHEN {m(x, '[。！？!?；;]|治疗|患者|疗效|辨证|嘱|观察|原工作|巩固|转入|收到|关键')} THEN {bare(x)} ELSE {cut(bare(x))} END], lambda z: CASE WHEN {m('z', '[。！？!?；;]|治疗|患者|疗效|辨证|嘱|观察|原工作|巩固|转入|收到|关键')} OR NOT {m('z', head)} THEN z
+        WHEN {m(rest, cjk + '{2,4}' + kinds)} OR length({rest}) > 180 THEN z ELSE trim(regexp_replace({name} || ' ' || {spread(rest)}, '\\s+', ' ', 'g')) END)[1]"""
+    return f"""WITH RECURSIVE {LINES},
+    shown AS (SELECT l.doc_id, n, line, b, {tidy('b')} AS x FROM lines l JOIN arrays USING (doc_id) JOIN src USING (doc_id) WHERE src.text <> '' AND NOT (n = len(a) AND line = '')),
+    flags AS (SELECT *, b = '' AS blank, {part('x')} AS part, {part('x')} AND {named('x')} AS opens, {m('x', letter + '{1,12}' + kinds)} AS has FROM shown),
+    walk AS (
+        SELECT doc_id, 0::BIGINT AS n, ''::VARCHAR AS block, false AS led, 0::BIGINT AS hold, []::VARCHAR[] AS out, 0::BIGINT AS joins FROM (SELECT DISTINCT doc_id FROM shown) s
+        UNION ALL
+        SELECT w.doc_id, f.n,
+            CASE WHEN f.blank THEN w.block WHEN NOT f.part THEN '' WHEN w.block = '' OR f.opens AND w.led THEN f.x ELSE w.block || ' ' || f.x END,
+            CASE WHEN f.blank THEN w.led WHEN f.part AND (w.block = '' OR f.opens AND w.led) THEN f.has ELSE w.led AND f.part END,
+            CASE WHEN f.blank AND w.block <> '' THEN w.hold + 1 ELSE 0 END,
+            CASE WHEN w.block <> '' AND NOT f.blank AND (NOT f.part OR f.opens AND w.led)
+                    THEN list_concat([chr(1) || w.block], CASE WHEN w.hold > 0 OR left(f.line, 1) <> '#' THEN [''] ELSE [] END, CASE WHEN f.part THEN [] ELSE [f.line] END)
+                WHEN w.block = '' AND NOT f.part THEN [f.line] ELSE [] END,
+            CASE WHEN f.part AND w.block <> '' AND NOT (f.opens AND w.led) THEN 1 ELSE 0 END
+        FROM walk w JOIN flags f ON f.doc_id = w.doc_id AND f.n = w.n + 1),
+    ends AS (SELECT doc_id, max(n) AS n FROM walk GROUP BY doc_id),
+    tails AS (SELECT doc_id, w.n + 1 AS n, list_concat([chr(1) || block], CASE WHEN hold > 0 THEN [''] ELSE [] END) AS out FROM walk w JOIN ends e USING (doc_id) WHERE w.n = e.n AND block <> ''),
+    pieces AS (SELECT doc_id, n, unnest(range(1, len(out) + 1)) AS k, out FROM (SELECT doc_id, n, out FROM walk UNION ALL SELECT * FROM tails) o),
+    made AS (SELECT doc_id, n, k, left(out[k], 1) = chr(1) AS is_block, CASE WHEN left(out[k], 1) = chr(1) THEN out[k][2:] ELSE out[k] END AS y FROM pieces),
+    ended AS (SELECT *, CASE WHEN is_block THEN list_filter(list_transform(range(3, length(y) + 1), lambda i: [{{'s': CASE WHEN NOT {m('y[i]', kinds)} THEN 0 WHEN y[i] <> '煎' THEN CASE WHEN regexp_full_match(y[i - 2:i - 1], '{cjk}{{2}}') THEN i - 2 ELSE 0 END
+        WHEN i > 4 AND regexp_full_match(y[i - 4:i - 1], '{cjk}{{4}}') THEN i - 4 WHEN i > 3 AND regexp_full_match(y[i - 3:i - 1], '{cjk}{{3}}') THEN i - 3 WHEN regexp_full_match(y[i - 2:i - 1], '{cjk}{{2}}') THEN i - 2 ELSE 0 END, 'e': i}}]), lambda c: c[1].s > 0) ELSE [] END AS c FROM made),
+    placed AS (SELECT *, CASE WHEN len(c) = 0 THEN [] ELSE list_transform(list_reduce(c, lambda p, q: CASE WHEN q[1].s > p[-1].e THEN list_concat(p, q) WHEN q[1].s >= p[-1].s THEN list_concat(p[:-2], q) ELSE p END), lambda r: r.s) END AS starts FROM ended),
+    parted AS (SELECT *, CASE WHEN NOT is_block OR len(starts) = 0 OR starts = [1] THEN [y] ELSE list_transform(range(1, len(starts) + 1), lambda j: trim(CASE WHEN j = 1 AND starts[1] > 1 THEN trim(y[:starts[1] - 1]) || ' ' ELSE '' END || trim(y[starts[j]:coalesce(starts[j + 1], length(y) + 1) - 1]))) END AS ps FROM placed),
+    single AS (SELECT doc_id, n, k, j, CASE WHEN is_block THEN {space('ps[j]')} ELSE ps[j] END AS line FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS j FROM parted) p),
+    near AS (SELECT *, {bare('line')} AS b, lag({bare('line')}) OVER (PARTITION BY doc_id ORDER BY n, k, j) AS before FROM single),
+    last_pass AS (SELECT doc_id, n, k, j, CASE WHEN {part(tidy('b'))} OR {named('b')} THEN {space('line')} ELSE line END AS line FROM near WHERE NOT (b = '' AND before IS NOT NULL AND before = '')),
+    texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n, k, j) || chr(10) AS text FROM last_pass GROUP BY doc_id),
+    counts AS (SELECT doc_id, sum(joins)::BIGINT AS joins FROM walk GROUP BY doc_id)
+    SELECT src.doc_id, sha256(coalesce(texts.text, src.text)) AS text_sha256, coalesce(joins, 0)::BIGINT AS joins FROM src LEFT JOIN texts USING (doc_id) LEFT JOIN counts USING (doc_id)"""
+
+
+PLAIN = {"formulas_merged": formulas_merged, "trailing_archive_cut": trailing_archive_cut, "index_normalised": index_normalised}
