@@ -142,6 +142,10 @@ class SparkDialect(Dialect):
         holds = " OR ".join(self.contains(v, self.text(n)) for n in needles)
         return self.at(self.map(self.array(x), v, f"CASE WHEN {holds} THEN {change(v)} ELSE {v} END"), "1")
 
+    def again(self, x: str, times: str, v: str, body: str) -> str:
+        """x changed by body (of the name v) so many times."""
+        return f"aggregate({self.range('1', times)}, {x}, ({v}, {v}_i) -> {body})"
+
     def seconds(self, ts: str) -> str:
         return f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})"
 
@@ -255,6 +259,9 @@ class DuckDialect(SparkDialect):
     def gather_over(self, x: str, window: str) -> str:
         return f"list_filter(list({x}) OVER {window}, lambda y: y IS NOT NULL)"
 
+    def again(self, x: str, times: str, v: str, body: str) -> str:
+        return f"list_reduce(list_concat([{x}], list_transform(range({times}), lambda {v}_i: '')), lambda {v}, {v}_i: {body})"
+
     def seconds(self, ts: str) -> str:
         return f"epoch_us({ts})"
 

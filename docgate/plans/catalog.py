@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docgate.functions.dialect import DUCK, SPARK, Dialect, over
 from docgate.functions.lexicon import CODES
-from docgate.operators import clean, finalize, folds, formulas, gate, index, matter, structure, tail
+from docgate.operators import clean, finalize, folds, formulas, gate, index, matter, recognised, structure, tail
 from docgate.plans import dirty, plain, relational, scaled
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
@@ -230,9 +230,12 @@ def structure_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.groupBy("change.step").agg({"*": "count"}).withColumnRenamed("count(1)", "documents")
 
 
+for _name in recognised.RECOGNISED:
+    SQL[_name] = lambda d, name=_name: recognised.rewritten(d, dirty_source(d), name)
+
 #: Without SQL to check them by: each line reads what the line before became.
 FOLDED = {
-    "clean_foreign_math": _fold("drop_foreign_math"), "clean_flowcharts": _fold("transcribe_flowcharts"), "clean_temperature": _fold("celsius"), "clean_bibliography": _fold("split_bibliography"), "clean_tables": _fold("normalize_tables"), "soft_join": _fold("soft_join"),
+    "clean_tables": _fold("normalize_tables"), "soft_join": _fold("soft_join"),
     "merge_breaks": _fold("merge_breaks"), "split_overlong": _fold("split_overlong"), "clean_folds": _fold(*folds.FOLDS), "chunk_pack": chunk_pack, "finalized": finalized, "structure_changes": structure_changes, "front_and_back_matter": front_and_back_matter, "clean_chain": clean_chain, "clean_chain_counts": clean_chain_counts,
 }
 

@@ -89,7 +89,6 @@ def test_folds():
     joined = folds.soft_join(["患者自述头痛已有三年之久每逢阴雨天气", "", "", "则疼痛加重而且伴有恶心呕吐等症状。"])
     assert joined[0] == "患者自述头痛已有三年之久每逢阴雨天气则疼痛加重而且伴有恶心呕吐等症状。"
     assert folds.soft_join(["# 标题很长很长很长很长很长很长", "正文从这里开始一直写下去"]) == ["# 标题很长很长很长很长很长很长", "正文从这里开始一直写下去"]
-    assert folds.celsius("体温39%，汗出。有效率39%") == "体温39℃，汗出。有效率39%"
     long = "字" * 2000 + "。" + "文" * 2000
     assert [len(x) for x in folds.split_overlong([long])] == [2001, 2000]
     assert folds.chunks("") == [] and folds.chunks("a\n\nb") == ["a\n\nb"]
@@ -100,15 +99,6 @@ def test_folds():
     assert "\n\n".join(folds.chunks(text)) == text and max(map(len, folds.chunks(text))) <= 2000
 
 
-def test_flowcharts_and_foreign_math():
-    chart = '<details><summary>flowchart</summary>\ngraph TD\nA["甲"] --> B["乙"]\nA["甲"] --> B["乙"]\nA --> C\n</details>\n尾'
-    assert "| 甲 | 乙 |" in folds.transcribe_flowcharts("表 1 略\n\n" + chart) and folds.transcribe_flowcharts("无关\n\n" + chart) == "无关\n\n尾"
-    noise = "Theorem 2.1. Let F(x) be a polynomial over a finite field with q elements and so on"
-    assert folds.drop_foreign_math("前\n" + noise + "\n后") == "前\n\n后"
-    plain = "Theorem 2.1. This is about nothing of the kind and goes on for more than forty signs"
-    assert folds.drop_foreign_math(plain) == plain
-
-
 def test_tables_of_contents():
     from docgate.operators.finalize import tidy_contents
 
