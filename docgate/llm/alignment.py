@@ -43,7 +43,7 @@ GROUP = re.compile(b"[^\x03]*\x03")
 #: Before a single space or line feed that stands between other characters.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Bytes of text in a block, units that a task remembers, and those that A gets as one text.
-BLOCK, REMEMBER, TOGETHER = 4 << 20, 250_000, 64
+BLOCK, REMEMBER, TOGETHER = 2 << 20, 250_000, 64
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
