@@ -200,59 +200,98 @@ def _catalogue(d: Dialect) -> dict[str, str]:
     }
 
 
+ALONG = "PARTITION BY doc_id ORDER BY n"
+#: Rows behind each, the next one first.
+BEHIND = "PARTITION BY doc_id ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+HERE_OR_BEHIND = "PARTITION BY doc_id ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+def _summed(base: str, *flags: str) -> str:
+    """base with a running count (r_) and the whole count (t_) of each flag: any range's count is a difference, so all candidates of a document are judged in one pass."""
+    counts = ", ".join(f"sum(CASE WHEN {f} THEN 1 ELSE 0 END) OVER ({ALONG} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r_{f}, {_sum(f)} AS t_{f}" for f in flags)
+    return f"SELECT *, {counts} FROM ({base}) b"
+
+
+def _upto(flag: str) -> str:
+    """How often the flag holds before this line."""
+    return f"(r_{flag} - CASE WHEN {flag} THEN 1 ELSE 0 END)"
+
+
+def _ahead(flag: str, lines: int, own: bool = True, along: str = ALONG) -> str:
+    """How often the flag holds in so many lines from this one on (or behind it)."""
+    last = lines - 1 if own else lines
+    return f"(coalesce(lead(r_{flag}, {last}) OVER ({along}), t_{flag}) - {_upto(flag) if own else f'r_{flag}'})"
+
+
+def _rest(flag: str, own: bool = True) -> str:
+    """How often the flag holds from this line on (or behind it) to the end."""
+    return f"(t_{flag} - {_upto(flag) if own else f'r_{flag}'})"
+
+
+def _without_range(staged: str, ok: str, stop: str) -> str:
+    """Lines without those from the first candidate that holds to where its range stops."""
+    marked = f"SELECT *, {_first(ok)} AS mark FROM ({staged}) s"
+    ended = f"SELECT *, max(CASE WHEN n = mark THEN {stop} END) OVER (PARTITION BY doc_id) AS behind FROM ({marked}) m"
+    return f"SELECT doc_id, pos, line FROM ({ended}) e WHERE NOT coalesce(n >= mark AND n < behind, false)"
+
+
+def _without_rest(staged: str, ok: str) -> str:
+    """Lines without all from the first candidate that holds."""
+    return _cut_from(f"SELECT *, {_first(ok)} AS mark FROM ({staged}) s", "mark", "mark IS NOT NULL")
+
+
 def without_inner_title_page(d: Dialect, lines: str) -> str:
-    """A series title page between two front headings, unless it is a catalogue of the series."""
-    base = _flagged(d, lines, **_catalogue(d))
-    before = "(PARTITION BY doc_id ORDER BY n ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)"
-    one = f"SELECT *, max(CASE WHEN reliable THEN 1 ELSE 0 END) OVER {before} AS led FROM ({base}) b"
-    two = f"SELECT *, {_first('title AND n > 0 AND n <= 220 AND led = 1')} AS mark FROM ({one}) o"
-    three = f"SELECT *, {_first('n > mark AND n < mark + 160 AND reliable')} AS next FROM ({two}) w"
-    four = f"SELECT *, coalesce({_first('n >= mark AND n < next AND NOT page_line')}, next) AS stop, {_sum('n >= mark AND n < next AND label')} AS labels, {_sum('n >= mark AND n < next AND names')} AS lists, {_sum('n >= mark AND n < next AND named_row')} AS named FROM ({three}) x"
-    five = f"SELECT *, {_sum('n >= mark AND n < stop AND filled')} AS gone FROM ({four}) y"
-    return f"SELECT doc_id, pos, line FROM ({five}) z WHERE NOT coalesce(n >= mark AND n < stop AND gone >= 2 AND NOT (labels > 0 AND (lists > 0 OR named >= 3)), false)"
+    """A series title page between two front headings, unless it is a catalogue of the series; the first of all in the first 220 lines that is one."""
+    base = _summed(_flagged(d, lines, **_catalogue(d)), "label", "names", "named_row", "filled")
+    place = d.struct(n="n", label=_upto("label"), names=_upto("names"), named=_upto("named_row"), filled=_upto("filled"))
+    one = f"""SELECT *, max(CASE WHEN reliable THEN n END) OVER ({ALONG} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS led, {d.last(f'CASE WHEN reliable THEN {place} END')} OVER ({BEHIND}) AS next,
+        {d.last(f'CASE WHEN NOT page_line THEN {place} END')} OVER ({HERE_OR_BEHIND}) AS other FROM ({base}) s"""
+    two = f"SELECT *, CASE WHEN other.n < next.n THEN other.n ELSE next.n END AS stop, CASE WHEN other.n < next.n THEN other.filled ELSE next.filled END - {_upto('filled')} AS gone FROM ({one}) o"
+    listed = f"next.label > {_upto('label')} AND (next.names > {_upto('names')} OR next.named - {_upto('named_row')} >= 3)"
+    return _without_range(two, f"title AND n > 0 AND n <= 220 AND led >= n - 120 AND next.n < n + 160 AND gone >= 2 AND NOT ({listed})", "stop")
 
 
 def without_catalogue_before_contents(d: Dialect, lines: str) -> str:
-    """A catalogue of the series in front of the table of contents."""
-    base = _flagged(d, lines, **_catalogue(d))
-    one = f"SELECT *, {_first('title AND n <= 160')} AS mark FROM ({base}) b"
-    two = f"SELECT *, {_first('n > mark AND n < mark + 180 AND toc')} AS stop FROM ({one}) o"
-    three = f"SELECT *, {_sum('n >= mark AND n < stop AND label')} AS labels, {_sum('n >= mark AND n < stop AND names')} AS lists, {_sum('n >= mark AND n < stop AND named_row')} AS named FROM ({two}) w"
-    return f"SELECT doc_id, pos, line FROM ({three}) z WHERE NOT coalesce(n >= mark AND n < stop AND labels > 0 AND (lists > 0 OR named >= 3), false)"
+    """A catalogue of the series in front of a table of contents; the first of all in the first 160 lines that is one."""
+    base = _summed(_flagged(d, lines, **_catalogue(d)), "label", "names", "named_row")
+    place = d.struct(n="n", label=_upto("label"), names=_upto("names"), named=_upto("named_row"))
+    one = f"SELECT *, {d.last(f'CASE WHEN toc THEN {place} END')} OVER ({BEHIND}) AS next FROM ({base}) s"
+    listed = f"next.label > {_upto('label')} AND (next.names > {_upto('names')} OR next.named - {_upto('named_row')} >= 3)"
+    return _without_range(one, f"title AND n <= 160 AND next.n < n + 180 AND {listed}", "next.n")
 
 
 def without_trailing_catalogue(d: Dialect, lines: str) -> str:
-    """A catalogue of the series, or its title page, at the end: no contents, entries or other headings behind it."""
+    """A catalogue of the series, or its title page, at the end: no contents, entries or other headings behind it. Each title is tried."""
     inline = d.like("content", f"^{SERIES}[（(]{BY_STROKES}[）)]$")
     quiet = f"NOT {d.like('bare', '[。！？!?]')}"
-    many = f"{d.count('bare', f'[{CJK}]')} >= 20 AND {quiet}"
+    many = f"({d.count('bare', f'[{CJK}]')} >= 20 OR length(bare) >= 80 AND {d.like('bare', f'[{CJK}]{{8}}')}) AND {quiet}"
     short_name = f"content <> '' AND NOT {t.is_image(d, 'bare')} AND NOT {d.contains('content', d.text(SERIES))} AND NOT {d.like('content', '[。！？!?；;：:（）()0-9]')} AND {d.like(d.sub('content', f'{S}+'), f'^[{CJK}·]{{2,12}}$')}"
-    foreign = f"{t.is_heading(d, 'bare')} AND NOT {is_title_page(d, 'content')} AND NOT {d.contains('content', d.text(BY_STROKES))}"
-    flags = _catalogue(d) | {"inline_title": inline, "many": many, "short_name": short_name, "entry": is_entry(d, "content"), "foreign_head": foreign}
-    base = _flagged(d, lines, **flags)
-    one = f"SELECT *, {_first('inline_title OR title AND (n >= floor(total / 2.0) OR total <= 40)')} AS mark FROM ({base}) b"
-    two = f"""SELECT *, {_sum('n > mark AND n <= mark + 80 AND (toc OR foreign_head)')} + {_sum('n > mark AND n <= mark + 40 AND entry')} AS goes_on, {_sum('n >= mark AND n < mark + 12 AND (label OR inline_title)')} AS labels,
-        {_sum('n >= mark AND n < mark + 12 AND many')} AS lists, {_sum('n >= mark AND n < mark + 40 AND named_row')} AS named, {_sum('n >= mark AND n < mark + 120 AND short_name')} AS listed,
-        {_sum('n >= mark AND filled')} AS shown, {_sum('n > mark AND filled AND NOT page_line')} AS other, {_sum('n = mark AND title')} AS titled FROM ({one}) o"""
-    return _cut_from(two, "mark", "n IS NOT NULL AND mark IS NOT NULL AND goes_on = 0 AND (labels > 0 AND (lists > 0 OR named >= 5 OR listed >= 20) OR titled = 1 AND shown BETWEEN 2 AND 12 AND other = 0)")
+    foreign = f"{t.is_heading(d, 'bare')} AND NOT {is_title_page(d, 'content')} AND NOT {d.contains('content', d.text(BY_STROKES))} AND content NOT IN ({', '.join(map(d.text, SERIES_TITLES))})"
+    page = f"bare <> '' AND {is_title_page(d, 'content')}"
+    flags = _catalogue(d) | {"inline_title": inline, "many": many, "short_name": short_name, "entry": is_entry(d, "content"), "goes_on": f"{t.is_toc_heading(d, 'bare')} OR {foreign}", "page": page, "other": f"NOT (bare = '' OR {is_title_page(d, 'content')} OR {t.is_image(d, 'bare')})"}
+    base = _summed(_flagged(d, lines, **flags), "goes_on", "entry", "label", "many", "named_row", "short_name", "filled", "other", "page")
+    one = f"""SELECT *, {_ahead('goes_on', 80, own=False)} + {_ahead('entry', 40, own=False)} AS more, {_ahead('label', 12)} AS labels, {_ahead('many', 12)} AS lists, {_ahead('named_row', 40)} AS named, {_ahead('short_name', 120)} AS listed,
+        {_rest('filled')} AS shown, {_rest('other', own=False)} AS others, {_rest('page', own=False)} AS pages FROM ({base}) s"""
+    listed = "(labels > 0 OR inline_title) AND (lists > 0 OR named >= 5 OR listed >= 20)"
+    return _without_rest(one, f"(inline_title OR title AND (n >= floor(total / 2.0) OR total <= 40)) AND more = 0 AND ({listed} OR title AND shown BETWEEN 2 AND 12 AND others = 0 AND pages > 0)")
 
 
 def without_trailing_imprint(d: Dialect, lines: str) -> str:
-    """A publication record in the second half, with four or more of its fields, and a cover, title page or contents behind it."""
+    """A publication record in the second half, with four or more of its fields, and a cover, title page or contents behind it. Each is tried."""
     base = _flagged(d, lines, cip=d.like("content", CIP), field=is_metadata(d, "content"), cover=f"{is_title_page(d, 'content')} OR {t.is_image(d, 'bare')}", toc=t.is_toc_heading(d, "bare"), filled="bare <> ''")
-    one = f"SELECT *, {_first('cip AND n >= floor(total / 2.0)')} AS mark FROM ({base}) b"
-    two = f"SELECT *, sum(CASE WHEN n >= mark AND filled THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS k FROM ({one}) o"
-    three = f"SELECT *, {_sum('n >= mark AND filled AND k <= 40 AND field')} AS fields, {_sum('n >= mark AND filled AND k <= 80 AND cover')} + {_sum('n >= mark AND filled AND k <= 120 AND toc')} AS shown FROM ({two}) w"
-    return _cut_from(three, "mark", "mark IS NOT NULL AND fields >= 4 AND shown > 0")
+    shown = "PARTITION BY doc_id, filled ORDER BY n"
+    fields, covers, contents = (_ahead(f, k, along=shown) for f, k in (("field", 40), ("cover", 80), ("toc", 120)))
+    counted = _summed(f"SELECT doc_id, pos, line, bare, content, n, total, cip, filled, filled AND field AS field, filled AND cover AS cover, filled AND toc AS toc FROM ({base}) b", "field", "cover", "toc")
+    one = f"SELECT *, {fields} AS fields, {covers} + {contents} AS shown FROM ({counted}) c"
+    return _without_rest(one, "cip AND n >= floor(total / 2.0) AND fields >= 4 AND shown > 0")
 
 
 def without_trailing_outline(d: Dialect, lines: str) -> str:
-    """A copyright page's tail of three to eight headings of a book's parts, contents among them."""
+    """A copyright page's tail of three to eight headings of a book's parts, contents among them. Each copyright page is tried."""
     allowed = ", ".join(map(d.text, OUTLINE))
-    base = _flagged(d, lines, page=f"content = {d.text(OUTLINE[0])}", part=f"content IN ({allowed})", contents=f"content IN ({', '.join(map(d.text, OUTLINE[2:4]))})", filled="bare <> ''")
-    one = f"SELECT *, {_first('page AND n >= floor(total / 2.0)')} AS mark FROM ({base}) b"
-    two = f"SELECT *, {_sum('n >= mark AND filled')} AS shown, {_sum('n >= mark AND filled AND NOT part')} AS other, {_sum('n > mark AND contents')} AS listed FROM ({one}) o"
-    return _cut_from(two, "mark", "mark IS NOT NULL AND shown BETWEEN 3 AND 8 AND other = 0 AND listed > 0")
+    base = _flagged(d, lines, page=f"content = {d.text(OUTLINE[0])}", other=f"bare <> '' AND content NOT IN ({allowed})", contents=f"content IN ({', '.join(map(d.text, OUTLINE[2:4]))})", filled="bare <> ''")
+    one = f"SELECT *, {_rest('filled')} AS shown, {_rest('other')} AS others, {_rest('contents', own=False)} AS listed FROM ({_summed(base, 'other', 'contents', 'filled')}) c"
+    return _without_rest(one, "page AND n >= floor(total / 2.0) AND shown BETWEEN 3 AND 8 AND others = 0 AND listed > 0")
 
 
 def without_second_contents(d: Dialect, lines: str) -> str:

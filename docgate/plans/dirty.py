@@ -57,6 +57,8 @@ CASES = (
     f"'书名=某书' || {NL} || text || {NL} || '页数=9' || {NL} || '尾'",
     f"text || {NL} || '四物汤' || {NL} || '当归 川芎' || {NL} || {NL} || '白芍9g 熟地黄12g' || {NL} || '四君子汤' || {NL} || '第一辑 人参 白术' || {NL} || {NL} || '真武汤 茯苓芍药白术附子' || {NL} || '# 下' || {NL} || '组成 大补元煎 人参山药熟地 枣真武汤 茯苓' || {NL} || '资生丸治疗脾虚，患者'",
     f"'桂枝 芍药 甘草' || {NL} || '麻黄汤 杏仁' || {NL} || '白虎汤散 石膏' || {NL} || text || {NL} || {NL} || '二陈汤' || {NL} || '半夏9g 陈皮6g' || {NL} || 'SS号=12345' || {NL} || '越婢汤 某某' || {NL}",
+    f"'# 出版说明' || {NL} || '# 中国百年百名中医临床家丛书' || {NL} || '一句正文，不是题名页。' || {NL} || '# 内容提要' || {NL} || '# 中国百年百名中医临床家丛书' || {NL} || '某某主编' || {NL} || '# 前言' || {NL} || text || {NL} || '版权页' || {NL} || '文。' || {NL} || '版权页' || {NL} || '前言' || {NL} || '目录'",
+    f"'# 中国百年百名中医临床家丛书' || {NL} || '文。' || {NL} || '# 目录' || {NL} || '# 中国百年百名中医临床家丛书' || {NL} || '（按姓氏笔画排列）' || {NL} || repeat('王某某 李某某 ', 20) || {NL} || '# 目录' || {NL} || text || {NL} || '# 中国百年百名中医临床家丛书（按姓氏笔画排列）' || {NL} || '# 目录' || {NL} || text || {NL} || '# 中国百年百名中医临床家丛书（按姓氏笔画排列）' || {NL} || repeat('王某某李某某', 10)",
     f"'表' || {NL} || '体温升至39%~40%，占40%例' || {NL} || '1. Theorem' || {NL} || '| 甲 | 乙' || {NL} || '丙 |' || {NL} || text || {NL} || 'References: Smith 1999 Jones A 2001 Doe'",
 )
 EMPTY_ID = -1

@@ -3,6 +3,7 @@ from docgate.operators import matter, structure
 
 THEOREM = "Theorem 1.2. Let F(x) be a polynomial over a finite field and P a prime ideal with x \\in P, so the claim holds."
 BODY = "\n".join(f"第{i}段正文，写得不短，说明病情。" for i in range(12))
+LONG, REST = (BODY + "\n") * 6, "长正文一行，没有什么字段。\n" * 45
 NAMES = "王某某李某某" * 10
 
 #: operator, text, what becomes of it (None: nothing)
@@ -24,6 +25,12 @@ CASES = [
     ("trailing_catalogue_cut", f"{BODY}\n\n# 中国百年百名中医临床家丛书（按姓氏笔画排列）\n{NAMES}\n# 目录", None),
     ("trailing_outline_cut", f"{BODY}\n版权页\n前言\n目录\n正文", BODY),
     ("trailing_outline_cut", f"{BODY}\n版权页\n前言\n正文", None),
+    # the first place doesn't qualify, a later one does
+    ("inner_title_page_removed", "# 出版说明\n话。\n# 中国百年百名中医临床家丛书\n一句正文，不是题名页。\n# 内容提要\n文。\n# 中国百年百名中医临床家丛书\n某某主编\n# 目录\n文", "# 出版说明\n话。\n# 中国百年百名中医临床家丛书\n一句正文，不是题名页。\n# 内容提要\n文。\n# 目录\n文"),
+    ("front_catalogue_removed", f"# 中国百年百名中医临床家丛书\n文。\n# 目录\n- 一 1\n# 中国百年百名中医临床家丛书\n（按姓氏笔画排列）\n{NAMES * 3}\n# 目录\n- 二 2", "# 中国百年百名中医临床家丛书\n文。\n# 目录\n- 一 1\n# 目录\n- 二 2"),
+    ("trailing_imprint_cut", f"{LONG}# 图书在版编目（CIP）数据\n{REST}# 图书在版编目（CIP）数据\nISBN 7\n定价：12.00元\n某出版社\n开本：850\n![a](b.png)", f"{LONG}# 图书在版编目（CIP）数据\n{REST}".rstrip("\n")),
+    ("trailing_catalogue_cut", f"{BODY}\n# 中国百年百名中医临床家丛书（按姓氏笔画排列）\n文。\n# 目录\n{BODY}\n# 中国百年百名中医临床家丛书（按姓氏笔画排列）\n{NAMES}", f"{BODY}\n# 中国百年百名中医临床家丛书（按姓氏笔画排列）\n文。\n# 目录\n{BODY}"),
+    ("trailing_outline_cut", f"{BODY}\n版权页\n这里还有一段话。\n版权页\n前言\n目录\n正文" + "\n" * 9, f"{BODY}\n版权页\n这里还有一段话。"),
     ("second_contents_cut", f"# 目录\n- 一 1\n{BODY}\n# 目录\n# 医家小传\n# 专病论治\n# 甲证\n# 乙证\n# 丙证", f"# 目录\n- 一 1\n{BODY}"),
     ("trailing_cut", "# 书\n文。\n# 临中床医\n![x](y.jpg)\n定价：9元\n\n", "# 书\n文。"),
     ("trailing_cut", "# 书\n文。\n![x](y.jpg)\n\n", None),
