@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The suffixes of sources, and what kind each is.
 KINDS = {"md": "markdown", "pdf": "pdf", "doc": "word", "docx": "word"} | dict.fromkeys(("png", "jpg", "jpeg", "jp2", "webp", "gif", "bmp", "ppt", "pptx", "xls", "xlsx"), "mineru_only")
 GENERATED = ("process", "md", "pdf")
 
-CALL_LOG = T._parse_datatype_string(
+CALL_LOG = (
     "document_id string, call_index int, stage string, model string, request_id string, started_at string, finished_at string, duration_seconds double, status string, "
     "retry_count int, input_chars int, output_chars int, estimated_cost double, estimated_cost_total double, error string, code string, fallback_used boolean"
 )
-BATCH_STATE = T._parse_datatype_string("index int, total int, source_path string, output_dir string, status string, started_at string, finished_at string, result_status string, error string")
+BATCH_STATE = "index int, total int, source_path string, output_dir string, status string, started_at string, finished_at string, result_status string, error string"
 
 
 #: Parts of names that earlier runs gave their outputs.
@@ -45,7 +44,7 @@ def texts(spark: SparkSession, folder: str, glob: str = "*.md") -> DataFrame:
     return files.select(F.xxhash64("path").alias("doc_id"), "path", F.expr("make_valid_utf8(cast(content as string))").alias("text"), F.sha2("content", 256).alias("source_sha256"))
 
 
-def log(spark: SparkSession, path: str, schema: T.StructType = CALL_LOG) -> DataFrame:
+def log(spark: SparkSession, path: str, schema: str = CALL_LOG) -> DataFrame:
     """JSON lines with malformed ones left out."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
