@@ -1,4 +1,7 @@
-"""Expressions over one text or line, written for either dialect."""
+"""Expressions over one text or line, written for either dialect.
+
+Fixed values: the patterns in them, and the lengths that go with these, are what results depend on.
+"""
 
 from __future__ import annotations
 

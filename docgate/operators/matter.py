@@ -75,7 +75,9 @@ def is_metadata(d: Dialect, x: str) -> str:
 
 def is_title_page(d: Dialect, x: str) -> str:
     names = d.sub(x, f"{S}+")
-    credit = f"(length({names}) BETWEEN 8 AND 40 AND {d.like(names, f'^[{CJK}]+$')} AND NOT {d.like(names, NOT_NAMES)} AND length({names}) % 3 <> 1)"
+    # glued names of two or three characters, three or more of them, but for one character at most
+    chunks = d.groups(names, f"[{CJK}]{{2,3}}")
+    credit = f"(length({names}) BETWEEN 8 AND 40 AND NOT {d.like(x, '[，。；：！？、,.!?;:0-9A-Za-z/／]')} AND NOT {d.like(names, NOT_NAMES)} AND {d.size(chunks)} >= 3 AND length({d.join(chunks, '')}) >= length({names}) - 1)"
     volume = f"({d.like(x, rf'^第[一二三四五六七八九十\d]+辑(?:{S}*.+)?$')} AND (length({x}) <= 24 OR {d.like(x, '医案|经验|备要')}))"
     short = f"(length({x}) <= 12 AND NOT {d.like(x, '[，。；：！？、,.!?;:0-9]')})"
     return f"({is_cover(d, x)} OR {credit} OR {_any(d, x, TITLE_PAGE)} OR {volume} OR {short})"
