@@ -9,7 +9,9 @@ with map-side combining, joined back to the rows, so that no group of them is ga
 
 Defined results: a null text counts as empty; of equal texts the row with the largest doc_id stays, of rows that
 tie on it exactly one; a null doc_id is smaller than any other and stays null in keep_id; an empty table gives an
-empty result. Other columns of the input are ignored, whatever their names.
+empty result. A text of any length is read whole, by its digest; repeated rows are copies of one another. Other columns of
+the input are ignored by `decide`, whatever their names; `keep` returns them, but for columns named like its own, which
+begin with two underscores.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ emitted; no group or bucket is capped and no pair dropped.
 
 Defined results: a null text is an empty one; texts alike in their words are one node; of each class the row with the
 smallest id stays (without any id, that with the least digest), once if it is repeated; an empty table gives an empty
-result.
+result. All runs of words of a text of any length count. The input's columns come back as they are, but for columns named
+like this module's own, which begin with two underscores.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ a text with more than `MANY` has them exploded and summed by a window over that
 
 Defined results: a null text counts as empty and has no spans; no finding gives counts of zero, an empty spans
 string and the SHA-256 of an empty string; repeated rows get equal results; an empty table gives an empty result.
-Other columns of the input are ignored.
+A text of any length is scanned whole. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

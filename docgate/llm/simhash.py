@@ -14,7 +14,8 @@ bucket is capped and no owner dropped. Each bucket returns a forest: a link per
 50 bytes a word.
 
 Defined results: a null text is an empty one; fingerprint zero is linked like any other; a null doc_id counts only
-where no other is in its class; repeated rows get equal results; an empty table gives an empty result.
+where no other is in its class; repeated rows get equal results; an empty table gives an empty result. All
+shingles of a text of any length count. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

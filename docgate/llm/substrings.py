@@ -15,7 +15,8 @@ to be split, so a passage in a third of all documents crowds no task. Texts that
 once, with their number of copies as weight.
 
 Defined results: a null text has no words; a text shorter than a window has no repeats; repeated rows are repeats of
-one another; an empty table gives an empty result. Other columns of the input are ignored.
+one another; an empty table gives an empty result. A text of any length is cut into words whole; windows that
+tie for an anchor take the first. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ read of a bounded size, and each record is unpacked, parsed and its payload chec
 
 Defined results: null html is an empty payload; payloads below `least` bytes are never revisits; of rows equal in
 page_id and payload one is the response (of the largest url); a null page_id is smaller than any other; a null URL is left out of the
-record; an empty table gives an empty index. Other columns of the input are ignored.
+record; an empty table gives an empty index. A payload of any length is one record, held whole by the task that writes or reads it.
+Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
