@@ -50,7 +50,7 @@ CASES = (
     f"'药 $12' || {BS} || 'times 3' || {BS} || 'mathrm{{mg}}$ 温 $38.5^{{' || {BS} || 'circ}} ' || {BS} || 'mathrm{{C}}$ 经 14' || {BS} || 'frac 5~7 28~30 天，量 ' || {BS} || 'frac{{7}}{{8}} ' || {BS} || 'sim ' || {BS} || 'mu' || {NL} || text",
     f"text || {NL} || '# 索引' || {NL} || '二画' || {NL} || '- - 七日风 74' || {NL} || '（参见 12）' || {NL} || '子 晕 242' || {NL} || '三 画子悬 240' || {NL} || '参见 9 乙证 6' || {NL} || '三画' || {NL} || '三画丙·（参见 4） 5' || {NL} || '第一辑' || {NL} || '参见 3' || {NL} || '- 参见 8' || {NL} || '-四画丁 1'",
     f"'索引' || {NL} || '中医临证备要' || {NL} || '四画 参见 7' || {NL} || text || {NL} || '甲 1' || {NL} || '# 索引' || {NL} || '- 重 1'",
-    f"repeat('正文一行，写得不短。' || {NL}, 9) || replace(text, {NL}, ' ') || '正文[General Information]书名=某书' || {NL} || '作者=某人' || {NL} || {NL} || '| SS号=12345678 |'",
+    f"repeat('正文一行，写得不短。' || {NL}, 9) || text || {NL} || '这里还有一段正文，写到二十个字以上才算够长了。正文[General Information]书名=某书' || {NL} || '作者=某人' || {NL} || {NL} || '| SS号=12345678 |'",
     f"text || {NL} || {NL} || '# 1. 甲' || {NL} || {NL} || 'SS号 = 12345' || {NL} || 'DX号=1' || {NL} || 'http://book2.duxiu.com/a'",
     f"repeat('正文一行，写得不短。' || {NL}, 30) || text || {NL} || '## 1. 甲' || {NL} || '## 2. 乙' || {NL} || {NL} || '## 3、 丙' || {NL} || '## 4. 丁' || {NL} || '## 5. 戊' || {NL} || '## 6. 己' || {NL} || '## 7. 庚' || {NL} || '## 8. 辛' || {NL}",
     f"'首。SS号=12345' || {NL} || text || {NL} || '# 1. 甲' || {NL} || '# 2. 乙' || {NL} || '# 3. 丙' || {NL} || '# 4. 丁' || {NL} || '# 5. 戊' || {NL} || '# 6. 己' || {NL} || '# 7. 庚' || {NL} || '# 8. 辛'",
