@@ -3,8 +3,9 @@
 A map task turns a document into ids with the end id behind, and cuts it into pieces of `length` ids and a rest.
 A piece falls into a group by a hash of its document's id, its start, its ids and its place among equal ones in
 the order in which a task makes them, some thousand documents to a group whatever the table, so that a group is a random
-mix of sizes, and rows that share an id (or have none) are dealt out like others. What is cut is written before it is
-dealt out, so that a task that is run again deals out the same. Within a group pieces come in decreasing size, and each goes into the first
+mix of sizes, and rows that share an id (or have none) are dealt out like others. A task that is run again deals out the same if it
+reads its rows in the same order, as from files; pieces of rows whose order isn't `stable` are written first.
+Within a group pieces come in decreasing size, and each goes into the first
 sequence with room for it, found by a tournament tree over the sequences' free room in O(log n). As they come in
 that order, a task places them one by one and holds nothing but the tree.
 
@@ -90,8 +91,8 @@ def encode(splitter: Splitter, texts: list[str], known: dict[str | int, list[int
         yield out
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, group: int = GROUP) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, group: int = GROUP, stable: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset. stable: a partition of df has its rows in the same order whenever it is read."""
     spark = df.sparkSession
     small_batches(spark)
     groups = max(1, round(df.count() / group))
@@ -139,6 +140,6 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
             )
 
     pieces = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, cut_type)
-    dealt = written(pieces, "pieces").withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids", "turn", F.lit("pack")), F.lit(groups))).drop("turn")
+    dealt = (pieces if stable else written(pieces, "pieces")).withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids", "turn", F.lit("pack")), F.lit(groups))).drop("turn")
     order = dealt.repartition("group").sortWithinPartitions("group", F.desc("length"), "doc_id", "start")
     return order.mapInArrow(fit, out_type)

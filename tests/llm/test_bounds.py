@@ -233,6 +233,8 @@ def test_packing_splits_rows_of_one_id(spark):
     from docgate.llm.queries import tokenizer
 
     df = spark.range(0, 20_000, 1, 4).selectExpr("CAST(NULL AS LONG) AS doc_id", "'one two three' AS text", "1 AS turn", "2 AS ids")
+    shuffled = pack(df.repartition(3), tokenizer("word_bpe_49k.json"), stable=False)
+    assert shuffled.agg({"length": "sum"}).first()[0] == 80_000
     made = pack(df, tokenizer("word_bpe_49k.json"))
     groups = made.groupBy((made.sequence_id / (1 << 32)).cast("long").alias("g")).count().collect()
     assert len(groups) == 5 and sum(r["count"] for r in groups) == 20_000
