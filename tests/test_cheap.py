@@ -33,3 +33,11 @@ def test_both_engines_agree_on_odd_lines(spark):
 
 def test_ends_are_stripped_without_a_pattern():
     assert "regexp" not in t.strip(SPARK, "x") and "regexp" not in clean._line_ends(SPARK, "x")
+
+
+def test_folds_get_small_batches(spark):
+    from docgate.operators import folds
+
+    df = spark.createDataFrame([(i, "x\n") for i in range(5000)], "doc_id long, text string").coalesce(1)
+    made = folds.apply(df, "split_overlong")
+    assert made.count() == 5000 and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
