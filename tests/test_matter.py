@@ -57,3 +57,12 @@ def test_a_chain_keeps_every_document(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(CASES)] + [(99, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in matter.apply(df, *matter.MATTER).collect()}
     assert len(got) == len(CASES) + 1 and got[99] == ""
+
+
+def test_a_chain_keeps_one_order(spark):
+    df = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(CASES)], "doc_id long, text string")
+    made = matter.apply(df, "cover_prefix_removed", "front_matter_cut", "trailing_outline_cut", "trailing_cut")
+    plan = made._jdf.queryExecution().sparkPlan().toString(), made._jdf.queryExecution().executedPlan().toString()
+    assert plan[1].count("Sort [") == 1, plan[1]
+    # a frame of all that follows takes Spark the square of a document's lines
+    assert "UNBOUNDED FOLLOWING" not in matter.without_caption_noise(SPARK, "lines")
