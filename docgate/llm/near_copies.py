@@ -15,8 +15,8 @@ by members of their sets: in any one order of all members, two sets at the thres
 and its places tell how large the other set may be. Rare members come first in that order (a sample tells them), so a text
 that differs too much from the rest of its group meets nothing, and what shares frequent ones is alike. Of such a bucket,
 each text is compared with the one that has the fewest rare members; what is still of several components there is compared
-in blocks inside a task, which returns a forest, all but the bucket's largest component with everything. Pairs are not
-emitted; no group or bucket is capped and no pair dropped.
+in blocks inside a task, which returns a forest, all but the bucket's largest component with everything. Buckets that
+share texts are joined where that sends fewer sets. Pairs are not emitted; no group or bucket is capped and no pair dropped.
 
 Defined results: a null text is an empty one; texts alike in their words are one node; of each class the row with the
 smallest id stays (without any id, that with the least digest), once if it is repeated; an empty table gives an empty
@@ -33,7 +33,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,10 +46,13 @@ WORDS = 5
 LEAST = (4, 5)
 #: Chance that a pair right at the threshold meets.
 RECALL = 0.98
-#: Bits of a block beyond the binary logarithm of the number of texts.
-SPARE = 8
-#: Texts that begin with the same bits of a block, on average; texts of a bucket above which it is dealt out by words.
-PER_PREFIX, MOST = 256, 100_000
+#: Bits of a block beyond the binary logarithm of the number of texts. More of them take more blocks, and so more rows to
+#: shuffle; with fewer, more unlike texts share a word, which costs their task a comparison of check bits.
+SPARE = 2
+#: Texts that begin with the same bits of a block, on average (each bit more is one more row a block); texts of a bucket above which it is dealt out by words.
+PER_PREFIX, MOST = 1024, 100_000
+#: Texts of a word up to which all words of a place are compared together.
+TOGETHER = 32
 #: Texts to compare whose digests (16 bytes and an id each) are broadcast.
 FEW = 1_000_000
 #: Texts of a bucket that are compared in one block, and bytes of their sets at most, about.
@@ -182,8 +185,22 @@ def meet(place: int, word: np.ndarray, check: np.ndarray, width: int, prefix: in
     order = np.lexsort((owner, made))
     made, owner = made[order], owner[order]
     cuts = np.flatnonzero(np.concatenate([[True], made[1:] != made[:-1], [True]]))
+    size = np.diff(cuts)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at in np.flatnonzero(np.diff(cuts) > 1).tolist():
+    # each text of a small word with the next one there, then with the one after that, and so on
+    small = np.flatnonzero((size > 1) & (size <= TOGETHER))
+    end = np.repeat(cuts[small] + size[small], size[small])
+    at = np.arange(len(end)) + np.repeat(cuts[small] - (np.cumsum(size[small]) - size[small]), size[small])
+    for k in range(1, TOGETHER):
+        has = at + k < end
+        at, end = at[has], end[has]
+        if not len(at):
+            break
+        i, j = owner[at], owner[at + k]
+        near = np.bitwise_count(check[i] ^ check[j]).sum(axis=1, dtype=np.int64) <= apart
+        left.append(i[near])
+        right.append(j[near])
+    for at in np.flatnonzero(size > TOGETHER).tolist():
         members = owner[cuts[at] : cuts[at + 1]]
         if len(members) <= 512:
             i, j = np.nonzero(np.triu(near_bits(check, members, members, apart), 1))
@@ -192,7 +209,8 @@ def meet(place: int, word: np.ndarray, check: np.ndarray, width: int, prefix: in
         else:  # linked as they are: the exact comparison decides
             left.append(members[1:])
             right.append(np.full(len(members) - 1, members[0]))
-    return _forest(len(word), np.concatenate(left), np.concatenate(right))
+    pairs = np.unique(np.concatenate(left) * len(word) + np.concatenate(right))  # alike in all bits, they share many words
+    return _forest(len(word), pairs // len(word), pairs % len(word))
 
 
 def _meetings(rows: DataFrame, width: int, prefix: int, apart: int) -> DataFrame:
@@ -366,19 +384,43 @@ def _buckets(rows: DataFrame, least: tuple[int, int]) -> DataFrame:
     return rows.join(steps, "member").select("member", F.explode(fits.getField("step")).alias("step"), "id", "root", "size")
 
 
-def _dealt_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """rows: (member, step, id, root, size), buckets of several roots. Each text with the pairs of blocks (lo, hi) in which it is compared; no two blocks of the bucket's largest component meet. Of buckets with the same texts, one is dealt."""
+def _unlike_buckets(rows: DataFrame) -> DataFrame:
+    """rows: (member, step, id, root, size). Of buckets with the same texts, told by 128 bits, one: texts that share several members make the same bucket as often."""
     key = ["member", "step"]
     ids = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"x{k}") for k in (1, 2)]
-    by_root = rows.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), *ids)
-    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(size * 8 / BLOCK_BYTES)).cast("long")
-    made = by_root.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("size").alias("bytes"), F.max(F.struct("n", "size", "root")).alias("main"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
-    # texts that share several members make the same bucket as often: one of each is enough, told by 128 bits
-    made = made.groupBy("n", "x1", "x2").agg(F.min(F.struct(*key, "main", "bytes")).alias("b")).select("n", "b.*")
-    made = made.select(*key, F.col("main.root").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.size")).alias("off"), blocks(F.col("main.n"), F.col("main.size")).alias("on"))
+    made = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *ids).groupBy("n", "x1", "x2").agg(F.min(F.struct(*key)).alias("b"))
+    return rows.join(written(made.select("b.*"), "unlike-buckets"), key)
+
+
+def _blocks(n: Column, size: Column, block: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / block), F.ceil(size * 8 / BLOCK_BYTES)).cast("long")
+
+
+def _gathered(rows: DataFrame, block: int) -> DataFrame:
+    """rows: (member, step, id, root, size). Buckets that share texts, directly or over others, become one, of step -1, where fewer texts are dealt out so: a text that is in many of them is sent once a block then."""
+    first = rows.groupBy("member", "step").agg(F.min("id").alias("a"))
+    of = components(rows.join(first, ["member", "step"]).select("a", F.col("id").alias("b")))
+    named = rows.join(of.select(F.col("node").alias("__node"), F.col("root").alias("__all")), F.col("id") == F.col("__node"), "left")
+    named = written(named.select(*rows.columns, F.coalesce("__all", "id").alias("all")), "clusters")
+    texts = named.groupBy("all", "id").agg(F.min("root").alias("root"), F.min("size").alias("size"), F.count(F.lit(1)).alias("often"))
+    sums = texts.groupBy("all").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum("often").alias("often"))
+    whole = written(sums.filter(F.col("n") * _blocks(F.col("n"), F.col("size"), block) <= F.col("often")).select("all"), "whole-clusters")
+    joined = texts.join(whole, "all", "left_semi").select(F.col("all").alias("member"), F.lit(-1).cast("long").alias("step"), "id", "root", "size")
+    return joined.unionByName(named.join(whole, "all", "left_anti").select(*rows.columns))
+
+
+def _dealt_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """rows: (member, step, id, root, size), buckets of several roots. Each text with the pairs of blocks (lo, hi) in which it is compared; no two blocks of the bucket's largest component meet. A bucket that fits a block is one."""
+    key = ["member", "step"]
+    by_root = rows.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    made = by_root.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("size").alias("bytes"), F.max(F.struct("n", "size", "root")).alias("main"))
+    fits = _blocks(F.col("n"), F.col("bytes"), block) == 1
+    off = _blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.size"), block)
+    on = F.when(fits, F.lit(0).cast("long")).otherwise(_blocks(F.col("main.n"), F.col("main.size"), block))
+    made = made.select(*key, F.col("main.root").alias("main"), off.alias("off"), on.alias("on"))
     dealt = rows.join(written(made, "bucket-sizes"), key)
-    main, at = F.col("root") == F.col("main"), F.xxhash64("id")
-    dealt = dealt.withColumn("block", F.when(main, F.col("off") + F.pmod(at, F.col("on"))).otherwise(F.pmod(at, F.col("off"))))
+    main, at = (F.col("root") == F.col("main")) & (F.col("on") > 0), F.xxhash64("id")
+    dealt = dealt.withColumn("block", F.when(main, F.col("off") + F.pmod(at, F.greatest("on", F.lit(1).cast("long")))).otherwise(F.pmod(at, F.col("off"))))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(main, F.col("off")).otherwise(F.col("off") + F.col("on")) - 1)))
     return dealt.select(*key, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "root")
 
@@ -463,6 +505,7 @@ def links(nodes: DataFrame, count: int, df: DataFrame, text_col: str = "text", w
     linked = linked.unionByName(written(_alike(_centres(rows), sets, least), "alike"))
     rows = written(_of_several(_with_roots(rows, components(linked)), "member"), "shared")
     rows = written(_of_several(_buckets(rows, least), "member", "step"), "buckets")
+    rows = _gathered(written(_unlike_buckets(rows), "buckets"), block)
     return linked.unionByName(written(_in_blocks(_dealt_blocks(rows, block), sets, least), "alike"))
 
 

@@ -139,3 +139,54 @@ def test_sets_at_the_threshold_share_a_first_member():
                 (a, most_a), (b, most_b) = first_members(x, usual, often, least), first_members(y, usual, often, least)
                 assert any(m == k and len(y) <= p and len(x) <= q for m, p in zip(a, most_a, strict=True) for k, q in zip(b, most_b, strict=True))
     assert links > 500
+
+
+def test_blocks_for_many_texts():
+    """Rows to shuffle follow the number of blocks, which keep the recall at the threshold."""
+    import math
+
+    from docgate.llm.near_copies import LEAST, RECALL, differing, shape
+
+    for count, most in ((200_000, 8), (12_500_000, 16)):
+        width, blocks = shape(count)
+        p = differing(LEAST)
+        close = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(3))
+        assert blocks <= most and 1 - (1 - close) ** blocks >= RECALL
+
+
+def test_texts_that_share_words_meet():
+    import numpy as np
+
+    from docgate.llm.near_copies import meet
+
+    rng = np.random.default_rng(4)
+    for n, width, apart in ((150, 12, 60), (400, 9, 62), (90, 14, 128)):
+        prefix, place = 3, 5
+        start = np.uint64(place) ^ rng.choice(np.array([0, 0, 1, 2, 4], np.uint64), n)
+        word = (start << np.uint64(width - prefix)) | rng.integers(0, 1 << (width - prefix), n).astype(np.uint64)
+        check = rng.integers(0, 1 << 63, (n, 2)).astype(np.uint64)
+        ball = [{int(w)} | ({int(w) ^ (1 << k) for k in range(width - prefix)} if int(s) == place else set()) for w, s in zip(word & np.uint64((1 << (width - prefix)) - 1), start, strict=True)]
+        up = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                if up[i] != up[j] and ball[i] & ball[j] and np.bitwise_count(check[i] ^ check[j]).sum() <= apart:
+                    low, high = sorted((up[i], up[j]))
+                    up = [low if x == high else x for x in up]
+        node, root = meet(place, word, check, width, prefix, apart)
+        assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {i: u for i, u in enumerate(up) if i != u}
+        assert 10 < len(node) < n
+
+
+def test_texts_of_overlapping_buckets_are_sent_once(spark, monkeypatch):
+    """Changed copies of one text, no two of them near copies, share many members and so meet in many buckets."""
+    from docgate.llm import near_copies
+
+    rng = random.Random(13)
+    base = words(rng, 400, 5000)
+    texts = [changed(rng, base, 9) for _ in range(40)] + [changed(rng, base, 3)]
+    df = frame(spark, [(i, t, None, "a", None, 7, "x", 0.5, "k", 1, "h", None) for i, t in enumerate(texts)])
+    sent, compare = [], near_copies._in_blocks
+    monkeypatch.setattr(near_copies, "_in_blocks", lambda dealt, *more: sent.append(dealt.count()) or compare(dealt, *more))
+    assert sorted(r.doc_id for r in near_copies.keep(df).collect()) == sorted(set(brute(texts)))
+    print(sent)
+    assert 2 <= sent[0] <= len(texts)
