@@ -362,6 +362,10 @@ def _of_several(rows: DataFrame, *key: str) -> DataFrame:
     return rows.join(several, list(key), "left_semi")
 
 
+def _links_of(forest: DataFrame) -> DataFrame:
+    return forest.select(F.col("root").alias("a"), F.col("node").alias("b"))
+
+
 def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     own = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
     return rows.join(own, F.col("id") == F.col("__node"), "left").withColumn("root", F.coalesce("__root", "id")).drop("__node", "__root")
@@ -493,8 +497,8 @@ def links(nodes: DataFrame, count: int, df: DataFrame, text_col: str = "text", w
         texts = texts.dropDuplicates(["__node"]).join(wanted, named)
     sets = written(_sets(texts.select("id", "text"), words), "sets")
     linked = written(_alike(star, sets, least), "alike")
-    roots = components(linked)
-    placed = members.join(roots.withColumnRenamed("node", "__node"), F.col("id") == F.col("__node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    forest = components(linked)
+    placed = members.join(forest.withColumnRenamed("node", "__node"), F.col("id") == F.col("__node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     placed = written(placed, "placed")
     mixed = written(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key"), "mixed")
     left = written(placed.join(mixed, "key", "left_semi").select("id", "root").distinct(), "left")
@@ -502,11 +506,12 @@ def links(nodes: DataFrame, count: int, df: DataFrame, text_col: str = "text", w
     left = sets.join(F.broadcast(left) if few else left, "id")
     rows = written(_by_members(left if few else written(left, "left-sets"), least), "members")
     rows = written(_of_several(rows, "member"), "shared")
-    linked = linked.unionByName(written(_alike(_centres(rows), sets, least), "alike"))
-    rows = written(_of_several(_with_roots(rows, components(linked)), "member"), "shared")
+    # later links join what earlier ones made of texts: their forest, not they, is what is taken along
+    forest = components(_links_of(forest).unionByName(written(_alike(_centres(rows), sets, least), "alike")))
+    rows = written(_of_several(_with_roots(rows, forest), "member"), "shared")
     rows = written(_of_several(_buckets(rows, least), "member", "step"), "buckets")
     rows = _gathered(written(_unlike_buckets(rows), "buckets"), block)
-    return linked.unionByName(written(_in_blocks(_dealt_blocks(rows, block), sets, least), "alike"))
+    return _links_of(forest).unionByName(written(_in_blocks(_dealt_blocks(rows, block), sets, least), "alike"))
 
 
 def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST, recall: float = RECALL, most: int = MOST, block: int = BLOCK) -> DataFrame:
