@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from docgate.functions.dialect import SPARK
 from docgate.functions.lexicon import BLOCKING, CJK, GATE_PUNCTUATION, READABLE, SCORE_PUNCTUATION
 from docgate.operators import finalize, gate, matter
+from docgate.plans import catalog
 from tests.test_cheap import ODD
-from tests.test_engine import CODES
+from tests.test_engine import CODES, SF
 from tests.test_matter import CASES
 
 SIGNS = ["ISBN 7-117-1", "定 价：3元", "/王某编 出版社", "毫米 印数", "People's Medical Publishing", "版 次：1", "E - mail : x", "三河市某印刷厂", "书／甲著。R · 2", "定价3元"]
@@ -55,3 +56,9 @@ def test_blocking_codes_alone(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(x for xs in CODES.values() for x in xs)], "doc_id long, text string")
     columns = ("doc_id", "accepted", "blocking")
     assert gate.gate(df, wanted=BLOCKING).select(*columns).orderBy("doc_id").collect() == gate.gate(df).select(*columns).orderBy("doc_id").collect()
+
+
+def test_guard_measures_three_codes(spark):
+    """Breaks, spaces and contents aren't looked for, as no reason names them."""
+    plan = catalog.queries()["collapse_guard"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "short_lines" not in plan and "gaps#" not in plan and "declared" not in plan
